@@ -1,0 +1,73 @@
+"""Import of legacy day files: one small SQLite database per UTC day.
+
+A Python data source with one input partition per file, so files are read in
+parallel and each task holds one batch of one day.  The files must lie in a
+folder every executor can reach.
+"""
+
+from __future__ import annotations
+
+import glob
+import os
+import re
+from typing import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+
+from noctule import schemas
+
+FILE_NAME = re.compile(r"^database_(\d{4})(\d{2})(\d{2})\.db$")
+
+
+class DayFile(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class DayFilesReader(DataSourceReader):
+    def __init__(self, schema: T.StructType, options: dict):
+        self.fields = schema.fieldNames()
+        self.root = options["path"]
+        self.table = options["table"]
+        self.station = int(options.get("station", 0))
+
+    def partitions(self) -> list[InputPartition]:
+        paths = sorted(glob.glob(os.path.join(self.root, "database_*.db")))
+        return [DayFile(p) for p in paths if FILE_NAME.match(os.path.basename(p))]
+
+    def read(self, partition: DayFile) -> Iterator[tuple]:
+        import datetime as dt
+        import sqlite3
+
+        day = dt.date(*map(int, FILE_NAME.match(os.path.basename(partition.path)).groups()))
+        columns = [f for f in self.fields if f not in ("station", "day")]
+        link = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
+        try:
+            names = {row[0] for row in link.execute("select name from sqlite_master where type = 'table'")}
+            if self.table not in names:
+                return
+            for row in link.execute(f"select {', '.join(columns)} from {self.table} order by timestamp"):
+                yield (self.station, *row, day)
+        finally:
+            link.close()
+
+
+class DayFilesSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "noctule_day_files"
+
+    def schema(self) -> T.StructType:
+        return schemas.MEASUREMENTS[self.options["table"]]
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return DayFilesReader(schema, self.options)
+
+
+def import_days(spark: SparkSession, root: str, table: str, station: int = 0) -> DataFrame:
+    """All day files of one station as a measurement DataFrame."""
+    spark.dataSource.register(DayFilesSource)
+    return (spark.read.format(DayFilesSource.name()).option("path", root)
+            .option("table", table).option("station", str(station)).load())
