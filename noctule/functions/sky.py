@@ -95,13 +95,12 @@ def image_position(az: Column, alt: Column, cx: float, cy: float, radius: float,
     return cx + F.sin(angle) * r, cy - F.cos(angle) * r
 
 
-def equatorial(lon: Column, lat: Column, epoch: Column) -> tuple[Column, Column]:
+def equatorial(lon: Column, lat: Column, eps: Column) -> tuple[Column, Column]:
     """Ecliptic to right ascension and declination, degrees."""
-    eps = obliquity(epoch)
     tan_lat = F.tan(F.radians(lat))
     ra = F.degrees(F.atan2(_sin(lon) * _cos(eps) - tan_lat * _sin(eps), _cos(lon)))
     dec = F.degrees(F.asin(_sin(lat) * _cos(eps) + _cos(lat) * _sin(eps) * _sin(lon)))
-    return F.when(ra < 0, ra + 360.0).otherwise(ra), dec
+    return _wrap(ra), dec
 
 
 # Almanac series, angles in degrees.  Sun: d = days from J2000.
@@ -135,7 +134,7 @@ def sun_longitude(epoch: Column) -> Column:
 
 
 def sun_position(epoch: Column) -> tuple[Column, Column]:
-    return equatorial(sun_longitude(epoch), F.lit(0.0), epoch)
+    return equatorial(sun_longitude(epoch), F.lit(0.0), obliquity(epoch))
 
 
 def _series(epoch: Column, terms) -> Column:
@@ -156,7 +155,7 @@ def moon_latitude(epoch: Column) -> Column:
 
 
 def moon_position(epoch: Column) -> tuple[Column, Column]:
-    return equatorial(moon_longitude(epoch), moon_latitude(epoch), epoch)
+    return equatorial(moon_longitude(epoch), moon_latitude(epoch), obliquity(epoch))
 
 
 def sun_altitude(epoch: Column, lat, lon) -> Column:
@@ -221,33 +220,39 @@ def moon_phase(age: Column) -> Column:
     return out
 
 
-Altitude = Callable[[Column], Column]
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.  Lambda bodies are not
+    covered by the common-subexpression step of generated code."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def first_crossing(start: Column, altitude_at: Altitude, rising: bool, threshold: float = 0.0,
-                   step: int = 300, span: int = 86400) -> Column:
-    """Epoch of the first sample at or past the threshold, scanning a day in
-    fixed steps; NULL when there is none.  Runs inside the row: no explode,
-    no window, no shuffle."""
-    samples = F.sequence(start + step, start + span - step, F.lit(step))
+def bound_altitude(body: str, lat, lon) -> Callable[[Column], Column]:
+    """Altitude of sun or moon for use inside a lambda."""
 
-    def crossed(t: Column) -> Column:
-        before, now = altitude_at(t - step) - threshold, altitude_at(t) - threshold
-        return (before < 0) & (now >= 0) if rising else (before > 0) & (now <= 0)
+    def ecliptic(t: Column) -> Column:
+        lon_, lat_ = (sun_longitude(t), F.lit(0.0)) if body == "sun" else (moon_longitude(t), moon_latitude(t))
+        return F.struct(lon_.alias("l"), lat_.alias("b"), obliquity(t).alias("e"))
 
-    return F.try_element_at(F.filter(samples, crossed), F.lit(1))
+    def place(p: Column) -> Column:
+        ra, dec = equatorial(p["l"], p["b"], p["e"])
+        return F.struct(ra.alias("ra"), dec.alias("dec"))
 
+    def at(t: Column) -> Column:
+        return _bind(ecliptic(t), lambda p: _bind(place(p), lambda q: altitude(q["ra"], q["dec"], lat, lon, t)))
 
-def refine_crossing(hit: Column, altitude_at: Altitude, rising: bool, threshold: float = 0.0,
+    return at
+
+
+def refine_crossing(hit: Column, altitude_at: Callable[[Column], Column], rising: bool, threshold: float = 0.0,
                     step: int = 300, rounds: int = 20) -> Column:
-    """Halve the bracketing step ``rounds`` times; midpoint of what is left."""
+    """Halve the step before ``hit`` ``rounds`` times; midpoint of what is left."""
 
     def halve(state: Column, _: Column) -> Column:
         mid = (state["lo"] + state["hi"]) / 2.0
         level = altitude_at(mid) - threshold
         past = level >= 0 if rising else level <= 0
-        return F.struct(F.when(past, state["lo"]).otherwise(mid).alias("lo"),
-                        F.when(past, mid).otherwise(state["hi"]).alias("hi"))
+        return _bind(past, lambda p: F.struct(F.when(p, state["lo"]).otherwise(mid).alias("lo"),
+                                              F.when(p, mid).otherwise(state["hi"]).alias("hi")))
 
     initial = F.struct((hit - step).cast("double").alias("lo"), hit.cast("double").alias("hi"))
     return F.when(hit.isNotNull(), F.aggregate(

@@ -137,16 +137,27 @@ def all_objects(comets: DataFrame, times: DataFrame, time: str = "timestamp") ->
     return stars.unionByName(showers).unionByName(bodies).unionByName(comets)
 
 
+STEP = 300
+
+
 def rise_set(days: DataFrame, body: str, lat, lon, start: str = "day_start", threshold: float = 0.0,
-             refine: bool = False, names: tuple[str, str] = ("rise", "set")) -> DataFrame:
+             refine: bool = False, names: tuple[str, str] = ("rise", "set"), span: int = 86400) -> DataFrame:
     """First rise and set of sun or moon from a day's start on.
 
-    ``threshold`` -6 gives civil dawn and dusk; a day without one has NULL."""
+    ``days`` holds one row per place and day.  The day is sampled every five
+    minutes; samples of a day sit in one partition, so the aggregate that
+    finds the crossings reduces them before the shuffle.  ``threshold`` -6
+    gives civil dawn and dusk; a day without one has NULL."""
     position = {"sun": sky.sun_altitude, "moon": sky.moon_altitude}[body]
-    at = lambda t: position(t, lat, lon)
-    rows = days
-    for name, rising in zip(names, (True, False)):
-        rows = rows.withColumn(name, sky.first_crossing(F.col(start), at, rising, threshold))
-        if refine:
-            rows = rows.withColumn(name, sky.refine_crossing(F.col(name), at, rising, threshold))
-    return rows
+    t = F.col("_t")
+    samples = days.select("*", F.explode(F.sequence(
+        F.col(start) + STEP, F.col(start) + span - STEP, F.lit(STEP))).alias("_t"))
+    samples = samples.select(*days.columns, "_t", (position(t - STEP, lat, lon) - threshold).alias("_before"),
+                             (position(t, lat, lon) - threshold).alias("_now"))
+    tests = ((F.col("_before") < 0) & (F.col("_now") >= 0), (F.col("_before") > 0) & (F.col("_now") <= 0))
+    hits = samples.groupBy(*days.columns).agg(*[F.min(F.when(test, t)).alias(n) for n, test in zip(names, tests)])
+    if refine:
+        at = sky.bound_altitude(body, lat, lon)
+        hits = hits.withColumns({n: sky.refine_crossing(F.col(n), at, rising, threshold)
+                                 for n, rising in zip(names, (True, False))})
+    return hits
