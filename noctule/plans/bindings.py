@@ -28,7 +28,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 # --- observations from events -----------------------------------------------
 
 def obs(spark: SparkSession, root: str) -> DataFrame:
-    e = table(spark, root, "events")
+    return obs_from(table(spark, root, "events"))
+
+
+def obs_from(e: DataFrame) -> DataFrame:
+    """Observations from event rows, batch or streaming."""
     k = F.get_json_object("props", "$.k").cast("int")
     ts = F.col("ts").cast("timestamp")
     value = F.col("value")
@@ -169,7 +173,11 @@ pixels AS (
 
 def frames8(spark: SparkSession, root: str) -> DataFrame:
     """8 x 8 byte frames in ten series."""
-    e = table(spark, root, "embeddings").select(
+    return frames8_from(table(spark, root, "embeddings"))
+
+
+def frames8_from(e: DataFrame) -> DataFrame:
+    e = e.select(
         F.col("label").alias("series"), F.col("vec_id").alias("seq"), F.posexplode("embedding").alias("pos", "e"))
     return e.select("series", "seq", (F.col("pos") % STACK_SIDE).cast("int").alias("x"),
                     F.floor(F.col("pos") / STACK_SIDE).cast("int").alias("y"), F.lit(0).alias("c"),
