@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from noctule.functions import pixel as P
 from noctule.operators import focal
+from noctule.session import stored
 
 SITE = ["bracket", "x", "y"]
 
@@ -52,7 +53,7 @@ def linearize(pixels: DataFrame, frames: DataFrame, settings: Settings) -> DataF
         F.try_divide(first("exposure"), F.col("exposure")).alias("gain"),
         *[F.try_divide(first(f"median_{c}") / s, F.col(f"median_{c}") / s).alias(f"gain_{c}") for c, s in scales.items()],
         brightness.alias("brightness"), F.bool_and(usable).over(whole).alias("_ok"))
-    gains = gains.where("_ok").drop("_ok")
+    gains = stored(gains.where("_ok").drop("_ok"))
     rows = pixels if "a" in pixels.columns else pixels.withColumn("a", F.lit(1.0))
     rows = rows.join(gains, ["bracket", "k"]).withColumn("masked", _masked())
     rows = rows.withColumns({f"lin_{c}": F.col(c) * F.col("gain") * F.col(f"gain_{c}") for c in "rgb"})
@@ -71,7 +72,7 @@ def _with_y_max(rows: DataFrame, settings: Settings) -> DataFrame:
     guess = top * 1.1
     y_max = F.when(guess < 0.5, 1.0).when(guess > 5.0, 3.0).otherwise(guess)
     tops = tops.select("bracket", F.when(top > 0, y_max).otherwise(1.0).alias("y_max"))
-    return rows.join(tops, "bracket", "left").withColumn("y_max", F.coalesce("y_max", F.lit(1.0)))
+    return rows.join(stored(tops), "bracket", "left").withColumn("y_max", F.coalesce("y_max", F.lit(1.0)))
 
 
 def _shadow_mask() -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noctule.functions import sky
+from noctule.session import stored
 
 # The twenty brightest stars, (name, right ascension, declination) in degrees.
 BRIGHT_STARS = [
@@ -144,20 +145,23 @@ def rise_set(days: DataFrame, body: str, lat, lon, start: str = "day_start", thr
              refine: bool = False, names: tuple[str, str] = ("rise", "set"), span: int = 86400) -> DataFrame:
     """First rise and set of sun or moon from a day's start on.
 
-    ``days`` holds one row per place and day.  The day is sampled every five
-    minutes; samples of a day sit in one partition, so the aggregate that
+    ``lat`` and ``lon`` are degrees or names of columns of ``days``.  Each
+    distinct start and place is sampled once, every five minutes, however many
+    rows share it; the samples sit in one partition, so the aggregate that
     finds the crossings reduces them before the shuffle.  ``threshold`` -6
     gives civil dawn and dusk; a day without one has NULL."""
     position = {"sun": sky.sun_altitude, "moon": sky.moon_altitude}[body]
+    place = [start, *[c for c in (lat, lon) if isinstance(c, str)]]
+    lat, lon = (F.col(c) if isinstance(c, str) else c for c in (lat, lon))
     t = F.col("_t")
-    samples = days.select("*", F.explode(F.sequence(
+    samples = days.select(*place).distinct().select("*", F.explode(F.sequence(
         F.col(start) + STEP, F.col(start) + span - STEP, F.lit(STEP))).alias("_t"))
-    samples = samples.select(*days.columns, "_t", (position(t - STEP, lat, lon) - threshold).alias("_before"),
+    samples = samples.select(*place, "_t", (position(t - STEP, lat, lon) - threshold).alias("_before"),
                              (position(t, lat, lon) - threshold).alias("_now"))
     tests = ((F.col("_before") < 0) & (F.col("_now") >= 0), (F.col("_before") > 0) & (F.col("_now") <= 0))
-    hits = samples.groupBy(*days.columns).agg(*[F.min(F.when(test, t)).alias(n) for n, test in zip(names, tests)])
+    hits = samples.groupBy(*place).agg(*[F.min(F.when(test, t)).alias(n) for n, test in zip(names, tests)])
     if refine:
         at = sky.bound_altitude(body, lat, lon)
         hits = hits.withColumns({n: sky.refine_crossing(F.col(n), at, rising, threshold)
                                  for n, rising in zip(names, (True, False))})
-    return hits
+    return days.join(stored(hits, "rise-set"), place, "left")

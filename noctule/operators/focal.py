@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noctule.functions import pixel as P
+from noctule.session import stored
 
 TILE = 256
 
@@ -118,7 +119,7 @@ def local_contrast(pixels: DataFrame, keys: list[str], value: str, masked: Colum
     dev = mean(used, keys, "_u", 1, out="_m", tile=tile)
     dev = dev.withColumn("_d", F.coalesce(F.abs(F.col("_u") - F.col("_m")), F.lit(0.0))).drop("_m", "_u")
     tops = dev.groupBy(*keys).agg(F.greatest(F.max("_d"), F.lit(1e-12)).alias("_top"))
-    return dev.join(tops, keys).withColumn(out, P.clamp(F.col("_d") / F.col("_top"))).drop("_d", "_top")
+    return dev.join(stored(tops), keys).withColumn(out, P.clamp(F.col("_d") / F.col("_top"))).drop("_d", "_top")
 
 
 def convolve(pixels: DataFrame, keys: list[str], value: str, kernel: dict[int, float],

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from noctule.session import stored
+
 UNBOUNDED = 1_000_000_000
 
 
@@ -82,7 +84,7 @@ def by_hour(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
             position: list[str], by: list[str] | None = None, how: str = "inner") -> DataFrame:
     """Join on the hour; the first right row of an hour counts."""
     by = by or []
-    hours = right.groupBy(*by, F.floor(F.col(right_time) / 3600).alias("_hour")).agg(
-        F.min_by(F.struct(*payload), F.struct(*position)).alias("_p"))
+    hours = stored(right.groupBy(*by, F.floor(F.col(right_time) / 3600).alias("_hour")).agg(
+        F.min_by(F.struct(*payload), F.struct(*position)).alias("_p")))
     joined = left.withColumn("_hour", F.floor(F.col(left_time) / 3600)).join(hours, [*by, "_hour"], how)
     return joined.select(*left.columns, "_p.*")

@@ -1,9 +1,10 @@
 """Frame statistics and the corrections derived from them.
 
 Input is the long pixel table ``(frame_id, x, y, r, g, b[, a])`` with values
-in 0..1.  Statistics are partial aggregates by frame; applying them is an equi
-join with one row per frame, which the adaptive planner broadcasts when its
-measured size allows and otherwise splits where a frame is hot.
+in 0..1.  Statistics are partial aggregates by frame, written down before they
+are joined back, so that the planner knows their size: one row per frame is
+broadcast while small, and otherwise the join is shuffled and hot frames are
+split.  The pixel table itself is only scanned.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from noctule.functions import pixel as P
 from noctule.operators import ranks
+from noctule.session import stored
 
 FRAME = "frame_id"
 
@@ -60,27 +62,27 @@ def median_brightness(pixels: DataFrame, width=None, height=None, fraction: floa
     r, g, b = _rgb()
     inside = F.lit(True) if width is None else center(width, height, fraction)
     used = inside & ~((r == 0) & (g == 0) & (b == 0))
-    levels = _channels(pixels.where(used), [FRAME])
-    level = F.floor(P.clamp(F.col("v")) * (bins - 1) + 0.5)
-    counts = levels.groupBy(FRAME, "c", level.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    # at most `bins` rows per frame and channel
+    # unused pixels count in bin -1, so that a frame without others is not lost
+    levels = _channels(pixels.select(FRAME, "r", "g", "b", used.alias("_used")), [FRAME, "_used"])
+    level = F.when(F.col("_used"), F.floor(P.clamp(F.col("v")) * (bins - 1) + 0.5)).otherwise(-1)
+    counts = levels.groupBy(FRAME, "c", level.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("n", F.when(F.col("bin") >= 0, F.col("_n")).otherwise(0))
+    # at most `bins` + 1 rows per frame and channel
     channel = W.partitionBy(FRAME, "c")
     counts = counts.select("*", F.sum("n").over(channel.orderBy("bin")).alias("upto"),
                            F.sum("n").over(channel).alias("total"))
     middle = F.floor((F.floor(F.col("total") * 0.02) + F.floor(F.col("total") * 0.98)) / 2)
-    medians = counts.where(F.col("upto") >= middle).groupBy(FRAME).agg(
-        *[F.min(F.when(F.col("c") == c, F.col("bin"))).alias(c) for c in "rgb"])
-    medians = medians.select(FRAME, *[(F.col(c) / float(bins - 1)).alias(f"median_{c}") for c in "rgb"])
-    frames = pixels.groupBy(FRAME).agg(F.count(F.lit(1)).alias("_all")).select(FRAME)
-    return frames.join(medians, FRAME, "left").select(
-        FRAME, *[F.coalesce(f"median_{c}", F.lit(0.0)).alias(f"median_{c}") for c in "rgb"])
+    hit = (F.col("bin") >= 0) & (F.col("upto") >= middle)
+    return counts.groupBy(FRAME).agg(*[
+        F.coalesce(F.min(F.when((F.col("c") == c) & hit, F.col("bin"))) / float(bins - 1), F.lit(0.0)).alias(f"median_{c}")
+        for c in "rgb"])
 
 
 def noise_sigma(pixels: DataFrame, medians: DataFrame, cx: int, cy: int, radius: int) -> DataFrame:
     """1.4826 times the median absolute deviation of green from the frame's
     ``median_g``, within a circle."""
     used = pixels.where(P.in_circle(F.col("x"), F.col("y"), cx, cy, radius) & (F.col("g") > 0))
-    deviation = used.join(medians.select(FRAME, "median_g"), FRAME).select(
+    deviation = used.join(stored(medians.select(FRAME, "median_g"), "medians"), FRAME).select(
         FRAME, F.abs(F.col("g") - F.col("median_g")).alias("d"))
     return ranks.median(deviation, [FRAME], "d").select(
         FRAME, F.col("n").alias("n_pixels"), (F.col("median") * 1.4826).alias("sigma_noise"))
@@ -127,7 +129,7 @@ def color_statistics(pixels: DataFrame, width, height, percent: float) -> DataFr
 
 def auto_color(pixels: DataFrame, width, height, percent: float) -> DataFrame:
     """Cap at ``target + 3 sigma``, then balance the channels."""
-    joined = pixels.join(color_statistics(pixels, width, height, percent), FRAME)
+    joined = pixels.join(stored(color_statistics(pixels, width, height, percent)), FRAME)
     return joined.select(FRAME, "x", "y", *[
         P.clamp(F.least(F.col(c), F.col("cap")) * F.col(f"scale_{c}")).alias(c) for c in "rgb"])
 
@@ -206,7 +208,7 @@ def ambience_scales(pixels: DataFrame, scenes: DataFrame, width, height) -> Data
     usable pixels are averaged again within a luminance band around their
     mean; a band of under 50 pixels falls back to all of them."""
     settings = scenes.select(FRAME, *[_by_scene(i).alias(n) for i, n in enumerate(AMBIENCE_FIELDS)])
-    settings = settings.where("percent is not null")
+    settings = stored(settings.where("percent is not null"))
     r, g, b = _rgb()
     y, s = P.luma(r, g, b), P.saturation(r, g, b, floor=0.0)
     used = pixels.join(settings, FRAME).where(
@@ -216,7 +218,7 @@ def ambience_scales(pixels: DataFrame, scenes: DataFrame, width, height) -> Data
     band = used.groupBy(FRAME).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_y").alias("_m"), F.avg(F.col("_y") * F.col("_y")).alias("_m2"))
     deviation = F.sqrt(F.greatest(F.col("_m2") - F.col("_m") * F.col("_m"), F.lit(0.0)))
-    band = band.where("n >= 100").select(FRAME, "n", "_m", deviation.alias("_sd"))
+    band = stored(band.where("n >= 100").select(FRAME, "n", "_m", deviation.alias("_sd")))
     near = (F.col("_sd") <= 0) | (F.abs(F.col("_y") - F.col("_m")) <= F.col("sigma") * F.col("_sd"))
     sums = used.join(band, FRAME).groupBy(FRAME, "n", "mix").agg(
         F.count_if(near).alias("n_band"),
@@ -234,7 +236,7 @@ def ambience_scales(pixels: DataFrame, scenes: DataFrame, width, height) -> Data
 
 def ambience(pixels: DataFrame, scales: DataFrame) -> DataFrame:
     """Apply ambience gains; frames without any stay as they are."""
-    joined = pixels.join(scales, FRAME, "left")
+    joined = pixels.join(stored(scales), FRAME, "left")
     return joined.select(FRAME, "x", "y", *[
         F.when(F.col("applied") == 1, P.clamp(F.col(c) * F.col(f"scale_{c}"))).otherwise(F.col(c)).alias(c)
         for c in "rgb"])
@@ -281,7 +283,7 @@ def black_point_statistics(pixels: DataFrame, min_shift: float, max_shift: float
 
 def black_point(pixels: DataFrame, min_shift: float, max_shift: float, dark: float) -> DataFrame:
     stats = black_point_statistics(pixels, min_shift, max_shift, dark)
-    joined = pixels.join(stats.select(FRAME, "min_y", "max_y", "shift"), FRAME, "left")
+    joined = pixels.join(stored(stats.select(FRAME, "min_y", "max_y", "shift")), FRAME, "left")
     span = F.col("max_y") - F.col("min_y")
     black = F.col("min_y") + F.col("shift") * span
     move = (F.col("shift") > 0) & ~P.is_black(*_rgb(), P.EPS)
@@ -301,7 +303,7 @@ def stretch_levels(pixels: DataFrame, low: float, high: float) -> DataFrame:
 
 def autostretch(pixels: DataFrame, low: float, high: float) -> DataFrame:
     """Linear stretch between the percentiles; flat frames stay unchanged."""
-    joined = pixels.join(stretch_levels(pixels, low, high), FRAME, "left")
+    joined = pixels.join(stored(stretch_levels(pixels, low, high)), FRAME, "left")
     return joined.select(FRAME, "x", "y", *[
         F.when(F.col("n").isNull(), F.col(c))
         .otherwise(P.clamp(F.try_divide(F.col(c) - F.col("black"), F.col("white") - F.col("black")))).alias(c)
@@ -312,7 +314,7 @@ def normalize_range(pixels: DataFrame, lo: float = 0.0, hi: float = 1.0) -> Data
     """Rescale the pooled channel range of each frame to ``lo..hi``."""
     stats = pixels.groupBy(FRAME).agg(F.min(F.least(*_rgb())).alias("_lo"), F.max(F.greatest(*_rgb())).alias("_hi"))
     span = F.when(F.col("_hi") - F.col("_lo") < P.EPS, 1.0).otherwise(F.col("_hi") - F.col("_lo"))
-    return pixels.join(stats, FRAME).select(FRAME, "x", "y", *[
+    return pixels.join(stored(stats), FRAME).select(FRAME, "x", "y", *[
         P.clamp(lo + (F.col(c) - F.col("_lo")) / span * (hi - lo), lo, hi).alias(c) for c in "rgb"])
 
 
@@ -320,7 +322,7 @@ def normalize8(pixels: DataFrame) -> DataFrame:
     """Pooled range of each frame to integers 0..255; a flat frame becomes 0."""
     stats = pixels.groupBy(FRAME).agg(F.min(F.least(*_rgb())).alias("_lo"), F.max(F.greatest(*_rgb())).alias("_hi"))
     gain = F.when(F.col("_hi") > F.col("_lo"), F.try_divide(F.lit(255.0), F.col("_hi") - F.col("_lo"))).otherwise(1.0)
-    return pixels.join(stats, FRAME).select(FRAME, "x", "y", *[
+    return pixels.join(stored(stats), FRAME).select(FRAME, "x", "y", *[
         F.floor(F.least((F.col(c) - F.col("_lo")) * gain, F.lit(255.0))).cast("int").alias(c) for c in "rgb"])
 
 
@@ -328,7 +330,7 @@ def tonemap16(pixels: DataFrame) -> DataFrame:
     """Per-channel range to 0..65535; ranges under 1 count as 1."""
     stats = pixels.groupBy(FRAME).agg(*[F.min(c).alias(f"_lo_{c}") for c in "rgb"],
                                       *[F.max(c).alias(f"_hi_{c}") for c in "rgb"])
-    return pixels.join(stats, FRAME).select(FRAME, "x", "y", *[
+    return pixels.join(stored(stats), FRAME).select(FRAME, "x", "y", *[
         ((F.col(c) - F.col(f"_lo_{c}"))
          / F.greatest(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"), F.lit(1.0)) * 65535.0).alias(c) for c in "rgb"])
 
@@ -352,7 +354,7 @@ def white_balance(pixels: DataFrame, scale_r: float, scale_g: float, scale_b: fl
     tops = pixels.groupBy(FRAME).agg(*[F.greatest(F.max(c), F.lit(0.0)).alias(f"_top_{c}") for c in "rgb"])
     peak = F.greatest(*[F.col(f"_top_{c}") * s for c, s in gains.items()])
     tops = tops.select(FRAME, F.when(peak > 1.10, F.try_divide(F.lit(1.0), peak)).otherwise(1.0).alias("_att"))
-    scaled = pixels.join(tops, FRAME).select(
+    scaled = pixels.join(stored(tops), FRAME).select(
         FRAME, "x", "y", *[(F.col(c) * (s * F.col("_att"))).alias(c) for c, s in gains.items()])
     top = F.greatest(*_rgb())
     limit = F.when(top > 1.0, 1.0 - (1.0 - F.try_divide(F.lit(1.0), top)) * protect).otherwise(1.0)

@@ -3,7 +3,8 @@
 Two rounds of binning find the narrow interval that holds a wanted rank; only
 the distinct values of that interval are ranked.  Every round is a partial
 aggregate, so what is shuffled is counts, and a group that holds most of the
-table is still counted by all tasks.
+table is still counted by all tasks.  Three column-pruned scans replace a sort
+of all values.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from noctule.session import stored
+
 Rank = Callable[[Column], Column]
 
 
@@ -38,11 +41,11 @@ def rank_values(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, R
     counts = _locate(counts.withColumn("_q", F.explode(wanted)).select(
         "*", F.col("_q.name").alias("_name"), F.col("_q.rank").alias("_rank")).drop("_q"),
         [*keys, "_name"], "_b1")
-    first = counts.select(*keys, "n", "_name", "_b1", "_rank")
+    first = stored(counts.select(*keys, "n", "_name", "_b1", "_rank"), "ranks")
 
     inside = source.join(first, [*keys, "_b1"])
     counts = inside.groupBy(*keys, "n", "_name", "_rank", "_b1", "_b2").agg(F.count(F.lit(1)).alias("_n"))
-    second = _locate(counts, [*keys, "_name"], "_b2").select(*keys, "n", "_name", "_b1", "_b2", "_rank")
+    second = stored(_locate(counts, [*keys, "_name"], "_b2").select(*keys, "n", "_name", "_b1", "_b2", "_rank"), "ranks")
 
     inside = source.join(second, [*keys, "_b1", "_b2"])
     counts = inside.groupBy(*keys, "n", "_name", "_rank", "_v").agg(F.count(F.lit(1)).alias("_n"))
@@ -74,7 +77,7 @@ def lowest_mean(rows: DataFrame, keys: list[str], value: str, fraction: float, *
     """``(keys, n, mean)`` of the lowest ``fraction`` of values, one at least."""
     cut = rank_values(rows, keys, value, {
         "_cut": lambda n: F.greatest(F.floor(n * fraction), F.lit(1))}, **bounds)
-    cut = cut.withColumn("_k", F.greatest(F.floor(F.col("n") * fraction), F.lit(1)))
+    cut = stored(cut.withColumn("_k", F.greatest(F.floor(F.col("n") * fraction), F.lit(1))), "cut")
     below = rows.join(cut, keys).groupBy(*keys, "n", "_k", "_cut").agg(
         F.sum(F.when(F.col(value) < F.col("_cut"), F.col(value)).otherwise(0.0)).alias("_s"),
         F.count_if(F.col(value) < F.col("_cut")).alias("_below"))

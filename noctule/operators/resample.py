@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noctule.session import stored
+
 CHANNELS = ["r", "g", "b"]
 
 
@@ -162,6 +164,6 @@ def _integral(rows: DataFrame, column: str) -> bool:
 
 def same_size(frames: DataFrame, series: str, order: str) -> DataFrame:
     """Frames as large as the first of their series."""
-    first = frames.groupBy(series).agg(F.min_by(F.struct("width", "height"), order).alias("_first"))
+    first = stored(frames.groupBy(series).agg(F.min_by(F.struct("width", "height"), order).alias("_first")))
     return frames.join(first, series).where(
         (F.col("width") == F.col("_first.width")) & (F.col("height") == F.col("_first.height"))).drop("_first")

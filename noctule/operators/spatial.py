@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noctule.session import stored
+
 #: edge of the coarse cells; the sphere in degrees has at most 408 of them
 #: (longitude -180..360, latitude -90..90)
 COARSE = 16
@@ -31,7 +33,7 @@ def nearest_point(sites: DataFrame, grid: DataFrame, cell: float = 1.0, wrap_lon
     equi join on cells settles every site that has one.  The others look at
     the coarse cells that can still hold their closest point; those cells are
     a bounded list, kept as a scalar subquery."""
-    points = _images(grid, wrap_lon)
+    points = stored(_images(grid, wrap_lon), "grid")
     around = F.sequence(F.lit(-1), F.lit(1))
     spread = points.select("*", F.explode(around).alias("_i")).select("*", F.explode(around).alias("_j"))
     spread = spread.select("pos", "val", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"),

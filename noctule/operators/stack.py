@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from noctule.session import stored
+
 PIXEL = ["series", "x", "y", "c"]
 SEGMENT = 512
 
@@ -88,6 +90,8 @@ def motion(frames: DataFrame, threshold: float, segment: int = SEGMENT) -> DataF
     step = F.abs(F.col("v") - F.col("run_min")).cast("double")
     sums = running(frames, segment).groupBy(*PIXEL).agg(
         F.sum(F.when(step >= threshold, step).otherwise(0.0)).alias("_a"), F.count(F.lit(1)).alias("n_frames"))
+    # the sums are used twice: for their maximum and scaled by it
+    sums = stored(sums, "motion")
     tops = sums.groupBy("series").agg(F.max("_a").alias("_top"))
     scaled = F.when(F.col("_top") > 0, F.col("_a") * F.try_divide(F.lit(255.0), F.col("_top"))).otherwise(0.0)
-    return sums.join(tops, "series").select(*PIXEL, "n_frames", to_byte(scaled).alias("v"))
+    return sums.join(stored(tops), "series").select(*PIXEL, "n_frames", to_byte(scaled).alias("v"))

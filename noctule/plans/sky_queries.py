@@ -297,11 +297,8 @@ u AS (SELECT event_id, CASE WHEN rise >= t THEN rise - t ELSE rise + 86400 - t E
 SELECT event_id, lpad(CAST(r // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(r % 3600 // 60 AS VARCHAR), 2, '0') AS until_rise,
   lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') AS until_set FROM u""")
 def time_until(spark, root):
-    # crossings are computed once per local day and joined back
     start = sky.local_day_start(F.col("timestamp"), F.col("timezone_offset"))
-    days = _station_days(spark, root).groupBy("day_start").agg(F.lit(1).alias("_one")).drop("_one")
-    days = catalog.rise_set(days, "sun", LAT, LON)
-    rows = _obs(spark, root).withColumn("day_start", start).join(days, "day_start")
+    rows = catalog.rise_set(_obs(spark, root).withColumn("day_start", start), "sun", LAT, LON)
     until = {n: sky.seconds_until(F.col(c), F.col("timestamp")) for n, c in (("until_rise", "rise"), ("until_set", "set"))}
     return rows.select("event_id", *[text.clock(e).alias(n) for n, e in until.items()])
 

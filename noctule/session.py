@@ -62,9 +62,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_root(spark))
-    return df.checkpoint()
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` below the shared folder and read it back.
+
+    Meant for per-group statistics that are joined to the table they came
+    from.  The planner knows the size of a written table: it broadcasts one
+    under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles a larger one.
+    Without this it would have to assume the worst and shuffle the big side.
+    It also survives the loss of executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -41,16 +41,21 @@ def audit(settings: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     ``status``: ok, unknown (set but not documented), unset (documented but
     set nowhere), out_of_range, not_numeric (a bounded key with a text)."""
-    joined = settings.join(dictionary, "key", "full_outer")
+    # one row per key and station: hot keys, so no full outer join on the key
+    joined = settings.join(dictionary, "key", "left")
     number = F.col("value").try_cast("double")
     status = (
-        F.when(F.col("station").isNull(), "unset")
-        .when(F.col("description").isNull(), "unknown")
+        F.when(F.col("description").isNull(), "unknown")
         .when(F.col("lo").isNotNull() & number.isNull(), "not_numeric")
         .when((number < F.col("lo")) | (number > F.col("hi")), "out_of_range")
         .otherwise("ok")
     )
-    return joined.select("station", "key", "value", "description", status.alias("status"))
+    checked = joined.select("station", "key", "value", "description", status.alias("status"))
+    used = settings.groupBy("key").agg(F.lit(1).alias("_one"))
+    unset = dictionary.join(used, "key", "left_anti").select(
+        F.lit(None).cast(settings.schema["station"].dataType).alias("station"), "key",
+        F.lit(None).cast("string").alias("value"), "description", F.lit("unset").alias("status"))
+    return checked.unionByName(unset)
 
 
 def explode_help(dictionary: DataFrame, column: str = "help") -> DataFrame:
