@@ -42,11 +42,12 @@ def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
     buckets = times.groupBy(*by, "_bucket").agg(F.lit(1).alias("_used"))
     edges = buckets.join(edges, [*by, "_bucket"], "full_outer")
     # one row per bucket: the summary of a century of days is 36,500 rows per key
-    line = W.partitionBy(*by).orderBy("_bucket")
+    def passed(order):  # everything up to the row before; a frame that only grows costs one step per row
+        return W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+
     edges = edges.select(
-        *by, "_bucket", "_used",
-        F.last("_tail", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
-        F.first("_head", ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+        *by, "_bucket", "_used", F.last("_tail", ignorenulls=True).over(passed(F.asc("_bucket"))).alias("_before"),
+        F.last("_head", ignorenulls=True).over(passed(F.desc("_bucket"))).alias("_after"))
     carried = edges.where("_used = 1").select(*by, "_bucket", F.explode(F.array("_before", "_after")).alias("_e"))
     carried = carried.where("_e is not null").select(*by, "_bucket", "_e._t", "_e._p")
 
@@ -54,10 +55,12 @@ def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
         rights.schema["_p"].dataType).alias("_p")).unionByName(
         rights.unionByName(carried).withColumn("_side", F.lit(0)))
     right_row = F.when(F.col("_side") == 0, F.struct("_t", "_p"))
-    line = W.partitionBy(*by, "_bucket").orderBy("_t", "_side")
-    timeline = timeline.select(
-        "*", F.last(right_row, ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, 0)).alias("_before"),
-        F.first(right_row, ignorenulls=True).over(line.rowsBetween(0, W.unboundedFollowing)).alias("_after"))
+
+    def seen(order):
+        return W.partitionBy(*by, "_bucket").orderBy(order, "_side").rowsBetween(W.unboundedPreceding, 0)
+
+    timeline = timeline.select("*", F.last(right_row, ignorenulls=True).over(seen(F.asc("_t"))).alias("_before"),
+                               F.last(right_row, ignorenulls=True).over(seen(F.desc("_t"))).alias("_after"))
     found = timeline.where("_side = 1")
     closer = F.col("_after._t") - F.col("_t") < F.col("_t") - F.col("_before._t")
     choice = F.when(F.col("_before").isNull() | closer, F.col("_after")).otherwise(F.col("_before"))
