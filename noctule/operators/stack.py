@@ -1,9 +1,11 @@
 """Frame stacks: one result per pixel over a series of 8-bit frames.
 
 Input ``(series, seq, x, y, c, v)``.  Final stacks are partial aggregates by
-pixel.  Stacks that depend on frame order cut a series into segments of
-frames; a segment starts from the running totals of those before it, so a
-pixel's window never exceeds a segment.
+pixel.  Stacks that depend on frame order use a window per pixel that only
+grows: one shuffle, as many groups as the frames have pixels, and a group as
+long as the series has frames (a night: hundreds to thousands).  For endless
+series, ``segment`` cuts them: a segment starts from the running totals of
+those before it, at the price of a second shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 from noctule.session import stored
 
 PIXEL = ["series", "x", "y", "c"]
-SEGMENT = 512
 
 
 def to_byte(v: Column) -> Column:
@@ -23,7 +24,7 @@ def to_byte(v: Column) -> Column:
     return F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)) + 0.5).cast("int")
 
 
-def stack(frames: DataFrame, mode: str, threshold: float = 3.0, segment: int = SEGMENT) -> DataFrame:
+def stack(frames: DataFrame, mode: str, threshold: float = 3.0, segment: int | None = None) -> DataFrame:
     """Stack a series: ``avg max min sum median sigma sigma_reject diff
     motion``.  ``sigma`` clamps the mean to a band around itself and so equals
     it; ``sigma_reject`` drops values outside the band."""
@@ -57,8 +58,13 @@ def _reject(frames: DataFrame, threshold: float) -> DataFrame:
     return kept.select(*PIXEL, "n_frames", to_byte(F.coalesce("_s", "_m")).alias("v"))
 
 
-def running(frames: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def running(frames: DataFrame, segment: int | None = None) -> DataFrame:
     """Adds the running count, sum, minimum and maximum up to each frame."""
+    if segment is None:
+        line = W.partitionBy(*PIXEL).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+        return frames.select(*PIXEL, F.col("seq").cast("long").alias("seq"), "v", F.count(F.lit(1)).over(line).alias("run_n"),
+                             F.sum("v").over(line).alias("run_sum"), F.min("v").over(line).alias("run_min"),
+                             F.max("v").over(line).alias("run_max"))
     rows = frames.select(*PIXEL, "seq", "v", F.floor(F.col("seq") / segment).alias("_seg"))
     totals = rows.groupBy(*PIXEL, "_seg").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("v").alias("_s"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
@@ -77,14 +83,14 @@ def running(frames: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return out.where("seq is not null")
 
 
-def running_stack(frames: DataFrame, mode: str = "avg", segment: int = SEGMENT) -> DataFrame:
+def running_stack(frames: DataFrame, mode: str = "avg", segment: int | None = None) -> DataFrame:
     """Frame i of the timelapse: the stack of frames 1..i."""
     value = {"avg": F.col("run_sum") / F.col("run_n"), "sum": F.col("run_sum").cast("double"),
              "min": F.col("run_min").cast("double"), "max": F.col("run_max").cast("double")}[mode]
     return running(frames, segment).select(*PIXEL, "seq", to_byte(value).alias("v"))
 
 
-def motion(frames: DataFrame, threshold: float, segment: int = SEGMENT) -> DataFrame:
+def motion(frames: DataFrame, threshold: float, segment: int | None = None) -> DataFrame:
     """Sum of the steps above the running background that reach the
     threshold, scaled so that the series' strongest pixel is 255."""
     step = F.abs(F.col("v") - F.col("run_min")).cast("double")

@@ -46,7 +46,7 @@ _THRESHOLDS = {"motion": 40.0, "sigma_reject": 1.5}
 def _register(mode):
     @query(f"stack_{mode}", _STACKS[mode])
     def run(spark, root):
-        return stack.stack(b.frames8(spark, root), mode, _THRESHOLDS.get(mode, 3.0), segment=128)
+        return stack.stack(b.frames8(spark, root), mode, _THRESHOLDS.get(mode, 3.0))
 
 
 for _mode in _STACKS:
@@ -58,7 +58,7 @@ WITH {b.FRAMES8}, w AS (SELECT series, x, y, c, seq, CAST(sum(v) OVER p AS DOUBL
   WINDOW p AS (PARTITION BY series, x, y, c ORDER BY seq))
 SELECT series, x, y, c, seq, {_byte('s')} FROM w""")
 def running_stack(spark, root):
-    return stack.running_stack(b.frames8(spark, root), "avg", segment=128)
+    return stack.running_stack(b.frames8(spark, root), "avg")
 
 
 # --- brackets ---------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +61,16 @@ def append(rows: DataFrame, root: str, kind: str, mode: str = "append") -> None:
 
 def insert(spark: SparkSession, rows: DataFrame, root: str, kind: str,
            arrival: Column | None = None) -> None:
-    """Append the rows that are new to the stored table."""
+    """Append the rows that are new to the stored table.
+
+    Only the days the rows fall on are read back; an anti join prunes nothing
+    by itself."""
+    days = [r.day for r in rows.select(text.epoch_to_day(F.col("timestamp")).alias("day")).distinct().collect()]
     try:
-        stored = spark.read.schema(schemas.MEASUREMENTS[kind]).parquet(f"{root}/{kind}").select(*KEY)
-        stored.schema  # noqa: B018 - resolves the path
-        existing = stored
-    except Exception as error:  # the first write finds no folder yet
-        if "PATH_NOT_FOUND" not in str(error):
+        existing = spark.read.schema(schemas.MEASUREMENTS[kind]).parquet(f"{root}/{kind}")
+        existing = existing.where(F.col("day").isin(days)).select(*KEY)
+    except AnalysisException as error:  # the first write finds no folder yet
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         existing = spark.createDataFrame([], "station long, timestamp long")
     append(insert_if_absent(existing, rows, KEY, arrival), root, kind)

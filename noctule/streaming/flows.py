@@ -1,16 +1,18 @@
 """Ingest, de-duplication, windows, running stacks and snapshots.
 
-``run`` drives a stream over what is there now and returns what it wrote; a
-deployment starts the same streams with a processing-time trigger.
+``run`` drives a stream over what is there now and returns what it wrote;
+``start`` with an interval polls, as a deployment does.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from noctule.session import scratch_path
 from noctule.streaming.state import ROCKSDB
@@ -19,45 +21,45 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def files(spark: SparkSession, root: str, schema: T.StructType, pattern: str = "*.parquet",
-          files_per_batch: int | None = None) -> DataFrame:
-    """Stream of parquet files dropped into a folder."""
+          files_per_batch: int = 1000) -> DataFrame:
+    """Stream of parquet files dropped into a folder.  The number of files per
+    micro-batch bounds what one step of a stateful operator has to hold."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(root)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(root)
 
 
-def run(stream: DataFrame, name: str, mode: str = "append", partition_by: list[str] | None = None,
-        batch: Callable[[DataFrame, int], None] | None = None, target: str | None = None,
-        checkpoint: str | None = None) -> DataFrame | None:
-    """Process everything available and stop.
+def start(stream: DataFrame, name: str, mode: str = "append", partition_by: list[str] | None = None,
+          batch: Callable[[DataFrame, int], None] | None = None, target: str | None = None,
+          checkpoint: str | None = None, every: str | None = None) -> StreamingQuery:
+    """Start a stream: polling ``every`` interval, or once over what is there.
 
-    Appends go to a parquet sink, which is exactly-once by itself, and are
-    read back from there; ``batch`` replaces that sink."""
+    Appends go to a parquet sink, which is exactly-once by itself; ``batch``
+    replaces that sink.  Give ``target`` and ``checkpoint`` to go on later."""
     spark = stream.sparkSession
-    target = target or scratch_path(spark, name)
-    checkpoint = checkpoint or scratch_path(spark, name + "-checkpoint")
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        writer = writer.trigger(availableNow=True)
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or scratch_path(spark, name + "-checkpoint"))
+        writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
         if batch is not None:
-            writer = writer.foreachBatch(batch)
-        else:
-            writer = writer.format("parquet").option("path", target)
-            if partition_by:
-                writer = writer.partitionBy(*partition_by)
-        job = writer.start()
-        job.awaitTermination()
+            return writer.foreachBatch(batch).start()
+        writer = writer.format("parquet").option("path", target or scratch_path(spark, name))
+        return (writer.partitionBy(*partition_by) if partition_by else writer).start()
     finally:
+        # the running stream has its own copy of the settings
         if before is None:
             spark.conf.unset(PROVIDER)
         else:
             spark.conf.set(PROVIDER, before)
-    if batch is not None:
+
+
+def run(stream: DataFrame, name: str, target: str | None = None, **options) -> DataFrame | None:
+    """Process everything available, stop, and return what was appended."""
+    target = target or scratch_path(stream.sparkSession, name)
+    start(stream, name, target=target, **options).awaitTermination()
+    if options.get("batch") is not None:
         return None
-    return spark.read.schema(stream.schema).parquet(target)
+    return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
 def versions(target: str) -> Callable[[DataFrame, int], None]:
@@ -119,8 +121,8 @@ def latest_sink(spark: SparkSession, target: str, key: list[str], order: list[st
             try:
                 before = session.read.schema(schema).parquet(f"{target}/snapshot={batch_id - 1}")
                 merged = latest(merged.unionByName(before), key, order)
-            except Exception as error:  # the first batch had no rows to keep
-                if "PATH_NOT_FOUND" not in str(error):
+            except AnalysisException as error:  # the first batch had no rows to keep
+                if error.getCondition() != "PATH_NOT_FOUND":
                     raise
         merged.write.mode("overwrite").parquet(f"{target}/snapshot={batch_id}")
 

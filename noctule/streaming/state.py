@@ -54,11 +54,40 @@ class OrderedFold(StatefulProcessor):
 
 
 def _run(rows: DataFrame, processor: OrderedFold, extra: str) -> DataFrame:
+    """A stream keeps state between batches; a table is replayed."""
+    if not rows.isStreaming:
+        return replay(rows, processor, extra)
     schema = "station bigint, event_id bigint, timestamp bigint" + (", " + extra if extra else "")
     return rows.groupBy("station").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
 
 
+def replay(rows: DataFrame, fold: OrderedFold, extra: str) -> DataFrame:
+    """Batch twin of the stateful operators, for history.
+
+    Rows stream through sorted partitions in Arrow batches; a task holds one
+    batch and one state, however long a station's chain is.  The chain itself
+    is sequential: every step needs the one before."""
+    schema = "station bigint, event_id bigint, timestamp bigint" + (", " + extra if extra else "")
+    names = ["station", "event_id", fold.time, *fold.columns]
+    step, initial, time = fold.step, fold.initial, fold.time
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        station, state = None, initial
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.station != station:
+                    station, state = row.station, initial
+                state, values = step(state, row)
+                if values is not None:
+                    out.append((station, row.event_id, getattr(row, time), *values))
+            yield pd.DataFrame(out, columns=names)
+
+    ordered = rows.repartition("station").sortWithinPartitions("station", time, "event_id")
+    return ordered.mapInPandas(run, schema)
+
+
 def exposure_control(rows: DataFrame, limits: Limits, start: tuple[float, float],
                      targets: tuple[float, float]) -> DataFrame:
     """Exposure and gain after each observation; the output of a step is the

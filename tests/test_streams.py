@@ -46,6 +46,9 @@ def test_exposure_is_carried_over_batches_and_late_rows_dropped(arriving):
     for s, i, _, b, night in data:
         held[s] = want[i] = advance(b, *held[s], (0.3, 0.15)[night], LIMITS)
     assert got == want
+    table = out.sparkSession.createDataFrame(data, ROWS)
+    replayed = state.exposure_control(table, LIMITS, (1.0, 100.0), (0.3, 0.15)).collect()
+    assert {r.event_id: (r.exposure, r.gain) for r in replayed} == want
 
 
 def test_controller_is_carried_over_batches(arriving):
