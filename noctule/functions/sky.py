@@ -52,23 +52,33 @@ def obliquity(epoch: Column) -> Column:
     return 23.0 + 26.0 / 60.0 + seconds / 3600.0
 
 
-def altitude(ra: Column, dec: Column, lat, lon, epoch: Column) -> Column:
-    h = _wrap(sidereal_time(epoch, lon) - ra)
+def hour_angle(lst: Column, ra: Column) -> Column:
+    return _wrap(lst - ra)
+
+
+def altitude_at(h: Column, dec: Column, lat) -> Column:
+    """From an hour angle, all in degrees."""
     phi = _c(lat)
     s = _sin(dec) * _sin(phi) + _cos(dec) * _cos(phi) * _cos(h)
     return F.degrees(F.asin(F.least(F.greatest(s, F.lit(-1.0)), F.lit(1.0))))
 
 
-def azimuth(ra: Column, dec: Column, lat, lon, epoch: Column) -> Column:
-    """Clockwise from north."""
-    h = _wrap(sidereal_time(epoch, lon) - ra)
+def azimuth_at(h: Column, dec: Column, alt: Column, lat) -> Column:
+    """Clockwise from north, from hour angle and altitude."""
     phi = _c(lat)
-    alt = altitude(ra, dec, lat, lon, epoch)
     c = F.try_divide(_sin(dec) - _sin(alt) * _sin(phi), _cos(alt) * _cos(phi))
     az = F.degrees(F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0))))
     return F.when(_sin(h) > 0, 360.0 - az).otherwise(az)
 
 
+def altitude(ra: Column, dec: Column, lat, lon, epoch: Column) -> Column:
+    return altitude_at(hour_angle(sidereal_time(epoch, lon), ra), dec, lat)
+
+
+def azimuth(ra: Column, dec: Column, lat, lon, epoch: Column) -> Column:
+    return azimuth_at(hour_angle(sidereal_time(epoch, lon), ra), dec, altitude(ra, dec, lat, lon, epoch), lat)
+
+
 def declination_of(az: Column, alt: Column, lat) -> Column:
     phi = _c(lat)
     s = _sin(alt) * _sin(phi) + _cos(alt) * _cos(phi) * _cos(az)

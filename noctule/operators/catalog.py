@@ -86,25 +86,29 @@ def shower_array() -> Column:
         for code, (name, s, e, p, q) in METEOR_SHOWERS.items()])
 
 
-def project(objects: DataFrame, lat, lon, time: str = "timestamp") -> DataFrame:
-    """Adds azimuth and altitude and keeps what stands above the horizon."""
-    epoch = F.col(time)
-    rows = objects.withColumn("altitude", sky.altitude(F.col("ra"), F.col("dec"), lat, lon, epoch))
-    rows = rows.where("altitude >= 0")
-    return rows.withColumn("azimuth", sky.azimuth(F.col("ra"), F.col("dec"), lat, lon, epoch))
+def project(objects: DataFrame, lat, lst: str = "_lst") -> DataFrame:
+    """Adds azimuth and altitude and keeps what stands above the horizon.
+
+    ``lst`` is the sidereal time of each row's observation; the horizon test
+    comes before the azimuth is worked out."""
+    rows = objects.withColumn("_h", sky.hour_angle(F.col(lst), F.col("ra")))
+    rows = rows.withColumn("altitude", sky.altitude_at(F.col("_h"), F.col("dec"), lat)).where("altitude >= 0")
+    return rows.withColumn("azimuth", sky.azimuth_at(F.col("_h"), F.col("dec"), F.col("altitude"), lat)).drop("_h", lst)
 
 
 def visible_stars(observations: DataFrame, keep: list[str], lat, lon, time: str = "timestamp") -> DataFrame:
-    rows = observations.select(*keep, F.explode(star_array()).alias("_o")).select(*keep, "_o.*")
-    return project(rows, lat, lon, time)
+    # sidereal time once per observation, not per star
+    rows = observations.select(*keep, sky.sidereal_time(F.col(time), lon).alias("_lst"))
+    rows = rows.select("*", F.explode(star_array()).alias("_o")).select(*keep, "_lst", "_o.*")
+    return project(rows, lat)
 
 
 def visible_objects(observations: DataFrame, objects: DataFrame, keep: list[str], lat, lon,
                     time: str = "timestamp", day: str = "day") -> DataFrame:
     """Objects with positions per day, such as comets, seen at each
     observation of that day: an equi join on the day, hence no cross product."""
-    rows = observations.select(*keep, day).join(objects, day)
-    return project(rows, lat, lon, time)
+    rows = observations.select(*keep, day, sky.sidereal_time(F.col(time), lon).alias("_lst")).join(objects, day)
+    return project(rows, lat)
 
 
 def active_showers(dates: DataFrame, keep: list[str], date: str = "day",

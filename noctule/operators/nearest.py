@@ -8,6 +8,8 @@ however long the timeline or hot the key is.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,19 @@ from noctule.session import stored
 UNBOUNDED = 1_000_000_000
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """One right side: its time column, the columns to take and the order
+    that decides between rows of equal time."""
+
+    right: DataFrame
+    time: str
+    payload: list[str]
+    position: list[str]
+    tolerance: int = UNBOUNDED
+    matched_time: str = "matched_time"
+
+
 def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: list[str],
             position: list[str], by: list[str] | None = None, tolerance: int = UNBOUNDED,
             bucket_seconds: int = 86400, matched_time: str = "matched_time") -> DataFrame:
@@ -25,22 +40,44 @@ def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
     Ties go to the earlier time, then to the smallest ``position``.  Rows
     without a match closer than ``tolerance`` keep NULLs.  Times are whole
     seconds; ``by`` columns must be present on both sides under one name."""
-    by = by or []
-    bucket = lambda c: F.floor(F.col(c) / bucket_seconds)
+    lookup = Lookup(right, right_time, payload, position, tolerance, matched_time)
+    return nearest_all(left, left_time, [lookup], by, bucket_seconds)
 
-    # first in document order wins among equal times
-    rights = right.groupBy(*by, F.col(right_time).alias("_t")).agg(
-        F.min_by(F.struct(*payload), F.struct(*position)).alias("_p"))
-    rights = rights.select(*by, F.floor(F.col("_t") / bucket_seconds).alias("_bucket"), "_t", "_p")
+
+def nearest_all(left: DataFrame, left_time: str, lookups: list[Lookup], by: list[str] | None = None,
+                bucket_seconds: int = 86400) -> DataFrame:
+    """Several nearest joins at once.
+
+    The distinct left times are collected once and every lookup answers for
+    them; the answers are put side by side before the left table, the big one,
+    is joined to them a single time."""
+    by = by or []
     # distinct left times: a hot instant is looked up once
     times = left.select(*by, F.col(left_time).alias("_t")).where("_t is not null").groupBy(*by, "_t").agg(
         F.lit(1).alias("_left"))
-    times = times.withColumn("_bucket", bucket("_t"))
+    times = times.select(*by, "_t", F.floor(F.col("_t") / bucket_seconds).alias("_bucket"))
+    answers = None
+    for lookup in lookups:
+        found = _answer(times, lookup, by, bucket_seconds)
+        answers = found if answers is None else answers.join(found, [*by, "_t"], "full_outer")
+    names = {c: f"_by_{i}" for i, c in enumerate(by)} | {"_t": "_lt"}
+    answers = answers.withColumnsRenamed(names)
+    on = [F.col(left_time) == F.col("_lt")] + [F.col(c) == F.col(names[c]) for c in by]
+    return left.join(answers, on, "left").drop(*names.values())
+
+
+def _answer(times: DataFrame, lookup: Lookup, by: list[str], bucket_seconds: int) -> DataFrame:
+    """``(by, _t, matched time, payload)`` for the times that have a match."""
+    # first in document order wins among equal times
+    rights = lookup.right.groupBy(*by, F.col(lookup.time).alias("_t")).agg(
+        F.min_by(F.struct(*lookup.payload), F.struct(*lookup.position)).alias("_p"))
+    rights = rights.select(*by, F.floor(F.col("_t") / bucket_seconds).alias("_bucket"), "_t", "_p")
 
     edges = rights.groupBy(*by, "_bucket").agg(F.min_by(F.struct("_t", "_p"), "_t").alias("_head"),
                                                F.max_by(F.struct("_t", "_p"), "_t").alias("_tail"))
     buckets = times.groupBy(*by, "_bucket").agg(F.lit(1).alias("_used"))
     edges = buckets.join(edges, [*by, "_bucket"], "full_outer")
+
     # one row per bucket: the summary of a century of days is 36,500 rows per key
     def passed(order):  # everything up to the row before; a frame that only grows costs one step per row
         return W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -64,13 +101,9 @@ def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
     found = timeline.where("_side = 1")
     closer = F.col("_after._t") - F.col("_t") < F.col("_t") - F.col("_before._t")
     choice = F.when(F.col("_before").isNull() | closer, F.col("_after")).otherwise(F.col("_before"))
-    found = found.select(*by, F.col("_t").alias("_lt"), choice.alias("_c"))
-    found = found.where(F.abs(F.col("_c._t") - F.col("_lt")) < tolerance).select(
-        *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], "_lt",
-        F.col("_c._t").alias(matched_time), "_c._p.*")
-
-    on = [F.col(left_time) == F.col("_lt")] + [F.col(c) == F.col(f"_by_{i}") for i, c in enumerate(by)]
-    return left.join(found, on, "left").drop("_lt", *[f"_by_{i}" for i in range(len(by))])
+    found = found.select(*by, "_t", choice.alias("_c"))
+    return found.where(F.abs(F.col("_c._t") - F.col("_t")) < lookup.tolerance).select(
+        *by, "_t", F.col("_c._t").alias(lookup.matched_time), "_c._p.*")
 
 
 def reject_invalid(rows: DataFrame, payload: list[str], floors: dict[str, float],

@@ -122,10 +122,9 @@ LEFT JOIN hours h ON h.hour = l.timestamp // 3600""")
 def enriched_observations(spark, root):
     rows = b.obs(spark, root).where("feed = 'view'").select(
         "event_id", "station", "timestamp", "brightness", "night_mode", "sqm")
-    rows = nearest.nearest(rows, _right(spark, root, "kp"), "timestamp", "timestamp", ["kp_index"], ["pos"],
-                           matched_time="kp_time")
-    rows = nearest.nearest(rows, _right(spark, root, "mag"), "timestamp", "timestamp", ["bt", "bz"], ["pos"],
-                           matched_time="mag_time")
+    rows = nearest.nearest_all(rows, "timestamp", [
+        nearest.Lookup(_right(spark, root, "kp"), "timestamp", ["kp_index"], ["pos"], matched_time="kp_time"),
+        nearest.Lookup(_right(spark, root, "mag"), "timestamp", ["bt", "bz"], ["pos"], matched_time="mag_time")])
     rows = nearest.reject_invalid(rows, ["bt", "bz"], MAG_FLOORS, "mag_time")
     rows = nearest.by_hour(rows, _weather(spark, root), "timestamp", "timestamp", ["temperature", "humidity"],
                            ["timestamp", "pos"], how="left")
