@@ -15,6 +15,8 @@ COARSE = 16
 def _images(grid: DataFrame, wrap: bool) -> DataFrame:
     """With ``wrap`` each point also stands one turn east and west."""
     grid = grid.select("pos", "val", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    # what is not on the sphere would void the bound on coarse cells
+    grid = grid.where(F.col("lon").between(-180, 360) & F.col("lat").between(-90, 90))
     # equal positions: the first in document order wins
     grid = grid.groupBy("lon", "lat").agg(F.min_by("val", "pos").alias("val"), F.min("pos").alias("pos"))
     if wrap:

@@ -179,6 +179,20 @@ def test_nearest_per_station_with_one_hot_station(spark):
         assert out[i] == want
 
 
+def test_several_lookups_at_once_equal_one_by_one(spark):
+    left = spark.createDataFrame([(i, i % 3, 997 * i) for i in range(80)], "id int, s int, t long")
+    right = spark.createDataFrame([(i, i % 2, 1511 * i, float(i)) for i in range(40)], "pos int, s int, t long, v double")
+    other = right.select("pos", "s", (F.col("t") + 300).alias("at"), (F.col("v") * 2).alias("w"))
+    both = nearest.nearest_all(left, "t", [nearest.Lookup(right, "t", ["v"], ["pos"], 400, "vt"),
+                                           nearest.Lookup(other, "at", ["w"], ["pos"], 900, "wt")], ["s"], 20000)
+    one = nearest.nearest(left, right, "t", "t", ["v"], ["pos"], ["s"], 400, matched_time="vt")
+    one = nearest.nearest(one, other, "t", "at", ["w"], ["pos"], ["s"], 900, matched_time="wt")
+    columns = ["id", "vt", "v", "wt", "w"]
+    key = lambda r: r[0]
+    got, want = (sorted(map(tuple, d.select(columns).collect()), key=key) for d in (both, one))
+    assert got == want and any(r[1] is None and r[3] is not None for r in got)
+
+
 def test_first_row_of_an_hour_wins(spark):
     left = spark.createDataFrame([(1, 3700), (2, 9000)], "id int, t long")
     right = spark.createDataFrame([(1, 3600, 5.0), (0, 3600, 4.0)], "pos int, t long, v double")
