@@ -19,6 +19,8 @@ from noctule.operators import focal
 from noctule.session import stored
 
 SITE = ["bracket", "x", "y"]
+DEPTH = 5
+TINY = 1e-12
 
 
 @dataclass(frozen=True)
@@ -84,8 +86,9 @@ def _shadow_mask() -> Column:
     return F.when(F.col("k") == 0, 1.0).when(F.col("k") == 1, second).otherwise(later)
 
 
-def weights(pixels: DataFrame, frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Normalised weight ``w`` of every exposure of every pixel."""
+def raw_weights(pixels: DataFrame, frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Weight ``raw_w`` of every exposure of every pixel, not normalised; row-local
+    unless contrast counts."""
     rows = linearize(pixels, frames, settings)
     center = P.exposure_center(F.col("brightness"), F.col("y_max"))
     norm = [F.col(c) * F.col("gain") for c in "rgb"]
@@ -99,25 +102,68 @@ def weights(pixels: DataFrame, frames: DataFrame, settings: Settings = Settings(
     if settings.contrast > 0:
         rows = focal.local_contrast(rows, ["bracket", "k"], "lin_y", F.col("masked"))
         weight = weight * ((1.0 - settings.contrast) + settings.contrast * F.col("contrast"))
-    rows = rows.withColumn("raw_w", F.when(F.col("masked"), 0.0).otherwise(P.clamp(weight) * _shadow_mask()))
-    site = W.partitionBy(*SITE)
-    rows = rows.withColumns({"_sum": F.sum("raw_w").over(site),
-                             "_best": F.row_number().over(site.orderBy(F.col("raw_w").desc(), "k"))})
-    w = (F.when(F.col("_sum") > 1e-12, F.try_divide(F.col("raw_w"), F.col("_sum")))
-         .when(F.col("raw_w") <= 0, 0.0)
-         .otherwise((F.col("_best") == 1).cast("double")))
-    return rows.withColumn("w", w).drop("_sum", "_best")
+    return rows.withColumn("raw_w", F.when(F.col("masked"), 0.0).otherwise(P.clamp(weight) * _shadow_mask()))
 
 
-def chroma_weights(weighted: DataFrame, bias: float) -> DataFrame:
-    """Weights leaning towards the longest exposure, for colour."""
+def weights(pixels: DataFrame, frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Normalised weight ``w`` of every exposure of every pixel; where the sum
+    is next to nothing the best exposure takes it all."""
     site = W.partitionBy(*SITE)
-    rows = weighted.withColumn("_sum", F.sum("w").over(site))
-    leaning = F.col("w") * (1.0 - bias) + F.when(F.col("k") == 0, bias).otherwise(0.0)
-    rows = rows.withColumn("_lean", F.when(F.col("_sum") > 1e-12, leaning).otherwise(F.col("w")))
-    rows = rows.withColumn("_total", F.sum("_lean").over(site))
-    out = F.when((F.col("_sum") > 1e-12) & (F.col("_total") > 1e-12), F.try_divide(F.col("_lean"), F.col("_total")))
-    return rows.withColumn("cw", F.coalesce(out, F.col("_lean"))).drop("_sum", "_lean", "_total")
+    rows = raw_weights(pixels, frames, settings)
+    rows = rows.withColumns({"_sum": F.sum("raw_w").over(site),
+                             "_best": F.max_by("k", F.struct("raw_w", -F.col("k"))).over(site)})
+    w = (F.when(F.col("_sum") > TINY, F.try_divide(F.col("raw_w"), F.col("_sum")))
+         .when(F.col("_sum") > 0, (F.col("k") == F.col("_best")).cast("double"))
+         .otherwise(0.0))
+    return rows.withColumn("w", w).drop("_best")
+
+
+def chroma_weight(w: Column, weighted: Column, longest: Column, bias: float) -> Column:
+    """Weight for colour, leaning towards the longest exposure.  That exposure
+    belongs to every bracket, so the weights still add up to one."""
+    return F.when(weighted, w * (1.0 - bias) + F.when(longest, bias).otherwise(0.0)).otherwise(w)
+
+
+def side_by_side(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """All exposures of a pixel in one row, ``<column>_<k>``.
+
+    One hash aggregate on plain numbers: no sort, no collected list."""
+    columns = ["raw_w", "lin_y", "lin_r", "lin_g", "lin_b"]
+    picks = [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_{k}") for k in range(depth) for c in columns]
+    masks = [F.max(F.when(F.col("k") == k, F.col("masked").cast("int"))).alias(f"masked_{k}") for k in range(depth)]
+    return rows.groupBy(*SITE).agg(*picks, *masks)
+
+
+def _total(terms: list[Column]) -> Column:
+    return sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0))
+
+
+def _merge_wide(rows: DataFrame, mode: int, bias: float, depth: int = DEPTH) -> DataFrame:
+    """Modes 0 and 1 on ``side_by_side`` rows."""
+    ks = range(depth)
+    raw = [F.coalesce(F.col(f"raw_w_{k}"), F.lit(0.0)) for k in ks]
+    rows = rows.select("*", _total(raw).alias("_sum"), F.greatest(*raw).alias("_top"))
+    first = F.coalesce(*[F.when(raw[k] == F.col("_top"), k) for k in ks])
+    rows = rows.withColumn("_first", first)
+    rows = rows.withColumns({f"_w_{k}": F.when(F.col("_sum") > TINY, F.try_divide(raw[k], F.col("_sum")))
+                             .when(F.col("_sum") > 0, (F.col("_first") == k).cast("double")).otherwise(0.0) for k in ks})
+    weighted = F.col("_sum") > 0
+    lean = [chroma_weight(F.col(f"_w_{k}"), weighted, F.lit(k == 0), bias) for k in ks]
+    rows = rows.withColumns({f"_c_{k}": F.when(F.col(f"masked_{k}").isNotNull(), lean[k]) for k in ks})
+    fused = _total([F.col(f"_w_{k}") * F.col(f"lin_y_{k}") for k in ks]).alias("y_fused")
+    open_ = [F.col(f"masked_{k}") == 0 for k in ks]
+    if mode == 0:
+        # without any weight: the first exposure that is not masked
+        share = [F.when((F.col(f"_c_{k}") > 0) | open_[k], F.col(f"_c_{k}")) for k in ks]
+        best = F.greatest(*share)
+        rows = rows.select("*", *[c.alias(f"_s_{k}") for k, c in enumerate(share)], best.alias("_b"))
+        pick = lambda c: F.coalesce(*[F.when(F.col(f"_s_{k}") == F.col("_b"), F.col(f"lin_{c}_{k}")) for k in ks])
+        return rows.select(*SITE, fused, *[pick(c).alias(c) for c in "rgb"])
+    used = [F.when(open_[k] & (F.col(f"_c_{k}") > 0), F.col(f"_c_{k}")) for k in ks]
+    rows = rows.select("*", *[u.alias(f"_u_{k}") for k, u in enumerate(used)], _total(used).alias("_t"))
+    return rows.select(*SITE, fused, *[
+        F.when(F.col("_t") > P.EPS, F.try_divide(_total([F.col(f"_u_{k}") * F.col(f"lin_{c}_{k}") for k in ks]), F.col("_t"))).alias(c)
+        for c in "rgb"])
 
 
 def _match_luma(rows: DataFrame) -> DataFrame:
@@ -134,22 +180,14 @@ def merge(pixels: DataFrame, frames: DataFrame, settings: Settings = Settings(),
 
     Colour modes: 0 takes it from the best exposure, 1 from the weighted mean,
     2 from the mean with weights smoothed over 3x3 pixels."""
-    rows = chroma_weights(weights(pixels, frames, settings), settings.chroma_bias)
-    if mode == 2:
-        rows = focal.mean(rows, ["bracket", "k"], "cw", 1, out="_smooth").withColumn("cw", F.col("_smooth"))
-    fused = F.sum(F.col("w") * F.col("lin_y"))
-    if mode == 0:
-        best = F.struct("lin_r", "lin_g", "lin_b")
-        # without any weight: the first exposure that is not masked
-        usable = (F.col("cw") > 0) | ~F.col("masked")
-        rank = F.when(usable, F.struct(F.col("cw"), -F.col("k")))
-        out = rows.groupBy(*SITE).agg(fused.alias("y_fused"), F.max_by(best, rank).alias("_b"))
-        out = out.select(*SITE, "y_fused", *[F.col(f"_b.lin_{c}").alias(c) for c in "rgb"])
-        return _match_luma(out)
+    if mode in (0, 1):
+        return _match_luma(_merge_wide(side_by_side(raw_weights(pixels, frames, settings)), mode, settings.chroma_bias))
+    rows = weights(pixels, frames, settings)
+    rows = rows.withColumn("cw", chroma_weight(F.col("w"), F.col("_sum") > 0, F.col("k") == 0, settings.chroma_bias))
+    rows = focal.mean(rows, ["bracket", "k"], "cw", 1, out="_smooth").withColumn("cw", F.col("_smooth"))
     used = ~F.col("masked") & (F.col("cw") > 0)
-    total = F.sum(F.when(used, F.col("cw")))
-    out = rows.groupBy(*SITE).agg(fused.alias("y_fused"), total.alias("_t"), *[
-        F.sum(F.when(used, F.col(f"lin_{c}") * F.col("cw"))).alias(c) for c in "rgb"])
-    out = out.select(*SITE, "y_fused", *[
-        F.when(F.col("_t") > P.EPS, F.try_divide(F.col(c), F.col("_t"))).alias(c) for c in "rgb"])
-    return _match_luma(out)
+    out = rows.groupBy(*SITE).agg(
+        F.sum(F.col("w") * F.col("lin_y")).alias("y_fused"), F.sum(F.when(used, F.col("cw"))).alias("_t"),
+        *[F.sum(F.when(used, F.col(f"lin_{c}") * F.col("cw"))).alias(c) for c in "rgb"])
+    return _match_luma(out.select(*SITE, "y_fused", *[
+        F.when(F.col("_t") > P.EPS, F.try_divide(F.col(c), F.col("_t"))).alias(c) for c in "rgb"]))
