@@ -29,8 +29,8 @@ def saturation(r: Column, g: Column, b: Column, floor: float = EPS) -> Column:
 
 
 def smoothstep(lo, hi, x: Column) -> Column:
-    t = (x - _c(lo)) / (_c(hi) - _c(lo))
-    return F.when(x <= _c(lo), 0.0).when(x >= _c(hi), 1.0).otherwise(t * t * (3.0 - 2.0 * t))
+    t = clamp((x - _c(lo)) / (_c(hi) - _c(lo)))
+    return t * t * (3.0 - 2.0 * t)
 
 
 def quantize(x: Column, top: int) -> Column:
@@ -178,14 +178,12 @@ def exposure_weight(y: Column, peak: Column, y_max, center: Column, sigma: float
     """Well-exposedness of a pixel: a bell around ``center``, less weight near
     clipping and for the darkest tenth."""
     level = F.least(y / _c(y_max), F.lit(1.0))
+    # no branches: they would keep shared parts from being computed once
     bell = F.exp(-0.5 * ((level - center) * (level - center)) / (sigma * sigma))
     start = clip * clip_factor
-    near_clip = F.least((peak - start) / max(clip * (1.0 - clip_factor), EPS), F.lit(1.0))
-    return (
-        bell
-        * F.when(peak >= start, 1.0 - 0.7 * near_clip).otherwise(1.0)
-        * F.when(level < 0.10, (level / 0.10) * (level / 0.10)).otherwise(1.0)
-    )
+    near_clip = clamp((peak - start) / max(clip * (1.0 - clip_factor), EPS))
+    dark = F.least(level / 0.10, F.lit(1.0))
+    return bell * (1.0 - 0.7 * near_clip) * (dark * dark)
 
 
 # Exposure centre by mean median luminance, (upper bound, centre).
@@ -193,11 +191,8 @@ CENTER_BRIGHT = [(0.10, 0.20), (0.15, 0.30), (0.25, 0.40), (0.35, 0.50), (None,
 CENTER_DARK = [(0.07, 0.15), (0.10, 0.20), (0.15, 0.25), (0.25, 0.30), (None, 0.40)]
 
 
-def exposure_center(brightness: Column, y_max: Column) -> Column:
-    def ladder(steps):
-        out = F.lit(steps[-1][1])
-        for bound, value in reversed(steps[:-1]):
-            out = F.when(brightness < bound, value).otherwise(out)
-        return out
-
-    return F.when(y_max >= 1.0, ladder(CENTER_BRIGHT)).otherwise(ladder(CENTER_DARK))
+def exposure_center(brightness: Column, steps: list) -> Column:
+    out = F.lit(steps[-1][1])
+    for bound, value in reversed(steps[:-1]):
+        out = F.when(brightness < bound, value).otherwise(out)
+    return out

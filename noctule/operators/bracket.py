@@ -55,7 +55,12 @@ def linearize(pixels: DataFrame, frames: DataFrame, settings: Settings) -> DataF
         F.try_divide(first("exposure"), F.col("exposure")).alias("gain"),
         *[F.try_divide(first(f"median_{c}") / s, F.col(f"median_{c}") / s).alias(f"gain_{c}") for c, s in scales.items()],
         brightness.alias("brightness"), F.bool_and(usable).over(whole).alias("_ok"))
-    gains = stored(gains.where("_ok").drop("_ok"))
+    # everything that is the same for a whole exposure is worked out here, once
+    gains = gains.where("_ok").select(
+        "bracket", "k", "gain", *[f"gain_{c}" for c in "rgb"], *[c.alias(n) for c, n in zip(_fade(), ("fade_lo", "fade_hi"))],
+        P.exposure_center(F.col("brightness"), P.CENTER_BRIGHT).alias("center_bright"),
+        P.exposure_center(F.col("brightness"), P.CENTER_DARK).alias("center_dark"))
+    gains = stored(gains)
     rows = pixels if "a" in pixels.columns else pixels.withColumn("a", F.lit(1.0))
     rows = rows.join(gains, ["bracket", "k"]).withColumn("masked", _masked())
     rows = rows.withColumns({f"lin_{c}": F.col(c) * F.col("gain") * F.col(f"gain_{c}") for c in "rgb"})
@@ -77,32 +82,33 @@ def _with_y_max(rows: DataFrame, settings: Settings) -> DataFrame:
     return rows.join(stored(tops), "bracket", "left").withColumn("y_max", F.coalesce("y_max", F.lit(1.0)))
 
 
-def _shadow_mask() -> Column:
-    """Short exposures fade out where they are too dark to add anything but noise."""
+def _fade() -> tuple[Column, Column]:
+    """Luminances between which an exposure fades in.  Short exposures fade
+    out where they are too dark to add anything but noise; the longest never."""
     low = F.col("med_g0") * 0.35
-    second = P.smoothstep(low, low * 1.2, F.col("lin_y"))
     high = F.greatest(F.col("med_g") * 4.0, F.lit(0.40))
-    later = P.smoothstep(high * 0.6, high, F.col("lin_y"))
-    return F.when(F.col("k") == 0, 1.0).when(F.col("k") == 1, second).otherwise(later)
+    longest, second = F.col("k") == 0, F.col("k") == 1
+    return (F.when(longest, -2.0).when(second, low).otherwise(high * 0.6),
+            F.when(longest, -1.0).when(second, low * 1.2).otherwise(high))
 
 
 def raw_weights(pixels: DataFrame, frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Weight ``raw_w`` of every exposure of every pixel, not normalised; row-local
     unless contrast counts."""
     rows = linearize(pixels, frames, settings)
-    center = P.exposure_center(F.col("brightness"), F.col("y_max"))
+    center = F.when(F.col("y_max") >= 1.0, F.col("center_bright")).otherwise(F.col("center_dark"))
     norm = [F.col(c) * F.col("gain") for c in "rgb"]
     weight = P.exposure_weight(P.luma(*norm), F.greatest(*norm), F.col("y_max"), center,
                                settings.sigma, settings.clip, settings.clip_factor)
     peak = F.greatest("r", "g", "b")
     start, end = settings.clip * 0.95, settings.clip
     t = P.clamp(1.0 - (peak - start) / max(end - start, P.EPS))
-    open_share = F.when(peak >= start, t * t * (3.0 - 2.0 * t)).otherwise(1.0)
+    open_share = t * t * (3.0 - 2.0 * t)
     weight = weight * (0.4 + 0.6 * open_share)
     if settings.contrast > 0:
         rows = focal.local_contrast(rows, ["bracket", "k"], "lin_y", F.col("masked"))
         weight = weight * ((1.0 - settings.contrast) + settings.contrast * F.col("contrast"))
-    return rows.withColumn("raw_w", F.when(F.col("masked"), 0.0).otherwise(P.clamp(weight) * _shadow_mask()))
+    return rows.withColumn("raw_w", F.when(F.col("masked"), 0.0).otherwise(P.clamp(weight) * P.smoothstep(F.col("fade_lo"), F.col("fade_hi"), F.col("lin_y"))))
 
 
 def weights(pixels: DataFrame, frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
