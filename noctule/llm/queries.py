@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctule.llm import licenses, mixing, quality
+from noctule.llm import langid, licenses, mixing, polytope, quality
 from noctule.llm import text as T
 from noctule.session import stored
 
@@ -55,6 +55,13 @@ JOIN p ON keyed.source IS NOT DISTINCT FROM p.source AND keyed.k = p.k
 """
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    docs = T.only(table(spark, root, "documents"), "doc_id", "text", "lang").withColumn("held_out", T.in_fold(F.col("doc_id"), 5, 0))
+    trained = docs.where(~F.col("held_out") & F.col("doc_id").isNotNull())
+    return langid.predict(T.only(docs, "doc_id", "held_out", "text"), langid.learn(trained, "text", "lang")).drop("text")
+
+
 @query("op2_mix_sources", MIX_SQL)
 def op2(spark: SparkSession, root: str) -> DataFrame:
     docs = T.only(table(spark, root, "documents"), "doc_id", "text", "source")
@@ -94,3 +101,9 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
 @query("op5_license_scan")
 def op5(spark: SparkSession, root: str) -> DataFrame:
     return licenses.scan(T.only(table(spark, root, "documents"), "doc_id", "text")).drop("text")
+
+
+@query("op9_cross_polytope")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    vectors = T.only(table(spark, root, "embeddings"), "vec_id", "embedding")
+    return polytope.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
