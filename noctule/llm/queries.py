@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctule.llm import langid, licenses, mixing, polytope, quality
+from noctule.llm import langid, licenses, mixing, pieces, polytope, quality
 from noctule.llm import text as T
 from noctule.session import stored
 
+#: A public SentencePiece model; the path is a parameter of every use.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -107,3 +110,14 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
 def op9(spark: SparkSession, root: str) -> DataFrame:
     vectors = T.only(table(spark, root, "embeddings"), "vec_id", "embedding")
     return polytope.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query("op10_sentencepiece")
+def op10(spark: SparkSession, root: str, model: str = PIECES) -> DataFrame:
+    docs = T.only(table(spark, root, "documents"), "doc_id", "text")
+    vocabulary = pieces.load(model)
+    low, high = (int(f(vocabulary.byte_ids)) for f in (min, max))
+    coded = pieces.add_ids(docs, vocabulary)
+    return coded.select("doc_id", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_ids"),
+                        F.coalesce(F.size(F.filter("ids", lambda i: (i >= low) & (i <= high))), F.lit(0)).cast("long").alias("n_byte_ids"),
+                        F.when(F.col("ids").isNotNull(), F.xxhash64("ids")).alias("ids_hash"), "round_trip")
