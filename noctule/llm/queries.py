@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctule.llm import langid, licenses, mixing, pieces, polytope, quality
+from noctule.llm import extract, langid, licenses, mixing, pieces, polytope, quality, quotes
 from noctule.llm import text as T
 from noctule.session import stored
 
@@ -101,11 +101,22 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
     return T.only(quality.judge(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op4_extract_article")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    pages = T.only(table(spark, root, "pages"), "page_id", "url", "html")
+    return T.only(extract.extract(pages), "page_id", "url", "text", "n_chars")
+
+
 @query("op5_license_scan")
 def op5(spark: SparkSession, root: str) -> DataFrame:
     return licenses.scan(T.only(table(spark, root, "documents"), "doc_id", "text")).drop("text")
 
 
+@query("op8_link_quotations")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return quotes.link(T.only(table(spark, root, "conversations"), "conv_id", "turn", "role", "text"))
+
+
 @query("op9_cross_polytope")
 def op9(spark: SparkSession, root: str) -> DataFrame:
     vectors = T.only(table(spark, root, "embeddings"), "vec_id", "embedding")
