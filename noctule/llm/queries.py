@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctule.llm import extract, langid, licenses, mixing, pieces, polytope, quality, quotes
+from noctule.llm import backoff, extract, langid, licenses, mixing, pieces, polytope, quality, quotes
 from noctule.llm import text as T
+from noctule.llm.tables import bounded_batches
 from noctule.session import stored
 
 #: A public SentencePiece model; the path is a parameter of every use.
@@ -21,7 +22,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, root: str) -> DataFrame:
+            bounded_batches(spark)
+            return fn(spark, root)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -132,3 +137,11 @@ def op10(spark: SparkSession, root: str, model: str = PIECES) -> DataFrame:
     return coded.select("doc_id", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_ids"),
                         F.coalesce(F.size(F.filter("ids", lambda i: (i >= low) & (i <= high))), F.lit(0)).cast("long").alias("n_byte_ids"),
                         F.when(F.col("ids").isNotNull(), F.xxhash64("ids")).alias("ids_hash"), "round_trip")
+
+
+@query("op7_katz_backoff")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    docs = T.only(table(spark, root, "documents"), "doc_id", "text").withColumn("held_out", T.in_fold(F.col("doc_id"), 7, 2))
+    model = backoff.train(docs.where(~F.col("held_out")), order=2, least=(1, 2))
+    scored = backoff.score(docs, model, F.col("doc_id")).withColumn("train_tokens", F.lit(model.total).cast("long"))
+    return T.only(scored, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
