@@ -31,23 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noctule.llm.hashing import blocks, mixed, word_hashes
 from noctule.llm.tables import settled
 
-#: Texts are hashed in blocks of this many bytes, a longer text alone.
-BLOCK = 1 << 22
 SLICES = 2
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 END = np.uint64(0x6A09E667F3BCC909)
 PAD = np.uint64(0x3C6EF372FE94F82B)
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def turn(level: int) -> int:
@@ -74,25 +65,13 @@ def pad(level: int) -> np.uint64:
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every token, an end after each text, and the text it is in.
-
-    A word's hash sums its bytes times a pseudo-random number per place.
-    """
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b" " + b" ".join(raw) + b" ", "u1")
-    inner = ~SPACE[data]
-    at = np.flatnonzero(inner)
-    first = np.flatnonzero(~inner[at - 1])
-    sizes = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, sizes)
-    weights = mixed(np.arange(1, (sizes.max() if len(sizes) else 0) + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
-    words = np.add.reduceat((data[at].astype("u8") + np.uint64(1)) * weights[place], first) if len(first) else np.array([], "u8")
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    owner = np.searchsorted(ends, at[first] - 1, "right")
+    """Hash of every token, an end after each text, and the text it is in."""
+    words, owner = word_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts])
+    sizes = np.bincount(owner, minlength=len(texts))
     hashes = np.empty(len(words) + len(texts), "u8")
-    hashes[np.arange(len(words)) + owner] = mixed(words)
-    hashes[np.cumsum(np.bincount(owner, minlength=len(texts))) + np.arange(len(texts))] = END
-    return hashes, np.repeat(np.arange(len(texts)), np.bincount(owner, minlength=len(texts)) + 1)
+    hashes[np.arange(len(words)) + owner] = words
+    hashes[np.cumsum(sizes) + np.arange(len(texts))] = END
+    return hashes, np.repeat(np.arange(len(texts)), sizes + 1)
 
 
 def grams(hashes: np.ndarray, owner: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,18 +86,6 @@ def grams(hashes: np.ndarray, owner: np.ndarray, level: int) -> tuple[np.ndarray
     return context, suffix, key
 
 
-def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[slice, list[str | None]]]:
-    texts, at, size = batch.column(column).to_pylist(), 0, 0
-    for i, t in enumerate(texts):
-        length = len(t or "")
-        if i > at and size + length > BLOCK:
-            yield slice(at, i), texts[at:i]
-            at, size = i, 0
-        size += length
-    if texts:
-        yield slice(at, len(texts)), texts[at:]
-
-
 def counts(texts: DataFrame, level: int, part: int, parts: int) -> DataFrame:
     """(context, suffix, n) of the n-grams of a slice, summed by block; order 1 has its word as both."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctule.llm import backoff, extract, langid, licenses, mixing, pieces, polytope, quality, quotes
+from noctule.llm import backoff, extract, jaccard, langid, licenses, mixing, pieces, polytope, quality, quotes
 from noctule.llm import text as T
 from noctule.llm.tables import bounded_batches
 from noctule.session import stored
@@ -117,6 +117,11 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
     return licenses.scan(T.only(table(spark, root, "documents"), "doc_id", "text")).drop("text")
 
 
+@query("op6_chosen_path_join")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return T.only(jaccard.join(T.only(table(spark, root, "documents"), "doc_id", "text")), "doc_id", "class_id", "n_links")
+
+
 @query("op8_link_quotations")
 def op8(spark: SparkSession, root: str) -> DataFrame:
     return quotes.link(T.only(table(spark, root, "conversations"), "conv_id", "turn", "role", "text"))
