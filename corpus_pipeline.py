@@ -1,5 +1,72 @@
-"""The corpus pipeline: stages over documents, each from its predecessor's table."""
+"""The corpus pipeline: language ID, quality rules, near duplicates, mixing, SentencePiece ids.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept; what it decides takes effect on them.  All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noctule.llm import jaccard, langid, mixing, pieces, quality
+from noctule.llm import text as T
+from noctule.llm.queries import PIECES, query
+from noctule.llm.tables import bounded_batches, settled
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language was found that wrote a fair share; the model comes from those with a lang."""
+    bounded_batches(spark)
+    found = langid.predict(docs, langid.learn(docs, "text", "lang"))
+    return T.only(found.where(langid.accepted()), *docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return T.only(quality.judge(docs).where("kept"), *docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies."""
+    bounded_batches(spark)
+    return jaccard.one_of_each(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them: not at all, or one to three times."""
+    mixed = mixing.mix(docs, "source", T.n_words(F.col("text")), mixing.identity(F.col("doc_id"), F.col("text")), mixing.word_share(F.col("text")))
+    repeats = F.when(F.col("taken") > 0, F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return T.only(mixed.withColumn("_repeat", F.explode(repeats)), *docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source and SentencePiece ids of every row, and whether they decode to its text."""
+    bounded_batches(spark)
+    coded = pieces.add_ids(T.only(docs, "doc_id", "source", "text"), pieces.load(PIECES))
+    return coded.select("doc_id", "source", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "round_trip")
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality rules", rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixture),
+    ("SentencePiece encoding and decoding", encoded),
+]
+#: Mixtures of languages, chosen paths and Viterbi have no SQL form; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's table is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = settled(docs, f"stage-{number}")
+    return docs
+
+
+query("pipeline", ORACLE_SQL)(run)

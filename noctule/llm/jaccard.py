@@ -227,20 +227,21 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.select(*others, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in others) + ", set array<bigint>")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = WIDTH, recall: float = 0.9999) -> DataFrame:
-    """(key, class_id, n_links, class_key, first) for every row.
+def prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.withColumns({"id": F.col(f"`{key}`").cast("long"), "fp": F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))})
 
-    ``n_links`` is the number of other rows whose similarity reaches the
-    threshold, copies included.  ``class_id`` is the least key among the rows
-    that links connect, ``class_key`` tells classes apart where keys are NULL,
-    and ``first`` marks the rows of the class's first text and key; rows that
-    repeat both are all marked.  Texts without a word (NULL, empty, blank) are
-    linked to nothing and are classes of their own, with a NULL class_key.
-    Texts of fewer words than ``width`` are one shingle.  Other columns do not
-    matter; an empty table gives an empty table.
+
+def limited(rows: DataFrame, row_bytes: int) -> DataFrame:
+    """Ask for a broadcast of a stored table if its counted rows are few enough; else Spark shuffles."""
+    return F.broadcast(rows) if rows.count() * row_bytes <= BROADCAST else rows
+
+
+def classes(rows: DataFrame, threshold: float, width: int, recall: float) -> DataFrame:
+    """(fp, least, copies, n_links, class_key, class_id, head) of every text with a word in rows (fp, id, text).
+
+    ``least`` is the text's least id, ``class_id`` its class's; ``head`` is the
+    fp of the class's text that has it, NULL ids last.
     """
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")) \
-        .withColumn("fp", F.unhex(F.md5(F.col("text").cast("binary"))))
     reps = settled(sketches(rows, width).groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.any_value("sketch").alias("sketch")), "sets")
     found, done, needed = [], 0, runs_needed(recall, 1)
     while done < needed:
@@ -254,21 +255,49 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     members = stars.select(F.col("node").alias("fp"), F.col("least").alias("comp")).unionByName(stars.select(F.col("least").alias("fp"), F.col("least").alias("comp")).distinct())
     sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = settled(members.join(sizes, "comp").join(reps.select("fp", "copies", "id"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int")), "members")
-    wanted = F.broadcast(members) if members.count() * 80 <= BROADCAST else members
-    texts = rows.withColumnRenamed("id", "_id").join(wanted, "fp").where(F.col("_id").eqNullSafe(F.col("id"))).drop("_id", "id").dropDuplicates(["fp"])
+    texts = rows.select(F.col("id").alias("_id"), "fp", "text").join(limited(members, 80), "fp").where(F.col("_id").eqNullSafe(F.col("id"))).drop("_id", "id").dropDuplicates(["fp"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "block").alias("bi"), F.greatest(b, "block").alias("bj")))
     cells = shingle_sets(texts, width).withColumn("cell", F.explode(pairs)).select("comp", "cell.*", "blocks", "fp", "block", "copies", "set")
     exact = settled(compare(cells, threshold), "links")
     many = components(exact.where("blocks > 1").select(F.col("lead").alias("a"), F.col("fp").alias("b")))
     leads = exact.groupBy("fp").agg(F.sum("links").alias("links"), F.min("lead").alias("lead")) \
         .join(many.select(F.col("node").alias("fp"), F.col("least").alias("_lead")), "fp", "left").select("fp", "links", F.coalesce("_lead", "lead").alias("lead"))
-    sets = reps.select("fp", "copies", "id").join(leads, "fp", "left") \
-        .select("fp", "id", F.coalesce("lead", "fp").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    sets = settled(sets, "classes")
-    heads = sets.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("head")) \
-        .select("class_key", F.col("head.id").alias("class_id"), F.col("head.fp").alias("head"))
-    sets = settled(sets.withColumnRenamed("id", "least").join(heads, "class_key"), "classes")
+    sets = settled(reps.select("fp", "copies", "id").join(leads, "fp", "left").select(
+        "fp", F.col("id").alias("least"), "copies", F.coalesce("lead", "fp").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    heads = sets.groupBy("class_key").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("head")) \
+        .select("class_key", F.col("head.least").alias("class_id"), F.col("head.fp").alias("head"))
+    return settled(sets.join(heads, "class_key"), "classes")
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = WIDTH, recall: float = 0.9999) -> DataFrame:
+    """(key, class_id, n_links, class_key) for every row.
+
+    ``n_links`` is the number of other rows whose similarity reaches the
+    threshold, copies included.  ``class_id`` is the least key among the rows
+    that links connect; ``class_key`` tells classes apart where keys are NULL.
+    Texts without a word (NULL, empty, blank) are linked to nothing and are
+    classes of their own, with a NULL class_key.  Texts of fewer words than
+    ``width`` are one shingle.  Other columns do not matter; an empty table
+    gives an empty table.
+    """
+    rows = prepared(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")), "_key", "text").drop("_key")
+    sets = classes(rows, threshold, width, recall).select("fp", "class_id", "n_links", "class_key")
     out = rows.select("id", "fp").join(sets, "fp", "left")
     return out.select(F.col("id").alias(key), F.when(F.col("class_key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_key",
-                      F.coalesce((F.col("fp") == F.col("head")) & F.col("id").eqNullSafe(F.col("least")), F.lit(True)).alias("first"))
+                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_key")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = WIDTH, recall: float = 0.9999) -> DataFrame:
+    """The rows of ``docs`` that are their class's first: of the least key, one where rows repeat it.
+
+    Texts without a word are all kept.  Only texts with copies or links are
+    looked at again; the others pass a filter.
+    """
+    marked = prepared(docs.withColumnsRenamed({c: f"_of_{c}" for c in docs.columns}), f"_of_{key}", f"_of_{text}")
+    sets = classes(marked.select("id", "fp", F.col(f"`_of_{text}`").alias("text")), threshold, width, recall)
+    grouped = sets.where((F.col("n_links") > 0) | (F.col("copies") > 1))
+    again = settled(grouped.select("fp"), "grouped")
+    heads = settled(grouped.where("fp = head").select("fp", "least"), "heads")
+    alone = marked.join(limited(again, 24), "fp", "left_anti")
+    first = marked.join(limited(heads, 32), "fp").where(F.col("id").eqNullSafe(F.col("least"))).drop("least").dropDuplicates(["fp"])
+    return alone.unionByName(first).select(*(F.col(f"`_of_{c}`").alias(c) for c in docs.columns))
