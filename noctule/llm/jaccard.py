@@ -36,7 +36,9 @@ from noctule.llm.tables import settled
 WIDTH = 5
 COORDINATES = 64
 #: Buckets up to this size are compared by brute force.
-SMALL = 256
+SMALL = 4096
+#: Groups up to this size are compared pair by pair, larger ones coordinate by coordinate.
+PAIRED = 48
 #: Shares of equal coordinates: candidates of a small bucket; linked to a pivot; leaving with it.
 LIKELY, LINKED, LEAVING = 0.55, 0.35, 0.75
 #: Sets in a block of the exact comparison, shingles in a step of it.
@@ -94,7 +96,15 @@ def brute_force(rows: DataFrame) -> DataFrame:
             sizes = np.diff(np.append(first, len(table)))
             sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
             left, right = [], []
-            for size in np.unique(sizes[sizes > 1]):
+            for at, size in zip(first[sizes > PAIRED], sizes[sizes > PAIRED]):
+                group, shared = np.ascontiguousarray(sketch[at:at + size].T), np.zeros((size, size), "u1")
+                for row in group:
+                    shared += row[:, None] == row[None, :]
+                x, y = np.nonzero(np.triu(shared >= LIKELY * COORDINATES, 1))
+                least = labels(size, x, y)
+                left.append(at + least)
+                right.append(at + np.arange(size))
+            for size in np.unique(sizes[(sizes > 1) & (sizes <= PAIRED)]):
                 at = first[sizes == size]
                 i, j = np.triu_indices(size, 1)
                 step = max(1, 65_536 // len(i))
