@@ -60,22 +60,25 @@ def _pad2(value: Column) -> Column:
     return F.lpad(value.cast("string"), 2, "0")
 
 
-def ra_text(ra: Column) -> Column:
-    """Right ascension in degrees as ``hh:mm:ss``."""
-    hours = ra / 15.0
-    h = F.floor(hours)
-    minutes = (hours - h) * 60.0
-    m = F.floor(minutes)
-    s = F.floor((minutes - m) * 60.0 + 0.5)
+def _sexagesimal(value: Column, carry: bool) -> tuple[Column, Column, Column]:
+    """Whole units, minutes and rounded seconds; without ``carry`` seconds can read 60."""
+    if carry:
+        seconds = F.floor(value * 3600.0 + 0.5).cast("long")
+        return F.floor(seconds / 3600).cast("long"), F.floor(seconds / 60).cast("long") % 60, seconds % 60
+    units = F.floor(value)
+    minutes = (value - units) * 60.0
+    return units, F.floor(minutes), F.floor((minutes - F.floor(minutes)) * 60.0 + 0.5)
+
+
+def ra_text(ra: Column, carry: bool = True) -> Column:
+    """Right ascension in degrees as ``hh:mm:ss``; 24 hours read 00."""
+    h, m, s = _sexagesimal(ra / 15.0, carry)
+    h = h % 24 if carry else h
     return F.concat_ws(":", _pad2(h), _pad2(m), _pad2(s))
 
 
-def dec_text(dec: Column) -> Column:
+def dec_text(dec: Column, carry: bool = True) -> Column:
     """Declination in degrees as ``±dd°mm′ss″``."""
-    a = F.abs(dec)
-    d = F.floor(a)
-    minutes = (a - d) * 60.0
-    m = F.floor(minutes)
-    s = F.floor((minutes - m) * 60.0 + 0.5)
+    d, m, s = _sexagesimal(F.abs(dec), carry)
     sign = F.when(dec < 0, "-").otherwise("+")
     return F.concat(sign, _pad2(d), F.lit("°"), _pad2(m), F.lit("′"), _pad2(s), F.lit("″"))

@@ -131,9 +131,11 @@ def chroma_weight(w: Column, weighted: Column, longest: Column, bias: float) ->
 
 
 def side_by_side(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """All exposures of a pixel in one row, ``<column>_<k>``.
+    """All exposures of a pixel in one row, ``<column>_<k>``; fails on an exposure beyond ``depth``.
 
     One hash aggregate on plain numbers: no sort, no collected list."""
+    beyond = F.raise_error(F.concat(F.lit(f"a bracket has more than {depth} exposures: raise depth, found k = "), F.col("k").cast("string")))
+    rows = rows.withColumn("k", F.when(F.col("k") < depth, F.col("k")).otherwise(beyond.cast("int")))
     columns = ["raw_w", "lin_y", "lin_r", "lin_g", "lin_b"]
     picks = [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_{k}") for k in range(depth) for c in columns]
     masks = [F.max(F.when(F.col("k") == k, F.col("masked").cast("int"))).alias(f"masked_{k}") for k in range(depth)]
@@ -181,13 +183,14 @@ def _match_luma(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col(c) * F.col("_s"), F.lit(0.0)).alias(c) for c in "rgb"])
 
 
-def merge(pixels: DataFrame, frames: DataFrame, settings: Settings = Settings(), mode: int = 1) -> DataFrame:
+def merge(pixels: DataFrame, frames: DataFrame, settings: Settings = Settings(), mode: int = 1, depth: int = DEPTH) -> DataFrame:
     """Merged frame per bracket.
 
     Colour modes: 0 takes it from the best exposure, 1 from the weighted mean,
-    2 from the mean with weights smoothed over 3x3 pixels."""
+    2 from the mean with weights smoothed over 3x3 pixels.  ``depth`` is the
+    most exposures a bracket may have in modes 0 and 1."""
     if mode in (0, 1):
-        return _match_luma(_merge_wide(side_by_side(raw_weights(pixels, frames, settings)), mode, settings.chroma_bias))
+        return _match_luma(_merge_wide(side_by_side(raw_weights(pixels, frames, settings), depth), mode, settings.chroma_bias, depth))
     rows = weights(pixels, frames, settings)
     rows = rows.withColumn("cw", chroma_weight(F.col("w"), F.col("_sum") > 0, F.col("k") == 0, settings.chroma_bias))
     rows = focal.mean(rows, ["bracket", "k"], "cw", 1, out="_smooth").withColumn("cw", F.col("_smooth"))

@@ -39,7 +39,7 @@ BRIGHT_STARS = [
 METEOR_SHOWERS = {
     "QUA": ("Quadrantids", (12, 30), (1, 10), (228, 50), (234, 48)),
     "DLM": ("December Leonis Minorids", (12, 5), (2, 5), (149, 37), (234, 48)),
-    "ACE": ("Alpja-Centaurids", (1, 28), (2, 21), (200, -57), (225, -63)),
+    "ACE": ("Alpha-Centaurids", (1, 28), (2, 21), (200, -57), (225, -63)),
     "GNO": ("Gamma-Normids", (2, 25), (3, 22), (225, -51), (245, -49)),
     "LYR": ("Lyrids", (4, 16), (4, 25), (263, 34), (269, 34)),
     "PPU": ("Pi-Puppids", (4, 15), (4, 28), (106, -44), (111, -45)),

@@ -191,12 +191,9 @@ def _gather(rows: DataFrame, keys: list[str], axis: str, radius: int, value: Col
 
 def multiscale_median(pixels: DataFrame, keys: list[str], value: str, scales: int, blend: float,
                       out: str = "median", tile: int = TILE) -> DataFrame:
-    """Medians of radius 1, 2, … applied one after another; squares of more
-    than 225 cells are left out."""
+    """Medians of radius 1, 2, … applied one after another."""
     rows = pixels.withColumn(out, F.col(value))
     for radius in range(1, scales + 1):
-        if (2 * radius + 1) ** 2 > 225:
-            continue
         rows = median(rows.withColumnRenamed(out, "_in"), keys, "_in", radius, blend, out, tile).drop("_in")
     return rows
 

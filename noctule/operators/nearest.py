@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from noctule.session import stored
 
-UNBOUNDED = 1_000_000_000
-
-
 @dataclass(frozen=True)
 class Lookup:
     """One right side: its time column, the columns to take and the order
@@ -28,17 +25,17 @@ class Lookup:
     time: str
     payload: list[str]
     position: list[str]
-    tolerance: int = UNBOUNDED
+    tolerance: int | None = None
     matched_time: str = "matched_time"
 
 
 def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, payload: list[str],
-            position: list[str], by: list[str] | None = None, tolerance: int = UNBOUNDED,
+            position: list[str], by: list[str] | None = None, tolerance: int | None = None,
             bucket_seconds: int = 86400, matched_time: str = "matched_time") -> DataFrame:
     """Every left row with the ``payload`` of the right row closest in time.
 
     Ties go to the earlier time, then to the smallest ``position``.  Rows
-    without a match closer than ``tolerance`` keep NULLs.  Times are whole
+    without a match closer than ``tolerance``, if given, keep NULLs.  Times are whole
     seconds; ``by`` columns must be present on both sides under one name."""
     lookup = Lookup(right, right_time, payload, position, tolerance, matched_time)
     return nearest_all(left, left_time, [lookup], by, bucket_seconds)
@@ -102,7 +99,10 @@ def _answer(times: DataFrame, lookup: Lookup, by: list[str], bucket_seconds: int
     closer = F.col("_after._t") - F.col("_t") < F.col("_t") - F.col("_before._t")
     choice = F.when(F.col("_before").isNull() | closer, F.col("_after")).otherwise(F.col("_before"))
     found = found.select(*by, "_t", choice.alias("_c"))
-    return found.where(F.abs(F.col("_c._t") - F.col("_t")) < lookup.tolerance).select(
+    close = F.col("_c").isNotNull()
+    if lookup.tolerance is not None:
+        close = F.abs(F.col("_c._t") - F.col("_t")) < lookup.tolerance
+    return found.where(close).select(
         *by, "_t", F.col("_c._t").alias(lookup.matched_time), "_c._p.*")
 
 

@@ -363,9 +363,9 @@ def white_balance(pixels: DataFrame, scale_r: float, scale_g: float, scale_b: fl
 
 # --- histogram of 8-bit frames ----------------------------------------------
 
-def luma_histogram(pixels8: DataFrame, width: int | Column, stride: int = 4) -> DataFrame:
+def luma_histogram(pixels8: DataFrame, width: int | Column, stride: int = 1) -> DataFrame:
     """Counts per 8-bit luminance over every ``stride``-th non-black pixel in
-    row order.  Channels are integers 0..255."""
+    row order; all of them unless told otherwise.  Channels are integers 0..255."""
     r, g, b = _rgb()
     sampled = pixels8.where(((F.col("y") * width + F.col("x")) % stride == 0)
                             & ~((r == 0) & (g == 0) & (b == 0)))

@@ -8,22 +8,19 @@ from pyspark.sql import functions as F
 from noctule.session import stored
 
 #: edge of the coarse cells; the sphere in degrees has at most 408 of them
-#: (longitude -180..360, latitude -90..90)
+#: (longitude -180..360, latitude -90..90), three times as many with wrapped copies
 COARSE = 16
 
 
 def _images(grid: DataFrame, wrap: bool) -> DataFrame:
     """With ``wrap`` each point also stands one turn east and west."""
     grid = grid.select("pos", "val", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
-    # what is not on the sphere would void the bound on coarse cells
-    grid = grid.where(F.col("lon").between(-180, 360) & F.col("lat").between(-90, 90))
     # equal positions: the first in document order wins
     grid = grid.groupBy("lon", "lat").agg(F.min_by("val", "pos").alias("val"), F.min("pos").alias("pos"))
     if wrap:
         turns = F.explode(F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0)))
         grid = grid.select("pos", "val", "lat", "lon", turns.alias("_turn"))
         grid = grid.select("pos", "val", "lat", (F.col("lon") + F.col("_turn")).alias("lon"))
-        grid = grid.where(F.col("lon").between(-180.0 - COARSE, 360.0 + COARSE))
     return grid
 
 

@@ -94,10 +94,11 @@ def ladder(start: Column, ev: float, index: Column) -> Column:
 MIN_EXPOSURE = 0.000032
 
 
-def bracket_prefix(frames: DataFrame, keys: list[str], index: str = "k", minimum: float = MIN_EXPOSURE) -> DataFrame:
+def bracket_prefix(frames: DataFrame, keys: list[str], index: str = "k", minimum: float = MIN_EXPOSURE,
+                   most: int = 3) -> DataFrame:
     """Frames of each bracket that are taken: up to the first one that is not
     overexposed or falls under the minimum exposure.  Adds ``n_fused``: at
-    most three, one when none was overexposed.  A bracket has five frames."""
+    most ``most``, one when none was overexposed."""
     line = W.partitionBy(*keys).orderBy(index)
     too_short = (F.col("exposure") < minimum) & (F.col(index) > 0)
     stop = (F.col("overexposed") == 0).cast("int")
@@ -106,5 +107,5 @@ def bracket_prefix(frames: DataFrame, keys: list[str], index: str = "k", minimum
     taken = frames.withColumns({"_before": before, "_cut": cut}).where("_before = 0 and _cut = 0")
     whole = W.partitionBy(*keys)
     fused = F.when(F.sum("overexposed").over(whole) == 0, 1).otherwise(
-        F.least(F.count(F.lit(1)).over(whole), F.lit(3)))
+        F.least(F.count(F.lit(1)).over(whole), F.lit(most)))
     return taken.withColumn("n_fused", fused.cast("int")).drop("_before", "_cut")

@@ -204,6 +204,21 @@ SELECT site, lpad(CAST(CAST(floor(h) AS INT) AS VARCHAR), 2, '0') || ':' || lpad
          lpad(CAST(CAST(floor((am - floor(am)) * 60 + 5e-1) AS INT) AS VARCHAR), 2, '0') || '″' AS dec_text
 FROM w""")
 def format_radec(spark, root):
+    c = F.col("c_custkey")
+    rows = b.table(spark, root, "customer").select(
+        c.alias("site"), ((c * 739) % 36000 / 100.0).alias("ra"), ((c * 379) % 18000 / 100.0 - 90.0).alias("dec"))
+    return rows.select("site", text.ra_text(F.col("ra"), carry=False).alias("ra_text"),
+                       text.dec_text(F.col("dec"), carry=False).alias("dec_text"))
+
+
+@query("format_radec_carried", """
+WITH t AS (SELECT c_custkey AS site, (c_custkey * 739) % 36000 / 1e2 AS ra, (c_custkey * 379) % 18000 / 1e2 - 9e1 AS dec FROM customer),
+u AS (SELECT *, CAST(floor(ra / 15 * 3600 + 5e-1) AS BIGINT) AS h, CAST(floor(abs(dec) * 3600 + 5e-1) AS BIGINT) AS a FROM t)
+SELECT site, lpad(CAST(h // 3600 % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(h // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(h % 60 AS VARCHAR), 2, '0') AS ra_text,
+       CASE WHEN dec < 0 THEN '-' ELSE '+' END || lpad(CAST(a // 3600 AS VARCHAR), 2, '0') || '°' || lpad(CAST(a // 60 % 60 AS VARCHAR), 2, '0') || '′' ||
+         lpad(CAST(a % 60 AS VARCHAR), 2, '0') || '″' AS dec_text
+FROM u""")
+def format_radec_carried(spark, root):
     c = F.col("c_custkey")
     rows = b.table(spark, root, "customer").select(
         c.alias("site"), ((c * 739) % 36000 / 100.0).alias("ra"), ((c * 379) % 18000 / 100.0 - 90.0).alias("dec"))

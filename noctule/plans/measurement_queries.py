@@ -608,8 +608,11 @@ def _brightest_channel():
     return score
 
 
-@query("score_frames")
+@query("score_frames", f"""
+WITH {b.PIXELS}, m AS (SELECT frame_id, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM pixels GROUP BY 1),
+s AS (SELECT 'frame-' || frame_id AS image, unnest([0, 1, 2]) AS class_idx, unnest([r, g, b]) AS v, r + g + b AS total FROM m)
+SELECT image, class_idx, {s6('CASE WHEN total = 0 THEN 0e0 ELSE v / total END', 'score')} FROM s""")
 def score_frames(spark, root):
     p = b.pixels(spark, root).groupBy("frame_id").agg(*[F.avg(c).alias(c) for c in "rgb"])
     frames = p.select(F.concat(F.lit("frame-"), F.col("frame_id").cast("string")).alias("image"), "r", "g", "b")
-    return scoring.score_frames(frames, _brightest_channel)
+    return scoring.score_frames(frames, _brightest_channel).withColumn("score", r6("score"))

@@ -346,18 +346,27 @@ def _pixels8(spark, root):
     return b.pixels(spark, root).select("frame_id", "x", "y", *[P.quantize(F.col(c), 255).alias(c) for c in "rgb"])
 
 
-HISTOGRAM = f"""
+def _histogram(stride: int) -> str:
+    return f"""
 p8 AS (SELECT frame_id, x, y, {', '.join(f'CAST(floor(least(greatest({c}, 0e0), 1e0) * 255 + 5e-1) AS INT) AS {c}' for c in 'rgb')} FROM pixels),
 hist AS (SELECT frame_id, CAST(floor({LUMA} + 5e-1) AS INT) AS bin, count(*) AS n FROM p8
-         WHERE (y * 16 + x) % 4 = 0 AND NOT {BLACK} GROUP BY 1, 2)
+         WHERE (y * 16 + x) % {stride} = 0 AND NOT {BLACK} GROUP BY 1, 2)
 """
 
 
+HISTOGRAM = _histogram(1)
+
+
 @query("luma_histogram", f"WITH {b.PIXELS}, {HISTOGRAM} SELECT * FROM hist")
 def luma_histogram(spark, root):
     return ph.luma_histogram(_pixels8(spark, root), W)
 
 
+@query("luma_histogram_sparse", f"WITH {b.PIXELS}, {_histogram(4)} SELECT * FROM hist")
+def luma_histogram_sparse(spark, root):
+    return ph.luma_histogram(_pixels8(spark, root), W, stride=4)
+
+
 @query("luma_stats", f"""
 WITH {b.PIXELS}, {HISTOGRAM},
 v AS (SELECT frame_id, bin FROM hist, range(100000) t(i) WHERE i < n)

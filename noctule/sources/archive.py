@@ -23,7 +23,8 @@ def path_stamp(path: Column, kind: str = "video", suffix: str = ".mp4") -> Colum
 
 
 def path_day(path: Column) -> Column:
-    return F.nullif(F.regexp_extract(path, r"^([0-9]{8})/", 1), F.lit(""))
+    """The day folder a file lies in, whatever stands before it."""
+    return F.nullif(F.regexp_extract(path, r"(?:^|/)([0-9]{8})/[^/]*$", 1), F.lit(""))
 
 
 def listing(files: DataFrame, suffix: str = ".mp4", path: str = "path") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,12 +64,13 @@ def insert(spark: SparkSession, rows: DataFrame, root: str, kind: str,
            arrival: Column | None = None) -> None:
     """Append the rows that are new to the stored table.
 
-    Only the days the rows fall on are read back; an anti join prunes nothing
-    by itself."""
-    days = [r.day for r in rows.select(text.epoch_to_day(F.col("timestamp")).alias("day")).distinct().collect()]
+    Only the span of days the rows fall on is listed, and of it only their own
+    days are kept; an anti join prunes nothing by itself."""
+    days = rows.select(text.epoch_to_day(F.col("timestamp")).alias("day")).distinct()
+    first, last = days.agg(F.min("day"), F.max("day")).first()
     try:
         existing = spark.read.schema(schemas.MEASUREMENTS[kind]).parquet(f"{root}/{kind}")
-        existing = existing.where(F.col("day").isin(days)).select(*KEY)
+        existing = existing.where(F.col("day").between(F.lit(first), F.lit(last))).join(days, "day", "left_semi").select(*KEY)
     except AnalysisException as error:  # the first write finds no folder yet
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -141,9 +143,10 @@ def history(rows: DataFrame, start: int, end: int, descending: bool = False, **f
 
 def _number(value) -> float | None:
     try:
-        return None if value is None else float(value)
+        number = None if value is None else float(value)
     except ValueError:
         return None
+    return number if number is not None and math.isfinite(number) else None
 
 
 def split_valid_times(rows: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUOTED = r'^([^=]{1,49})=\s*"([^"]{1,99})'
-PLAIN = r'^([^=]{1,49})=\s*([^\s"]\S{0,98})'
+QUOTED = r'^([^=]+)=\s*"([^"]+)'
+PLAIN = r'^([^=]+)=\s*([^\s"]\S*)'
 
 
 def parse(texts: DataFrame, station: str, body: str = "text",
@@ -20,7 +20,7 @@ def parse(texts: DataFrame, station: str, body: str = "text",
     lines = lines.where(~F.col("line").startswith("#") & (F.length("line") >= 2))
     quoted = F.regexp_extract("line", QUOTED, 2)
     value = F.when(quoted != "", quoted).otherwise(F.regexp_extract("line", PLAIN, 2))
-    key = F.trim(F.regexp_extract("line", r"^([^=]{1,49})=", 1))
+    key = F.trim(F.regexp_extract("line", r"^([^=]+)=", 1))
     pairs = lines.select("station", key.alias("key"), value.alias("value"), "line_no")
     pairs = pairs.where("key <> '' and value <> ''")
     if defaults is not None:

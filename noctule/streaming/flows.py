@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,13 +116,9 @@ def latest_sink(spark: SparkSession, target: str, key: list[str], order: list[st
     def write(rows: DataFrame, batch_id: int) -> None:
         session = rows.sparkSession
         merged = latest(rows, key, order)
-        if batch_id > 0:
-            try:
-                before = session.read.schema(schema).parquet(f"{target}/snapshot={batch_id - 1}")
-                merged = latest(merged.unionByName(before), key, order)
-            except AnalysisException as error:  # the first batch had no rows to keep
-                if error.getCondition() != "PATH_NOT_FOUND":
-                    raise
+        if batch_id > 0:  # a lost snapshot stops the stream: it must not be taken for an empty one
+            before = session.read.schema(schema).parquet(f"{target}/snapshot={batch_id - 1}")
+            merged = latest(merged.unionByName(before), key, order)
         merged.write.mode("overwrite").parquet(f"{target}/snapshot={batch_id}")
 
     return write

@@ -218,3 +218,21 @@ def test_bracket_prefix(spark):
     out = timeline.bracket_prefix(table, ["b"])
     got = {r.b: (r.n, r.f) for r in out.groupBy("b").agg(F.count("*").alias("n"), F.max("n_fused").alias("f")).collect()}
     assert got == {1: (2, 2), 2: (5, 3), 3: (1, 1), 4: (2, 2)}
+
+
+def test_settings_have_no_length_limits(spark):
+    long, key = "v" * 150, "k" * 60
+    texts = spark.createDataFrame([(1, f'{key}="{long} x"\nplain={long}')], "station long, text string")
+    assert {r.key: r.value for r in settings.parse(texts, "station").collect()} == {key: long + " x", "plain": long}
+
+
+def test_day_of_a_listed_path(spark):
+    rows = spark.createDataFrame([("file:/media/a/20240102/video-20240102030405.mp4", 1), ("20240103/x.mp4", 1), ("/a/b.mp4", 1)], "path string, length long")
+    assert [r.day_text for r in archive.listing(rows).collect()] == ["20240102", "20240103", None]
+
+
+def test_history_ignores_what_is_no_number(spark):
+    rows = spark.createDataFrame([(1, 5.0), (2, 15.0)], "timestamp long, sqm double")
+    for value in ("nan", "inf", "x", None, float("nan")):
+        assert measurements.history(rows, 0, 9, sqm_min=value).count() == 2
+    assert measurements.history(rows, 0, 9, sqm_min="10").count() == 1

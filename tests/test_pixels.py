@@ -328,3 +328,12 @@ def test_seam_and_empty_boxes(spark):
     wrapped = {r.site: (r.max_val, r.avg_val) for r in spatial.box_statistics(sites, grid, wrap_lon=True).collect()}
     assert plain == {1: (9, 1)} and wrapped == {1: (9, 7.0)}
     assert {r.site: r.val for r in spatial.nearest_point(sites.where("site = 1").withColumn("lon", F.lit(0.4)), grid, wrap_lon=True).collect()} == {1: 5}
+
+
+def test_brackets_beyond_the_depth_are_refused_or_merged(spark):
+    rows = spark.createDataFrame([(1, 0, 0, k, 0.1 * (k + 1), 0.2, 0.2, 0.2, 0.2, False) for k in range(7)],
+                                 "bracket int, x int, y int, k int, raw_w double, lin_y double, lin_r double, lin_g double, lin_b double, masked boolean")
+    wide = bracket.side_by_side(rows, depth=7).first()
+    assert wide["raw_w_6"] == pytest.approx(0.7)
+    with pytest.raises(Exception, match="more than 5 exposures"):
+        bracket.side_by_side(rows).collect()

@@ -4,8 +4,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from noctule.functions import labels, sky
-from noctule.operators import catalog
+from noctule.functions import labels, sky, text
+from noctule.operators import catalog, nearest, spatial
 
 
 def at(*when):
@@ -76,3 +76,25 @@ def test_cloud_colors(spark):
     table = spark.createDataFrame([(-5.0,), (15.0,), (30.0,), (100.0,), (250.0,)], "p double")
     got = [r[0] for r in table.select(labels.cloud_color(F.col("p"))).collect()]
     assert got == ["rgb(0, 0, 60)", "rgb(36, 36, 81)", "rgb(72, 72, 102)", "rgb(240, 240, 200)", "rgb(240, 240, 200)"]
+
+
+def test_seconds_carry(spark):
+    rows = spark.createDataFrame([(15 * (1 + 59.9999 / 3600), 10 + 59 / 60 + 59.7 / 3600), (359.9999, -0.5)], "ra double, dec double")
+    got = [tuple(r) for r in rows.select(text.ra_text(F.col("ra")), text.dec_text(F.col("dec"))).collect()]
+    assert got == [("01:01:00", "+11°00′00″"), ("00:00:00", "-00°30′00″")]
+
+
+def test_nearest_point_across_the_seam_and_off_the_sphere(spark):
+    sites = spark.createDataFrame([(1, 350.0, 0.0), (2, -181.0, 0.0)], "site int, lon double, lat double")
+    grid = spark.createDataFrame([(0, 30.0, 0.0, 1.0), (1, 200.0, 0.0, 2.0)], "pos int, lon double, lat double, val double")
+    got = {r.site: (r.val, r.distance) for r in spatial.nearest_point(sites, grid, wrap_lon=True).collect()}
+    assert got[1] == (1.0, 40.0) and got[2] == (2.0, 21.0)
+    beside = grid.unionByName(spark.createDataFrame([(2, -181.2, 0.0, 3.0)], grid.schema))
+    assert {r.site: r.val for r in spatial.nearest_point(sites, beside).collect()}[2] == 3.0
+
+
+def test_nearest_in_time_has_no_limit_by_default(spark):
+    left = spark.createDataFrame([(500_000_000,)], "t long")
+    right = spark.createDataFrame([(1_800_000_000, 1, 7)], "u long, pos int, v int")
+    assert nearest.nearest(left, right, "t", "u", ["v"], ["pos"]).first().v == 7
+    assert nearest.nearest(left, right, "t", "u", ["v"], ["pos"], tolerance=1_000_000_000).first().v is None
