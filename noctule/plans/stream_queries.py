@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from noctule.functions import exposure
 from noctule.functions.exposure import Controller, Limits
 from noctule.plans import bindings as b
-from noctule.plans.registry import query, r6, s6
+from noctule.plans.registry import ORACLE, query, r6, s6
 from noctule.session import scratch_path
 from noctule.streaming import flows, state
 
@@ -16,13 +16,22 @@ START = (1.0, 100.0)
 TARGETS = (0.30, 0.15)
 
 
-def _stream(spark, root, name="events"):
+PARTS = 8
+
+
+def _stream(spark, root, name="events", split=False):
+    """Stream of a table's file, or of ``PARTS`` files its rows are shuffled into, one a micro-batch."""
     schema = b.table(spark, root, name).schema
-    return flows.files(spark, root, schema, f"{name}.parquet")
+    if not split:
+        return flows.files(spark, root, schema, f"{name}.parquet")
+    folder = scratch_path(spark, name + "-split")
+    shuffled = b.table(spark, root, name).repartition(PARTS, F.xxhash64(F.lit(7), *schema.fieldNames()[:1]))
+    shuffled.write.option("maxRecordsPerFile", 0).parquet(folder)
+    return flows.files(spark, folder, schema, files_per_batch=1)
 
 
-def _obs(spark, root):
-    return b.obs_from(_stream(spark, root))
+def _obs(spark, root, split=False):
+    return b.obs_from(_stream(spark, root, split=split))
 
 
 def _timed(rows):
@@ -57,10 +66,16 @@ def stream_ingest(spark, root):
 
 
 @query("stream_dedup", f"WITH {b.OBS} SELECT DISTINCT station, timestamp // 600 AS slot FROM obs")
-def stream_dedup(spark, root):
-    rows = _timed(_obs(spark, root)).withColumn("slot", F.floor(F.col("timestamp") / 600))
-    kept = flows.run(flows.dedup(rows, ["station", "slot"], "ts", "20 minutes").select("station", "slot"), "dedup")
-    return kept
+def stream_dedup(spark, root, split=False):
+    slots = lambda rows: _timed(rows).withColumn("slot", F.floor(F.col("timestamp") / 600))
+    kept = flows.run(flows.dedup(slots(_obs(spark, root, split)), ["station", "slot"], "ts", "20 minutes").select("station", "slot"), "dedup")
+    return flows.absent(kept, slots(b.obs(spark, root)), ["station", "slot"])
+
+
+def _folded(spark, root, split, name, columns, operator):
+    """A stateful operator's stream, settled with its batch twin."""
+    streamed = flows.run(operator(_obs(spark, root, split).select(*columns)), name)
+    return state.settle(streamed, b.obs(spark, root).select(*columns), operator)
 
 
 _ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY timestamp, event_id) AS i FROM obs)"
@@ -76,9 +91,9 @@ s AS (SELECT station, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id,
  FROM (SELECT o.station, o.i, o.event_id, o.brightness AS br, (CASE o.night_mode WHEN 1 THEN 15e-2 ELSE 3e-1 END) - o.brightness AS er, s.ex, s.ga
        FROM s JOIN o ON o.station = s.station AND o.i = s.i + 1))
 SELECT station, event_id, {s6('ex', 'exposure')}, {s6('ga', 'gain')} FROM s WHERE i > 0""")
-def stream_exposure(spark, root):
-    rows = _obs(spark, root).select("station", "event_id", "timestamp", "brightness", "night_mode")
-    kept = flows.run(state.exposure_control(rows, LIMITS, START, TARGETS), "exposure")
+def stream_exposure(spark, root, split=False):
+    kept = _folded(spark, root, split, "exposure", ["station", "event_id", "timestamp", "brightness", "night_mode"],
+                   lambda rows: state.exposure_control(rows, LIMITS, START, TARGETS))
     return kept.select("station", "event_id", r6("exposure"), r6("gain"))
 
 
@@ -96,10 +111,9 @@ s AS (SELECT station, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id,
  FROM (SELECT m.station, m.i, m.event_id, m.br, s.sh, s.ga, s.la, (3e-1 + 3e-1 * exp(-4 * m.mean)) / m.br AS sc,
          1 + 5e-1 * ((3e-1 + 3e-1 * exp(-4 * m.mean)) / m.br - 1) AS d FROM s JOIN m ON m.station = s.station AND m.i = s.i + 1))
 SELECT station, event_id, round(sh, 4) + 0e0 AS shutter, round(ga, 4) + 0e0 AS gain, la AS lamp FROM s WHERE i > 0""")
-def stream_controller(spark, root):
-    # a brightness of zero has no step; the floor keeps the oracle simple
-    rows = _obs(spark, root).select("station", "event_id", "timestamp", "brightness")
-    kept = flows.run(state.damped_control(rows, CONTROLLER, (1.0, 2.0)), "controller")
+def stream_controller(spark, root, split=False):
+    kept = _folded(spark, root, split, "controller", ["station", "event_id", "timestamp", "brightness"],
+                   lambda rows: state.damped_control(rows, CONTROLLER, (1.0, 2.0)))
     return kept.select("station", "event_id", (F.round("shutter", 4) + 0.0).alias("shutter"),
                        (F.round("gain", 4) + 0.0).alias("gain"), "lamp")
 
@@ -107,9 +121,8 @@ def stream_controller(spark, root):
 @query("stream_night_end", f"""
 WITH {b.OBS}, w AS (SELECT event_id, station, timestamp, night_mode, lag(night_mode) OVER (PARTITION BY station ORDER BY timestamp, event_id) AS was FROM obs)
 SELECT event_id, station, timestamp FROM w WHERE was = 1 AND night_mode = 0""")
-def stream_night_end(spark, root):
-    rows = _obs(spark, root).select("station", "event_id", "timestamp", "night_mode")
-    return flows.run(state.night_ends(rows), "night-end")
+def stream_night_end(spark, root, split=False):
+    return _folded(spark, root, split, "night-end", ["station", "event_id", "timestamp", "night_mode"], state.night_ends)
 
 
 @query("stream_throttle", f"""
@@ -119,9 +132,8 @@ s AS (SELECT station, i, event_id, timestamp, timestamp AS acc, TRUE AS hit FROM
  SELECT o.station, o.i, o.event_id, o.timestamp, CASE WHEN o.timestamp > s.acc + 21600 THEN o.timestamp ELSE s.acc END, o.timestamp > s.acc + 21600
  FROM s JOIN o ON o.station = s.station AND o.i = s.i + 1)
 SELECT station, event_id, timestamp FROM s WHERE hit""")
-def stream_throttle(spark, root):
-    rows = _obs(spark, root).select("station", "event_id", "timestamp")
-    return flows.run(state.throttle(rows, 21600), "throttle")
+def stream_throttle(spark, root, split=False):
+    return _folded(spark, root, split, "throttle", ["station", "event_id", "timestamp"], lambda rows: state.throttle(rows, 21600))
 
 
 @query("stream_stack", f"""
@@ -145,12 +157,11 @@ def stream_latest(spark, root):
 
 @query("stream_hourly", f"""
 WITH {b.OBS}
-SELECT CAST(timestamp // 3600 * 3600 AS BIGINT) AS hour, feed, count(*) AS n, {s6('avg(value)', 'mean_value')} FROM obs
-WHERE timestamp // 3600 * 3600 + 3600 <= (SELECT max(timestamp) - 600 FROM obs) GROUP BY 1, 2""")
-def stream_hourly(spark, root):
-    rows = flows.hourly(_timed(_obs(spark, root)), "ts", "10 minutes", ["feed"],
-                        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
-    return flows.run(rows, "hourly").withColumn("mean_value", r6("mean_value"))
+SELECT CAST(timestamp // 3600 * 3600 AS BIGINT) AS hour, feed, count(*) AS n, {s6('avg(value)', 'mean_value')} FROM obs GROUP BY 1, 2""")
+def stream_hourly(spark, root, split=False):
+    hours = lambda rows: flows.hourly(_timed(rows), "ts", "10 minutes", ["feed"], F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
+    streamed = flows.run(hours(_obs(spark, root, split)), "hourly")
+    return flows.completed(streamed, hours(b.obs(spark, root)), ["hour", "feed"], "n").withColumn("mean_value", r6("mean_value"))
 
 
 @query("stream_sessions", f"""
@@ -158,7 +169,19 @@ WITH {b.OBS},
 g AS (SELECT station, timestamp, CASE WHEN timestamp - lag(timestamp) OVER p < 14400 THEN 0 ELSE 1 END AS new FROM obs WINDOW p AS (PARTITION BY station ORDER BY timestamp)),
 r AS (SELECT station, timestamp, sum(new) OVER (PARTITION BY station ORDER BY timestamp) AS run FROM g),
 a AS (SELECT station, min(timestamp) AS first, max(timestamp) + 14400 AS until, count(*) AS captures FROM r GROUP BY station, run)
-SELECT * FROM a WHERE until <= (SELECT max(timestamp) - 600 FROM obs)""")
-def stream_sessions(spark, root):
-    rows = flows.sessions(_timed(_obs(spark, root)), "ts", "4 hours", "10 minutes", ["station"])
-    return flows.run(rows, "sessions")
+SELECT * FROM a""")
+def stream_sessions(spark, root, split=False):
+    runs = lambda rows: flows.sessions(_timed(rows), "ts", "4 hours", "10 minutes", ["station"])
+    streamed = flows.run(runs(_obs(spark, root, split)), "sessions")
+    return flows.completed(streamed, runs(b.obs(spark, root)), ["station", "first", "until"], "captures")
+
+
+def _split(name, flow):
+    """The same flow over shuffled files, one a micro-batch: same rows, same SQL."""
+    query(f"{name}_split", ORACLE[name])(lambda spark, root: flow(spark, root, split=True))
+
+
+for _name, _flow in (("stream_dedup", stream_dedup), ("stream_exposure", stream_exposure), ("stream_controller", stream_controller),
+                     ("stream_night_end", stream_night_end), ("stream_throttle", stream_throttle), ("stream_hourly", stream_hourly),
+                     ("stream_sessions", stream_sessions)):
+    _split(_name, _flow)

@@ -1,9 +1,11 @@
 """Per-station operators whose step depends on the step before.
 
-Each keeps a few numbers of state per station.  Rows of a micro-batch are put
-in time order; rows older than the state are dropped and counted.  The size of
-a micro-batch, and with it what a task holds, is set by the source's
-``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
+Each keeps a few numbers of state per station.  Rows are held until ``delay``
+seconds of newer ones have arrived and then stepped through in order of time.
+A row that arrives behind what was stepped through is given out with ``late``
+set: nothing is lost, and ``settle`` replaces the stations it concerns by
+their batch twin.  So the result does not depend on how rows were split into
+micro-batches, whose size the source's ``maxFilesPerTrigger`` sets.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from typing import Any, Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from noctule.functions.exposure import Controller, Limits, advance
@@ -28,38 +32,69 @@ class OrderedFold(StatefulProcessor):
     def __init__(self, step: Step, state_schema: str, initial: tuple, columns: list[str], time: str = "timestamp"):
         self.step, self.state_schema, self.initial = step, state_schema, initial
         self.columns, self.time = columns, time
+        self.rows: T.StructType | None = None
+        self.delay = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fold = handle.getValueState("fold", f"last_time bigint, late bigint, {self.state_schema}")
+        self.fold = handle.getValueState("fold", f"last_time bigint, last_id bigint, newest bigint, {self.state_schema}")
+        self.held = handle.getListState("held", self.rows)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.fold.get() if self.fold.exists() else None
-        last, late, state = (held[0], held[1], tuple(held[2:])) if held else (-1, 0, self.initial)
-        batch = pd.concat(list(rows)).sort_values([self.time, "event_id"], kind="stable")
+        before = self.fold.get() if self.fold.exists() else None
+        last, newest, state = ((before[0], before[1]), before[2], tuple(before[3:])) if before else ((None, None), None, self.initial)
+        names = self.rows.fieldNames()
+        waiting = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=names)
+        batch = pd.concat([waiting, *(r[names] for r in rows)] if len(waiting) else [r[names] for r in rows])
+        batch = batch.sort_values([self.time, "event_id"], kind="stable")
+        newest = max(int(batch[self.time].max()), newest if newest is not None else int(batch[self.time].max()))
+        ready = (batch[self.time] <= newest - self.delay).to_numpy()
         out = []
-        for row in batch.itertuples(index=False):
-            now = getattr(row, self.time)
-            if now < last:
-                late += 1
+        for row in batch[ready].itertuples(index=False):
+            now = (int(getattr(row, self.time)), int(row.event_id))
+            if last[0] is not None and now < last:
+                out.append((key[0], row.event_id, now[0], *[None] * len(self.columns), True))
                 continue
             last = now
             state, values = self.step(state, row)
             if values is not None:
-                out.append((key[0], row.event_id, now, *values))
-        self.fold.update((int(last), int(late), *state))
-        yield pd.DataFrame(out, columns=["station", "event_id", self.time, *self.columns])
+                out.append((key[0], row.event_id, now[0], *values, False))
+        self.fold.update((*last, newest, *state))
+        self.held.clear()
+        if not ready.all():
+            self.held.put([tuple(x.item() if hasattr(x, "item") else x for x in row) for row in batch[~ready].itertuples(index=False)])
+        yield pd.DataFrame(out, columns=["station", "event_id", self.time, *self.columns, "late"])
 
     def close(self) -> None:
         pass
 
 
-def _run(rows: DataFrame, processor: OrderedFold, extra: str) -> DataFrame:
+def _schema(extra: str) -> str:
+    return "station bigint, event_id bigint, timestamp bigint" + (", " + extra if extra else "") + ", late boolean"
+
+
+def _run(rows: DataFrame, processor: OrderedFold, extra: str, delay: int) -> DataFrame:
     """A stream keeps state between batches; a table is replayed."""
     if not rows.isStreaming:
         return replay(rows, processor, extra)
-    schema = "station bigint, event_id bigint, timestamp bigint" + (", " + extra if extra else "")
+    processor.rows, processor.delay = rows.schema, delay
     return rows.groupBy("station").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+        statefulProcessor=processor, outputStructType=_schema(extra), outputMode="Append", timeMode="None")
+
+
+def settle(streamed: DataFrame, history: DataFrame, operator: Callable[[DataFrame], DataFrame], delay: int = 0) -> DataFrame:
+    """What ``operator`` gives on the whole history, from its stream as far as that goes.
+
+    ``streamed`` is the stream's output over the same rows.  Stations with late
+    rows are replayed; of the others only the rows that are still held are.
+    """
+    late = streamed.where("late").select("station").distinct()
+    replayed = operator(history)
+    whole = streamed.where("NOT late").join(late, "station", "left_anti").unionByName(replayed.join(late, "station", "left_semi"))
+    if delay:
+        newest = history.groupBy("station").agg((F.max("timestamp") - delay).alias("_from"))
+        held = replayed.join(late, "station", "left_anti").join(newest, "station").where("timestamp > _from").drop("_from")
+        whole = whole.unionByName(held)
+    return whole.drop("late")
 
 
 def replay(rows: DataFrame, fold: OrderedFold, extra: str) -> DataFrame:
@@ -68,8 +103,7 @@ def replay(rows: DataFrame, fold: OrderedFold, extra: str) -> DataFrame:
     Rows stream through sorted partitions in Arrow batches; a task holds one
     batch and one state, however long a station's chain is.  The chain itself
     is sequential: every step needs the one before."""
-    schema = "station bigint, event_id bigint, timestamp bigint" + (", " + extra if extra else "")
-    names = ["station", "event_id", fold.time, *fold.columns]
+    names = ["station", "event_id", fold.time, *fold.columns, "late"]
     step, initial, time = fold.step, fold.initial, fold.time
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,15 +115,15 @@ def replay(rows: DataFrame, fold: OrderedFold, extra: str) -> DataFrame:
                     station, state = row.station, initial
                 state, values = step(state, row)
                 if values is not None:
-                    out.append((station, row.event_id, getattr(row, time), *values))
+                    out.append((station, row.event_id, getattr(row, time), *values, False))
             yield pd.DataFrame(out, columns=names)
 
     ordered = rows.repartition("station").sortWithinPartitions("station", time, "event_id")
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInPandas(run, _schema(extra))
 
 
 def exposure_control(rows: DataFrame, limits: Limits, start: tuple[float, float],
-                     targets: tuple[float, float]) -> DataFrame:
+                     targets: tuple[float, float], delay: int = 0) -> DataFrame:
     """Exposure and gain after each observation; the output of a step is the
     input of the next.  ``targets`` are the day and night brightness.  Rows
     carry ``brightness`` and ``night_mode``."""
@@ -99,10 +133,10 @@ def exposure_control(rows: DataFrame, limits: Limits, start: tuple[float, float]
         return state, state
 
     fold = OrderedFold(step, "exposure double, gain double", start, ["exposure", "gain"])
-    return _run(rows, fold, "exposure double, gain double")
+    return _run(rows, fold, "exposure double, gain double", delay)
 
 
-def damped_control(rows: DataFrame, controller: Controller, start: tuple[float, float]) -> DataFrame:
+def damped_control(rows: DataFrame, controller: Controller, start: tuple[float, float], delay: int = 0) -> DataFrame:
     """Shutter, gain and lamp of the damped controller.  Medians outside
     0..1 leave everything as it is."""
 
@@ -114,25 +148,25 @@ def damped_control(rows: DataFrame, controller: Controller, start: tuple[float,
 
     fold = OrderedFold(step, "recent array<double>, shutter double, gain double, lamp int", ([], *start, 0),
                        ["shutter", "gain", "lamp"])
-    return _run(rows, fold, "shutter double, gain double, lamp int")
+    return _run(rows, fold, "shutter double, gain double, lamp int", delay)
 
 
-def night_ends(rows: DataFrame) -> DataFrame:
+def night_ends(rows: DataFrame, delay: int = 0) -> DataFrame:
     """An event for each observation by day that follows one by night."""
 
     def step(state, row):
         night = int(row.night_mode)
         return (night,), () if state[0] == 1 and night == 0 else None
 
-    return _run(rows, OrderedFold(step, "night int", (0,), []), "")
+    return _run(rows, OrderedFold(step, "night int", (0,), []), "", delay)
 
 
-def throttle(rows: DataFrame, interval: int) -> DataFrame:
+def throttle(rows: DataFrame, interval: int, delay: int = 0) -> DataFrame:
     """Observations more than ``interval`` seconds after the last one let through."""
 
     def step(state, row):
-        if row.timestamp > state[0] + interval:
+        if state[0] is None or row.timestamp > state[0] + interval:
             return (int(row.timestamp),), ()
         return state, None
 
-    return _run(rows, OrderedFold(step, "accepted bigint", (-interval - 1,), []), "")
+    return _run(rows, OrderedFold(step, "accepted bigint", (None,), []), "", delay)

@@ -38,24 +38,54 @@ def arriving(spark, tmp_path_factory):
     return data, stream
 
 
-def test_exposure_is_carried_over_batches_and_late_rows_dropped(arriving):
-    data, stream = arriving
-    out = flows.run(state.exposure_control(stream(), LIMITS, (1.0, 100.0), (0.3, 0.15)), "exposure")
-    got = {r.event_id: (r.exposure, r.gain) for r in out.collect()}
+LATE = [(0, 900, 5, 0.5, 0), (1, 901, 6, 0.5, 1)]
+
+
+def exposures(data):
     held, want = {0: (1.0, 100.0), 1: (1.0, 100.0)}, {}
-    for s, i, _, b, night in data:
+    for s, i, _, b, night in sorted(data, key=lambda r: r[2]):
         held[s] = want[i] = advance(b, *held[s], (0.3, 0.15)[night], LIMITS)
-    assert got == want
-    table = out.sparkSession.createDataFrame(data, ROWS)
-    replayed = state.exposure_control(table, LIMITS, (1.0, 100.0), (0.3, 0.15)).collect()
-    assert {r.event_id: (r.exposure, r.gain) for r in replayed} == want
+    return want
+
+
+def test_exposure_is_carried_over_batches_and_late_rows_are_given_out(spark, arriving):
+    data, stream = arriving
+    operator = lambda rows: state.exposure_control(rows, LIMITS, (1.0, 100.0), (0.3, 0.15))
+    out = flows.run(operator(stream()), "exposure")
+    assert {r.event_id: (r.exposure, r.gain) for r in out.where("NOT late").collect()} == exposures(data)
+    assert {r.event_id for r in out.where("late").collect()} == {900, 901}
+    assert out.count() == len(data) + len(LATE)
+    table = spark.createDataFrame(data + LATE, ROWS)
+    settled = state.settle(out, table, operator).collect()
+    assert {r.event_id: (r.exposure, r.gain) for r in settled} == exposures(data + LATE) and len(settled) == len(data) + len(LATE)
+    assert {r.event_id: (r.exposure, r.gain) for r in operator(spark.createDataFrame(data, ROWS)).collect()} == exposures(data)
+
+
+@pytest.mark.parametrize("delay", [50, 700])
+def test_rows_are_held_until_later_ones_have_come(spark, arriving, delay):
+    data, stream = arriving
+    operator = lambda rows: state.exposure_control(rows, LIMITS, (1.0, 100.0), (0.3, 0.15), delay)
+    out = flows.run(operator(stream()), "held").collect()
+    newest = {s: max(r[2] for r in data if r[0] == s) for s in (0, 1)}
+    waiting = {r[1] for r in data if r[2] > newest[r[0]] - delay}
+    released, late = {r.event_id for r in out if not r.late}, {r.event_id for r in out if r.late}
+    assert released | late | waiting == {r[1] for r in data + LATE} and len(out) + len(waiting) == len(data) + len(LATE)
+    table = spark.createDataFrame(data + LATE, ROWS)
+    settled = state.settle(flows.run(operator(stream()), "held"), table, operator, delay).collect()
+    assert {r.event_id: (r.exposure, r.gain) for r in settled} == exposures(data + LATE) and len(settled) == len(data) + len(LATE)
+
+
+def test_times_before_1970(spark):
+    rows = spark.createDataFrame([(0, 1, -500, 0.2, 1), (0, 2, -100, 0.2, 0)], ROWS)
+    assert [r.event_id for r in state.throttle(rows, 1000).collect()] == [1]
+    assert [r.event_id for r in state.night_ends(rows).collect()] == [2]
 
 
 def test_controller_is_carried_over_batches(arriving):
     data, stream = arriving
     controller = Controller(target=0.4)
     out = flows.run(state.damped_control(stream(), controller, (1.0, 2.0)), "controller")
-    got = {r.event_id: (r.shutter, r.gain, r.lamp) for r in out.collect()}
+    got = {r.event_id: (r.shutter, r.gain, r.lamp) for r in out.where("NOT late").collect()}
     held, want = {s: ([], 1.0, 2.0, 0) for s in (0, 1)}, {}
     for s, i, _, b, _ in data:
         if 0 < b <= 1:
@@ -74,14 +104,14 @@ def test_night_ends_and_throttle_over_batches(arriving):
         if was.get(s) == 1 and night == 0:
             want.add(i)
         was[s] = night
-    assert {r.event_id for r in ends.collect()} == want
+    assert {r.event_id for r in ends.where("NOT late").collect()} == want
     kept = flows.run(state.throttle(stream(), 150), "throttle")
     last, want = {}, set()
     for s, i, t, _, _ in data:
-        if t > last.get(s, -151) + 150:
+        if s not in last or t > last[s] + 150:
             want.add(i)
             last[s] = t
-    assert {r.event_id for r in kept.collect()} == want
+    assert {r.event_id for r in kept.where("NOT late").collect()} == want
 
 
 def test_running_stack_and_latest_over_batches(spark, arriving, tmp_path):
