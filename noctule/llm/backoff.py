@@ -218,7 +218,8 @@ def occurrences(docs: DataFrame, level: int, part: int, parts: int, model: Model
                 both = key[chosen] ^ mixed(owner[chosen].astype("u8") + np.uint64(1))
                 _, first, inverse, n = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
                 context = np.bincount(inverse, ~last[chosen], len(first)).astype("i4")
-                first = chosen[first]
+                order = np.argsort(first)  # a document's rows side by side: its key then compresses
+                first, n, context = chosen[first[order]], n[order], context[order]
                 size = len(first)
                 if level == 1:
                     zeros, per_doc = np.zeros(size), np.bincount(owner, minlength=len(some))
@@ -253,7 +254,8 @@ def score(docs: DataFrame, model: Model, key: Column, text: str = "text", head:
         keys = top.column("key").to_numpy().view("u8")
         order = np.argsort(keys)
         frequent = (keys[order], *(top.column(c).to_numpy()[order] for c in ("delta", "back", "c")))
-    first = occurrences(rows, 1, 0, 1, model, frequent).join(model.tables[0], "key", "left")
+    # tables have a row per key and are the smaller side: hashing them spares sorting the occurrences
+    first = occurrences(rows, 1, 0, 1, model, frequent).join(model.tables[0].hint("shuffle_hash"), "key", "left")
     unseen = -math.log10(model.total + model.distinct + 1)
     seen = F.coalesce("c", F.lit(0))
     sums = [settled(first.select("row", "n", "copies",
@@ -262,7 +264,7 @@ def score(docs: DataFrame, model: Model, key: Column, text: str = "text", head:
                                  (F.col("known") + F.when(seen > 0, F.col("as_gram")).otherwise(0)).alias("known"))
                     .groupBy("row").agg(*(F.sum(c).alias(c) for c in ("score", "base", "known", "n", "copies"))), "lm-score-1")]
     for level in range(2, len(model.tables) + 1):
-        table = model.tables[level - 1].select("key", "delta", "back")
+        table = model.tables[level - 1].select("key", "delta", "back").hint("shuffle_hash")
         for part in range(SLICES):
             met = occurrences(rows, level, part, SLICES, model, None).join(table, "key")
             sums.append(settled(met.groupBy("row").agg(F.sum(F.col("as_gram") * F.col("delta") + F.col("as_context") * F.col("back")).alias("score")), f"lm-score-{level}-{part}"))
