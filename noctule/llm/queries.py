@@ -112,7 +112,32 @@ def op4(spark: SparkSession, root: str) -> DataFrame:
     return T.only(extract.extract(pages), "page_id", "url", "text", "n_chars")
 
 
-@query("op5_license_scan")
+def license_sql() -> str:
+    """The scan in SQL: sentences by a map, rules by replacing what they consume."""
+    known = ", ".join(f"'{s}': '{name}'" for name, s in licenses.SENTENCES.items())
+    plain = r"trim(regexp_replace(lower(s), '[^\p{L}\p{N}]+', ' ', 'g'))"
+    for pattern, put in ((r"^copyright .*all rights reserved$", "copyright all rights reserved"), (r"^copyright .*$", "copyright")):
+        plain = f"CASE WHEN regexp_matches({plain}, '{pattern}') AND {plain} <> 'copyright all rights reserved' THEN '{put}' ELSE {plain} END"
+    cut = r"list_filter(string_split(regexp_replace({}, '([.!?;:])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(lower(s), '{}'))"
+    joined = r"replace(replace(regexp_replace(text, '\n\s*\n', chr(1), 'g'), chr(10), ' '), chr(1), chr(10))"
+    ids = lambda text: f"list_filter(list_transform({cut.format(text, licenses.ANCHOR)}, lambda s: known[{plain}]), lambda x: x IS NOT NULL)"
+    left, names = "'|' || array_to_string(ids, '||') || '|'", []
+    for name, rule in licenses.RULES:
+        own = "|" + "||".join(rule) + "|"
+        names.append(f"CASE WHEN contains({left}, '{own}') THEN '{name}' END")
+        left = f"replace({left}, '{own}', '|.|')"
+    return f"""
+WITH k AS (SELECT MAP {{{known}}} AS known),
+p AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{licenses.ANCHOR}') THEN {ids('text')} END AS a,
+             CASE WHEN regexp_matches(lower(text), '{licenses.ANCHOR}') THEN {ids(joined)} END AS b FROM documents, k),
+i AS (SELECT doc_id, coalesce(CASE WHEN len(b) > len(a) THEN b ELSE a END, []) AS ids FROM p),
+n AS (SELECT doc_id, ids, CASE WHEN len(ids) > 0 THEN list_filter([{', '.join(names)}], lambda x: x IS NOT NULL) ELSE [] END AS names,
+             CASE WHEN len(ids) > 0 THEN len(list_filter(string_split({left}, '|'), lambda x: x NOT IN ('', '.', 'Notice'))) ELSE 0 END AS n_unmatched FROM i)
+SELECT doc_id, coalesce(array_to_string(list_filter(names, lambda x, i: i = 1 OR x <> names[i - 1]), '|'), '') AS licenses, len(ids) AS n_known, n_unmatched FROM n
+"""
+
+
+@query("op5_license_scan", license_sql())
 def op5(spark: SparkSession, root: str) -> DataFrame:
     return licenses.scan(T.only(table(spark, root, "documents"), "doc_id", "text")).drop("text")
 

@@ -3,11 +3,13 @@
 import math
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from noctule.llm import langid, licenses, mixing, quality
 from noctule.llm import text as T
+from noctule.llm.queries import license_sql
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -147,6 +149,11 @@ def test_licences(spark):
     out = licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect()
     assert [r["licenses"] for r in out] == ["MIT", "Apache-2.0", "", "", "", "MIT|CC-BY-NC-4.0", ""]
     assert [r["n_known"] for r in out] == [4, 1, 0, 0, 0, 6, 1] and out[-1]["n_unmatched"] == 1
+    link = duckdb.connect()
+    link.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    link.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    twin = sorted(link.execute(license_sql()).fetchall())
+    assert twin == [(r["i"], r["licenses"], r["n_known"], r["n_unmatched"]) for r in out]
     assert licenses.scan(spark.createDataFrame([], "text string")).collect() == []
 
 
