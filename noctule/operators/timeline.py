@@ -65,6 +65,21 @@ def state_changes(rows: DataFrame, keys: list[str], time: str, state: str, tie:
     return out.where((F.col("_was") == before) & (F.col(state) == after)).drop("_was")
 
 
+NOON = 43200
+
+
+def night_series(rows: DataFrame, keys: list[str], time: str, state: str = "night_mode", tie: list[str] | None = None,
+                 turn: int = NOON) -> DataFrame:
+    """Rows by night (``state`` 1) of the nights that have ended, with the number ``night`` of each.
+
+    A night runs from ``turn`` to ``turn`` and has ended once a row by day
+    follows its last one: the end event gives the series to stack."""
+    number = lambda c: F.floor((F.col(c) - turn) / DAY).alias("night")
+    line = previous(rows.select(*keys, time, state, *(tie or [])), keys, time, {state: "_was", time: "_at"}, tie)
+    ended = line.where(f"_was = 1 and {state} = 0").select(*keys, number("_at")).distinct()
+    return rows.where(F.col(state) == 1).select("*", number(time)).join(ended, [*keys, "night"], "left_semi")
+
+
 def starts(rows: DataFrame, keys: list[str], time: str, label: Column, tie: list[str] | None = None) -> DataFrame:
     """First row of every run of equal labels, as gallery separators need."""
     out = previous(rows.withColumn("label", label), keys, time, {"label": "_was"}, tie)

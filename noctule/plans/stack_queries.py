@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noctule.functions import pixel as P
-from noctule.operators import bracket, focal, photometry, stack
+from noctule.operators import bracket, focal, photometry, stack, timeline
 from noctule.plans import bindings as b
 from noctule.plans.photometry_queries import LUMA, _median_sql
 from noctule.plans.registry import query, r6, s6
@@ -289,3 +289,34 @@ SELECT frame_id, CAST(lv AS INT) AS level, CAST(x // (1 << lv) AS BIGINT) AS x,
 FROM lp, range(4) t(lv) GROUP BY 1, 2, 3, 4""")
 def tile_pyramid(spark, root):
     return focal.tile_pyramid(_luma_pixels(spark, root), ["frame_id"], ["l"], W, H).withColumn("l", r6("l"))
+
+
+# --- stack per night -----------------------------------------------------------
+
+_NIGHTS = f"""{b.OBS},
+w AS (SELECT station, timestamp, night_mode, lag(night_mode) OVER l AS was, lag(timestamp) OVER l AS past FROM obs
+      WINDOW l AS (PARTITION BY station ORDER BY timestamp, event_id)),
+ends AS (SELECT DISTINCT station, CAST(floor((past - 43200) / 86400) AS BIGINT) AS night FROM w WHERE was = 1 AND night_mode = 0),
+series AS (SELECT o.station, e.night, floor(brightness * 255) AS v FROM obs o JOIN ends e
+           ON o.station = e.station AND CAST(floor((o.timestamp - 43200) / 86400) AS BIGINT) = e.night WHERE night_mode = 1)"""
+
+
+def _night_frames(spark, root):
+    """One-pixel frames of the nights that have ended, a series per station and night."""
+    rows = b.obs(spark, root).select("station", "event_id", "timestamp", "night_mode", "brightness")
+    night = timeline.night_series(rows, ["station"], "timestamp", tie=["event_id"])
+    return night.select(F.concat_ws("/", "station", "night").alias("series"), F.col("timestamp").alias("seq"),
+                        *[F.lit(0).alias(c) for c in "xyc"], F.floor(F.col("brightness") * 255).cast("int").alias("v"))
+
+
+def _night(mode: str, sql: str) -> None:
+    @query(f"stack_night_{mode}", f"""
+WITH {_NIGHTS} SELECT station || '/' || night AS series, count(*) AS n_frames, CAST(floor({sql} + 5e-1) AS INT) AS v
+FROM series GROUP BY station, night""")
+    def stack_night(spark, root):
+        return stack.stack(_night_frames(spark, root), mode).select("series", "n_frames", "v")
+
+
+_night("avg", "avg(v)")
+_night("max", "max(v)")
+_night("median", "quantile_cont(v, 0.5)")

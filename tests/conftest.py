@@ -9,7 +9,7 @@ from noctule.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[8]", 4)
+def spark(tmp_path_factory):
+    session = build_session("local[8]", 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield session
     session.stop()
