@@ -43,6 +43,7 @@ SENTENCES = {
     "CcByNc4Work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "CcBy4Work": "this work is licensed under a creative commons attribution 4 0 international license",
     "AllRights": "copyright all rights reserved",
+    "Reserved": "all rights reserved",
     "Notice": "copyright",
 }
 #: Rules in order, the longer before the shorter; each consumes its identifiers.
@@ -70,9 +71,13 @@ RULES = (
     ("CC-BY-4.0", ("CcBy4",)),
     ("CC-BY-SA-4.0", ("CcBySa4",)),
     ("Proprietary", ("AllRights",)),
+    ("Proprietary", ("Notice", "Reserved")),
+    ("Proprietary", ("Reserved",)),
 )
+#: Grants that stand below a copyright notice own its "all rights reserved": they are tried with it first.
+RULES = tuple((name, before + ids) for name, ids in RULES for before in ((("AllRights",), ("Reserved",), ()) if len(ids) > 1 and "Reserved" not in ids or "IscGrant" in ids else ((),)))
 #: Every known sentence has one of these; texts without them are not cut.
-ANCHOR = "licen[sc]|copyright|permission|redistribut|software|warrant"
+ANCHOR = "licen[sc]|copyright|permission|redistribut|software|warrant|rights reserved"
 #: Copyright lines name years and holders: reduced to what they claim.
 HOLDER = (r"^copyright .*all rights reserved$", "copyright all rights reserved"), (r"^copyright (?!all rights reserved$).*$", "copyright")
 
@@ -111,12 +116,13 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple = RULES) -> DataFrame
     both = docs.withColumn("_pair", F.when(asked, F.struct(by_line.alias("a"), joined.alias("b"))))
     out = both.withColumn("_ids", F.coalesce(F.when(F.size("_pair.b") > F.size("_pair.a"), F.col("_pair.b")).otherwise(F.col("_pair.a")), none))
     # "||" between identifiers, so that each owns its bars and neighbours can be consumed alike
-    left, names = F.concat(F.lit("|"), F.array_join("_ids", "||"), F.lit("|")), []
-    for name, ids in rules:
-        own = F.lit("|" + "||".join(ids) + "|")
-        names.append(F.when(F.contains(left, own), F.lit(name)))
-        left = F.replace(left, own, F.lit("|.|"))
-    hit = F.when(F.size("_ids") > 0, F.array_join(F.array_distinct(F.array_compact(F.array(*names))), "|"))
-    rest = F.when(F.size("_ids") > 0, F.size(F.filter(F.split(left, r"\|+"), lambda x: ~x.isin("", ".", "Notice"))))
+    left = F.concat(F.lit("|"), F.array_join("_ids", "||"), F.lit("|"))
+    tried = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("|" + "||".join(ids) + "|").alias("own")) for name, ids in rules))
+    eaten = F.aggregate(tried, F.struct(left.alias("left"), none.alias("names")), lambda x, rule: F.when(F.contains(x["left"], rule["own"]), F.struct(
+        F.replace(x["left"], rule["own"], F.lit("|.|")).alias("left"), F.concat(x["names"], F.array(rule["name"])).alias("names"))).otherwise(x))
+    out = out.withColumn("_eaten", F.when(F.size("_ids") > 0, eaten))
+    hit = F.array_join(F.array_distinct("_eaten.names"), "|")
+    rest = F.size(F.filter(F.split("_eaten.left", r"\|+"), lambda x: ~x.isin("", ".", "Notice")))
+    rest = F.when(F.col("_eaten").isNotNull(), rest)
     return out.withColumns({"licenses": F.coalesce(hit, F.lit("")), "n_known": F.size("_ids").cast("long"),
-                            "n_unmatched": F.coalesce(rest, F.lit(0)).cast("long")}).drop("_pair", "_ids")
+                            "n_unmatched": F.coalesce(rest, F.lit(0)).cast("long")}).drop("_pair", "_ids", "_eaten")

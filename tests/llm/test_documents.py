@@ -163,3 +163,29 @@ def test_every_known_sentence_has_an_anchor_and_is_normalised(spark):
     assert rows.where(licenses.normalised(F.col("s")) != F.col("s")).count() == 0
     assert {i for _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES)
     assert math.isfinite(len(licenses.RULES))
+
+
+LINES = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+         "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+
+
+def test_licence_lines_of_documents_against_a_search(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {name: 0 for name in LINES.values()}
+    for r in licenses.scan(docs).collect():
+        lines = {LINES[x] for x in (r["text"] or "").split("\n") if x in LINES}
+        assert set(filter(None, r["licenses"].split("|"))) == lines
+        for name in lines:
+            found[name] += 1
+    assert all(found.values())
+
+
+def test_rights_reserved(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n" \
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n" \
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n" \
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    texts = ["words\nAll rights reserved.", "Copyright (c) 2020 X. All rights reserved.", "Copyright (c) 2020 X\nAll rights reserved.", "Copyright 2020 X, all rights reserved",
+             f"Copyright (c) 2020, X. All rights reserved.\n\n{bsd}", f"Copyright (c) 2020, X\nAll rights reserved.\n\n{bsd}"]
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()
+    assert [(r["licenses"], r["n_unmatched"]) for r in out] == [("Proprietary", 0)] * 4 + [("BSD-2-Clause", 0)] * 2
