@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Known licence sentences, normalised (lower case, letters and digits, single blanks).
+#: A sentence with a cut (``.!?;:`` before white space) within is here in the pieces the cutter yields.
 SENTENCES = {
     "ApacheLicensed": "licensed under the apache license version 2 0",
     "ApacheLicensedThe": "licensed under the apache license version 2 0 the license",
     "ApacheUse": "you may not use this file except in compliance with the license",
     "ApacheCopy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "ApacheCopyAt": "you may obtain a copy of the license at",
+    "ApacheAddress": "http www apache org licenses license 2 0",
     "ApacheAsIs": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "ApacheSee": "see the license for the specific language governing permissions and limitations under the license",
     "MitReleased": "released under the mit license",
@@ -25,6 +28,7 @@ SENTENCES = {
     "MitNotice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "MitAsIs": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "IscGrant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "IscAsIs": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
     "BsdGrant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "BsdSource": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "BsdBinary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
@@ -36,6 +40,24 @@ SENTENCES = {
     "GplHope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "GplSee": "see the gnu general public license for more details",
     "LgplOrLater": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "ProgramFree": "this program is free software",
+    "ProgramTerms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "ProgramTerms2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "ProgramTerms3": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "LibraryFree": "this library is free software",
+    "LibraryTerms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "LibraryTerms21": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "OrLater2": "either version 2 of the license or at your option any later version",
+    "OrLater21": "either version 2 1 of the license or at your option any later version",
+    "OrLater3": "either version 3 of the license or at your option any later version",
+    "ProgramHope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "LibraryHope": "this library is distributed in the hope that it will be useful but without any warranty",
+    "NotImplied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "LgplSee": "see the gnu lesser general public license for more details",
+    "MplTerms": "this source code form is subject to the terms of the mozilla public license v",
+    "MplNumber": "2 0",
+    "MplObtain": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "MplObtainHttps": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
     "MplSubject": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "CcByNc4": "licensed under cc by nc 4 0",
     "CcBy4": "licensed under cc by 4 0",
@@ -50,11 +72,14 @@ SENTENCES = {
 RULES = (
     ("Apache-2.0", ("ApacheLicensedThe", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee")),
     ("Apache-2.0", ("ApacheLicensed", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee")),
+    ("Apache-2.0", ("ApacheLicensedThe", "ApacheUse", "ApacheCopyAt", "ApacheAddress", "ApacheAsIs", "ApacheSee")),
+    ("Apache-2.0", ("ApacheLicensed", "ApacheUse", "ApacheCopyAt", "ApacheAddress", "ApacheAsIs", "ApacheSee")),
     ("Apache-2.0", ("ApacheLicensedThe",)),
     ("Apache-2.0", ("ApacheLicensed",)),
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs")),
     ("MIT", ("MitReleased",)),
     ("MIT", ("MitLicensed",)),
+    ("ISC", ("IscGrant", "IscAsIs")),
     ("ISC", ("IscGrant",)),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs")),
@@ -62,8 +87,18 @@ RULES = (
     ("GPL-2.0-or-later", ("GplOrLater2",)),
     ("GPL-3.0-or-later", ("GplOrLater3", "GplHope", "GplSee")),
     ("GPL-3.0-or-later", ("GplOrLater3",)),
+    *((name, (free, *terms, *rest)) for name, free, hope, see, heads in (
+        ("GPL-2.0-or-later", "ProgramFree", "ProgramHope", "GplSee", (("ProgramTerms", "OrLater2"), ("ProgramTerms2",))),
+        ("GPL-3.0-or-later", "ProgramFree", "ProgramHope", "GplSee", (("ProgramTerms", "OrLater3"), ("ProgramTerms3",))),
+        ("LGPL-2.1-or-later", "LibraryFree", "LibraryHope", "LgplSee", (("LibraryTerms", "OrLater21"), ("LibraryTerms21",))),
+    ) for terms in heads for rest in ((hope, "NotImplied", see), ())),
     ("GPL-3.0", ("GplWork3",)),
     ("LGPL-2.1-or-later", ("LgplOrLater",)),
+    ("MPL-2.0", ("MplTerms", "MplNumber", "MplObtain")),
+    ("MPL-2.0", ("MplTerms", "MplNumber", "MplObtainHttps")),
+    ("MPL-2.0", ("MplTerms", "MplNumber")),
+    ("MPL-2.0", ("MplSubject", "MplObtain")),
+    ("MPL-2.0", ("MplSubject", "MplObtainHttps")),
     ("MPL-2.0", ("MplSubject",)),
     ("CC-BY-NC-4.0", ("CcByNc4Work",)),
     ("CC-BY-NC-4.0", ("CcByNc4",)),
@@ -77,7 +112,7 @@ RULES = (
 #: Grants that stand below a copyright notice own its "all rights reserved": they are tried with it first.
 RULES = tuple((name, before + ids) for name, ids in RULES for before in ((("AllRights",), ("Reserved",), ()) if len(ids) > 1 and "Reserved" not in ids or "IscGrant" in ids else ((),)))
 #: Every known sentence has one of these; texts without them are not cut.
-ANCHOR = "licen[sc]|copyright|permission|redistribut|software|warrant|rights reserved"
+ANCHOR = r"licen[sc]|copyright|permission|redistribut|software|warrant|rights reserved|mpl|^2\W0\W*$"
 #: Copyright lines name years and holders: reduced to what they claim.
 HOLDER = (r"^copyright .*all rights reserved$", "copyright all rights reserved"), (r"^copyright (?!all rights reserved$).*$", "copyright")
 
@@ -104,7 +139,8 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple = RULES) -> DataFrame
     """Add licenses (names by rule order, ``|`` between, '' if none), n_known and n_unmatched (long).
 
     Sentences end at ``.!?;:`` before white space.  A line break ends a sentence
-    too, unless joining wrapped lines (not paragraphs) identifies more of them.
+    too, unless joining wrapped lines (not paragraphs) identifies more of them,
+    notices of rights counting last.
     Rules are tried in order on the sequence left by those before them, each
     name is given once.  NULL and empty texts have no licence; repeated rows
     are scanned alike; columns of the added names are replaced.
@@ -114,7 +150,9 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple = RULES) -> DataFrame
     by_line, joined = identifiers(value)
     asked = F.coalesce(F.lower(value).rlike(ANCHOR), F.lit(False))
     both = docs.withColumn("_pair", F.when(asked, F.struct(by_line.alias("a"), joined.alias("b"))))
-    out = both.withColumn("_ids", F.coalesce(F.when(F.size("_pair.b") > F.size("_pair.a"), F.col("_pair.b")).otherwise(F.col("_pair.a")), none))
+    # a notice in two lines does not outweigh the grant below it, whose lines are wrapped
+    most = lambda c: F.struct(F.size(F.filter(c, lambda x: ~x.isin("Notice", "Reserved", "AllRights"))), F.size(c))
+    out = both.withColumn("_ids", F.coalesce(F.when(most("_pair.b") > most("_pair.a"), F.col("_pair.b")).otherwise(F.col("_pair.a")), none))
     # "||" between identifiers, so that each owns its bars and neighbours can be consumed alike
     left = F.concat(F.lit("|"), F.array_join("_ids", "||"), F.lit("|"))
     tried = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("|" + "||".join(ids) + "|").alias("own")) for name, ids in rules))

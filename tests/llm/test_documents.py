@@ -189,3 +189,85 @@ def test_rights_reserved(spark):
              f"Copyright (c) 2020, X. All rights reserved.\n\n{bsd}", f"Copyright (c) 2020, X\nAll rights reserved.\n\n{bsd}"]
     out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()
     assert [(r["licenses"], r["n_unmatched"]) for r in out] == [("Proprietary", 0)] * 4 + [("BSD-2-Clause", 0)] * 2
+
+
+APACHE = """Copyright 2020 X
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+ISC = """Copyright 2020 X
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee
+is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+BSD = """Copyright 2020 X
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and
+   the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+   and the following disclaimer in the documentation and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED."""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+   promote products derived from this software without specific prior written permission.
+"""
+GNU = """Copyright (C) 2020  X
+
+This {0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2}General Public License as published by
+the Free Software Foundation{3} either version {4} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {2}General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+NOTICES = [
+    (MIT, "MIT"), (APACHE, "Apache-2.0"), (ISC, "ISC"), (BSD % ENDORSE, "BSD-3-Clause"), (BSD % "", "BSD-2-Clause"), (MPL, "MPL-2.0"), (MPL.replace("https", "http"), "MPL-2.0"), (MPL.split(" If")[0], "MPL-2.0"),
+    (GNU.format("program", ";", "", ";", "2"), "GPL-2.0-or-later"), (GNU.format("program", ":", "", ",", "3"), "GPL-3.0-or-later"), (GNU.format("program", ";", "", ";", "3"), "GPL-3.0-or-later"),
+    (GNU.format("program", ";", "", ",", "2"), "GPL-2.0-or-later"), (GNU.format("library", ";", "Lesser ", ";", "2.1"), "LGPL-2.1-or-later"), (GNU.format("library", ":", "Lesser ", ",", "2.1"), "LGPL-2.1-or-later"),
+    (GNU.format("program", ";", "", ";", "2").split("\n\nThis program is dist")[0], "GPL-2.0-or-later"), (MPL.replace("2.0", "1.1"), ""),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+]
+
+
+def test_every_rule_on_its_notice(spark):
+    assert {name for _, name in NOTICES if name} | {"Proprietary"} == {name for name, _ in licenses.RULES}
+    rows = [(i, t) for i, t in enumerate(y for t, _ in NOTICES for y in (t, "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")), t.replace("\n\n", "\nAll rights reserved.\n\n", 1)))]
+    out = licenses.scan(spark.createDataFrame(rows, "i int, text string")).orderBy("i").collect()
+    for k, (t, name) in enumerate(NOTICES):
+        plain, line, below = out[3 * k:3 * k + 3]
+        assert (plain["licenses"], line["licenses"]) == (name, name), t
+        if name:
+            assert below["licenses"] == name and (plain["n_unmatched"], line["n_unmatched"], below["n_unmatched"]) == (0, 0, 0), t
+    link = duckdb.connect()
+    link.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    link.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(link.execute(license_sql()).fetchall()) == [(r["i"], r["licenses"], r["n_known"], r["n_unmatched"]) for r in out]
+
+
+def test_a_wrapped_grant_below_a_notice_in_two_lines(spark):
+    text = "Copyright 2020 X\nAll rights reserved.\n\nThis work is licensed under a Creative Commons\nAttribution 4.0 International License."
+    assert licenses.scan(spark.createDataFrame([(text,)], "text string")).first()["licenses"] == "CC-BY-4.0|Proprietary"
