@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noctule.llm import backoff, components, jaccard, pieces, polytope
-from noctule.llm.queries import PIECES
+from noctule.llm.queries import PIECES, QUERIES
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -145,6 +146,19 @@ def test_backoff_scores_against_the_recursion(spark, order):
         assert sum(prob(h, w) for (w,) in counts[0]) + prob(h, "never seen") == pytest.approx(1)
 
 
+def test_the_registered_model_counts_all_trigrams(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("the of x y z w v u".split()) + rng.choice(["", "", str(rng.randrange(20))]) for _ in range(rng.randrange(30)))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    prob, counts, _ = brute_model([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3, (1, 1, 1))
+    assert 1 in counts[1].values() and 1 in counts[2].values()
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op7_katz_backoff"](spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        w = tokens(t)
+        padded = ["<s>", "<s>", *w]
+        assert got[i] == pytest.approx(sum(math.log10(prob(tuple(padded[k:k + 2]), x)) for k, x in enumerate(w)), rel=1e-9)
+
+
 def test_backoff_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     model = backoff.train(empty)
