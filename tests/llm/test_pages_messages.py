@@ -58,3 +58,15 @@ def test_a_long_chain_and_a_common_line(spark):
     got = {r["turn"]: r for r in quotes.link(spark.createDataFrame(chain, "conv_id long, turn long, text string")).collect()}
     # the common line alone was first said in message 0; with the line before it the whole run is the previous message's
     assert all(got[i]["parent"] == i - 1 and got[i]["root"] == 0 and got[i]["reply_depth"] == i for i in range(1, 70))
+
+
+def test_nested_levels_and_sentences(spark):
+    rows = [(1, 0, "One thing was said here. Another thing was said, and more.\nA third line"), (1, 1, "> edited\n>> A third line\nyes"), (1, 2, ">>> A third line\n> edited too\nno"),
+            (1, 3, "> Another thing was said,\n> and more.\nso"), (1, 4, "> yes\n>> A third line\nwell"), (1, 5, ">> so\n>>> One thing was said here.\n> unknown\nend"), (2, 0, ">> A third line"),
+            (3, 0, 'He said "go." Then he left.'), (3, 1, '> Then he left.\nok')]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert {k: r["parent"] for k, r in got.items()} == {(1, 0): None, (1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 4): 1, (1, 5): 3, (2, 0): None, (3, 0): None, (3, 1): 0}
+    links = {k: [(x["level"], x["original"]) for x in r["links"]] for k, r in got.items()}
+    assert links == {(1, 0): [], (1, 1): [(2, 0)], (1, 2): [(3, 0)], (1, 3): [(1, 0)], (1, 4): [(1, 1), (2, 0)], (1, 5): [(2, 3), (3, 0)], (2, 0): [], (3, 0): [], (3, 1): [(1, 0)]}
+    assert [(got[1, i]["n_quoted"], got[1, i]["n_linked"], got[1, i]["n_all_quoted"], got[1, i]["n_all_linked"]) for i in (1, 4)] == [(1, 0, 2, 1), (1, 1, 2, 2)]
+    assert got[1, 5]["root"] == 0 and got[1, 5]["reply_depth"] == 2
