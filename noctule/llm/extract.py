@@ -6,14 +6,17 @@ where it is links; they go to the enclosing container, half to the next one
 and less further up.  The container with most points, discounted by its share
 of link text, is the article, together with siblings that score near it or
 read as prose.  Menus, page headers and footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are never part of it.
+forms, scripts, styles and reader comments are never part of it.  Names alone
+do not drop what holds the page's articles or most of its text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,33 +39,44 @@ UNLIKELY = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "newsletter subscribe subscription paywall sidebar aside nav navbar navigation menu submenu breadcrumb breadcrumbs footer masthead pagination pager comment comments commentlist disqus respond "
     "replies share sharing social related recommended widget toolbar login signup skip".split())
+#: Names of reader comments: no part of an article however long they are.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Words that make the words behind them, or the whole name, tell about a layout and not about the element.
+MODIFIERS, STATES = frozenset("has have with without no not".split()), frozenset("open closed enabled disabled on off".split())
 #: Elements that names cannot drop.
 KEPT = frozenset("html body main article".split())
 PAGE_HEADER = frozenset(("header", "topbar"))
 POINTS_AT, PROSE = 25, 80
 
 
-def named(attributes: str) -> tuple[set[str], bool]:
-    """Words in class, id and role; whether the element is hidden."""
-    words, hidden = set(), False
+def named(attributes: str) -> tuple[list[list[str]], set[str], bool]:
+    """Words of each name in class and id, without those that tell about a layout; roles; whether the element is hidden."""
+    names, roles, hidden = [], set(), False
     for key, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         if key.lower() in ("class", "id"):
-            words.update(re.findall(r"[a-z0-9]+", value.replace("side-bar", "sidebar")))
+            for name in value.replace("side-bar", "sidebar").split():
+                words = re.findall(r"[a-z0-9]+", name)
+                if words and words[-1] not in STATES:
+                    names.append(words[:next((k for k, w in enumerate(words) if w in MODIFIERS), len(words))])
         elif key.lower() == "role":
-            words.update("role=" + x for x in value.split())
+            roles.update(value.split())
         elif key.lower() == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         else:
             hidden |= key.lower() == "hidden" or value == "true"
-    return words, hidden
+    return names, roles, hidden
 
 
 class Page:
-    """Elements and text runs of a page.  Element i has runs first[i] to last[i]; 0 stands for the page."""
+    """Elements and text runs of a page.  Element i has runs first[i] to last[i]; 0 stands for the page.
 
-    def __init__(self, source: str, by_name: bool) -> None:
-        self.by_name = by_name
+    ``named`` has the elements whose names are those of what is not the article, and whether nothing else is in the name;
+    ``without`` is what to leave out of them.
+    """
+
+    def __init__(self, source: str, without: frozenset[int] = frozenset()) -> None:
+        self.without, self.named = without, {}
         self.tags, self.parents, self.first, self.last = [""], [-1], [0], [0]
         self.texts: list[str] = []
         self.links: list[int] = []
@@ -120,10 +134,14 @@ class Page:
             return not content
         if not attributes or tag in KEPT:
             return False
-        words, hidden = named(attributes)
-        if hidden or {"role=" + r for r in ROLES} & words:
+        names, roles, hidden = named(attributes)
+        if hidden or ROLES & roles:
             return True
-        return self.by_name and bool(words & UNLIKELY or (not content and words & PAGE_HEADER))
+        unlikely = UNLIKELY if content else UNLIKELY | PAGE_HEADER
+        hits = [words for words in names if not unlikely.isdisjoint(words)]
+        if hits:
+            self.named[len(self.tags)] = any(unlikely.issuperset(words) or not COMMENTS.isdisjoint(words) for words in hits)
+        return len(self.tags) in self.without
 
     def open(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
@@ -171,8 +189,44 @@ class Page:
         return tag
 
 
+def unlikely(page: Page) -> frozenset[int]:
+    """Elements to drop by name: not those that hold every article or main there is, or most of the page's text that is no link.
+
+    The latter does not spare elements whose names are nothing but unlikely, and their text does not count.
+    """
+    n = len(page.tags)
+    ends, pending = list(range(n)), [0] * n
+    for i in range(n - 1, 0, -1):
+        ends[page.parents[i]] = max(ends[page.parents[i]], ends[i])
+    for i in range(1, n):
+        pending[i] = pending[page.parents[i]] + (i in page.named)
+    content = [i for i in range(1, n) if page.tags[i] in ("article", "main") and page.last[i] > page.first[i]]
+    free = sum(not pending[i] for i in content)
+    plain, upto = [len(text) - links for text, links in zip(page.texts, page.links)], 0
+    for i, strong in page.named.items():
+        if strong and page.last[i] > upto:
+            plain[max(upto, page.first[i]):page.last[i]] = [0] * (page.last[i] - max(upto, page.first[i]))
+            upto = page.last[i]
+    sums = [0, *accumulate(plain)]
+    out, dropped_to = set(), 0
+    for i, strong in page.named.items():
+        if i <= dropped_to:
+            continue
+        held = content[bisect_left(content, i):bisect_right(content, ends[i])]
+        if (held and not free) or (not strong and 2 * (sums[page.last[i]] - sums[page.first[i]]) > sums[-1]):
+            for k in held:
+                pending[k] -= 1
+                free += not pending[k]
+        else:
+            out.add(i)
+            dropped_to = ends[i]
+    return frozenset(out)
+
+
 def article(source: str, by_name: bool) -> str:
-    page = Page(source, by_name)
+    page = Page(source)
+    if by_name and page.named and (without := unlikely(page)):
+        page = Page(source, without)
     if not page.texts:
         return ""
     scores: dict[int, float] = {}
@@ -197,14 +251,14 @@ def article(source: str, by_name: bool) -> str:
 
     value = {i: s * (1 - density(i)) for i, s in scores.items()}
     best = max(value, key=lambda i: (value[i], -i))
-    near = max(10.0, 0.2 * value[best])
+    near = 0.2 * value[best]
     runs = set(range(page.first[best], page.last[best]))
     parent = page.parents[best]
     for i in range(1, len(page.tags)) if parent >= 0 else ():
         if page.parents[i] == parent and i != best:
             text = " ".join(page.texts[page.first[i]:page.last[i]])
             prose = page.tags[i] == "p" and (density(i) < 0.25 if len(text) > PROSE else text.endswith(".") and density(i) == 0)
-            if prose or value.get(i, 0.0) >= near:
+            if prose or value.get(i, 0.0) >= near > 0:
                 runs.update(range(page.first[i], page.last[i]))
     return " ".join(page.texts[i] for i in sorted(runs))
 

@@ -36,6 +36,23 @@ def test_articles_of_the_table(spark):
         assert r["text"] == " ".join(html.unescape(re.sub("<[^>]*>", "", own)).split()) and r["n_chars"] == len(r["text"])
 
 
+LONG = f"<p>{PROSE}</p><p>{PROSE} Two.</p>"
+BOTH = f"{PROSE} {PROSE} Two."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<h1>T</h1><div class='layout has-sidebar'>{LONG}</div>", f"{BOTH}"), (f"<p>x</p><div class='content-with-ads'><article>{LONG}</article></div>", BOTH),
+    (f"<h1>T</h1><div id='page' class='no-comments'><main>{LONG}</main></div>", BOTH), (f"<p>stray</p><div class='sidebar-layout'><article>{LONG}</article><div class=sidebar><p>{PROSE} x</p></div></div>", BOTH),
+    (f"<p>stray</p><div class='wrap-sidebar'><div>{LONG}</div><div id=comments><p>{PROSE} a</p><p>{PROSE} b</p><p>{PROSE} c</p></div></div>", BOTH),
+    (f"<div class='page comments-open'><article>{LONG}</article><div id=comments><article class=c>{LONG}{LONG}</article></div></div>", BOTH),
+    (f"<article>{LONG}</article><div class='related-box'><p>{PROSE}</p></div><div class=sidebar>{LONG}{LONG}</div>", BOTH),
+    (f"<div>{'<div class=ad-x>' * 2000}<p>{PROSE}", PROSE),
+    (f"<div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><p>A short section, of one line, beside it.</p></div></div>", f"{PROSE} {PROSE} A short section, of one line, beside it."),
+])
+def test_names_of_layouts_and_short_sections(page, text):
+    assert extract.main_text(page).removeprefix("T ").removeprefix("stray ").removeprefix("x ") == text
+
+
 MESSAGES = [
     (1, 0, "Hello world.\nHow are you?"), (1, 1, "On Monday, Bob wrote:\n> Hello world.\n> How are\n> you?\n\nFine, thanks.\nAnd you?"), (1, 2, "> > How are you?\n> And you?\nGreat."),
     (1, 3, "> Great.\n>> And you?\n ok"), (1, 4, ">Never said\nx"), (2, 0, "> Hello world.\ny"), (2, None, "> y\nz"), (None, 3, "> y"), (3, 0, None), (3, 1, ""), (1, 4, ">Never said\nx"),
