@@ -1,11 +1,12 @@
 """Mix sources to target weights by weighted sampling without replacement.
 
 Every row gets the Efraimidis-Spirakis key ``u ** (1 / quality)``, u being a
-hash of its identity; a source's rows are taken from the largest key down
-until their sizes reach the source's budget.  A budget above the source's
+hash of its identity; it is held as its logarithm, which does not underflow.  A
+source's rows are taken from the largest key down until their sizes reach the
+source's budget.  A budget above the source's
 size first takes whole epochs, and the keys settle the rest.
 
-No source is sorted.  Keys are monotone, so 65,536 key bins per source are
+No source is sorted.  Keys are monotone, so key bins per source are
 summed (partial aggregates), the running sum finds the one bin in which the
 budget ends, and only that bin's keys are sorted.  Rows then compare their
 key with the source's last taken key.  A source with a third of all rows costs
@@ -22,15 +23,21 @@ from pyspark.sql import functions as F
 from noctule.llm import text as T
 from noctule.session import stored
 
-BINS = 65_536
+#: Key bins for each doubling of ``-log(u) / quality``: a bin has at most 1 / 16,000 of the rows of any quality.
+BINS = 4096
 #: Resolution of the uniform numbers: 52 bits of a hash, never 0 or 1.
 STEPS = 2**52
 
 
 def sampling_key(digest: Column, quality: Column) -> Column:
-    """u ** (1 / quality) with u from a hexadecimal digest; larger is earlier."""
+    """log(u) / quality with u from a hexadecimal digest, below 0; larger is earlier."""
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(STEPS)
-    return F.exp(F.log(u) / quality)
+    return F.greatest(F.log(u) / quality, F.lit(-1e308))
+
+
+def key_bin(key: Column) -> Column:
+    """Bins of equal ratio, the largest keys first, so that every quality is spread alike."""
+    return F.floor(F.log2(-key) * BINS).cast("int")
 
 
 def identity(key: Column, text: Column) -> Column:
@@ -81,7 +88,7 @@ def mix(rows: DataFrame, source: str, size: Column, digest: Column, quality: Col
     keep = [c for c in rows.columns if c not in ("size", "source_size", "target", "taken")]
     keyed = rows.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{source}`").alias("_source"), size.alias("size"),
                         sampling_key(digest, quality).alias("_key"))
-    keyed = keyed.withColumn("_bin", F.floor((1 - F.col("_key")) * BINS).cast("int"))
+    keyed = keyed.withColumn("_bin", key_bin(F.col("_key")))
     same = F.col("_source").eqNullSafe
     bins = stored(keyed.groupBy("_source", "_bin").agg(F.sum("size").alias("_size")), "mix-bins")
     goal = targets(bins.groupBy("_source").agg(F.sum("_size").alias("source_size")), weights, most) \

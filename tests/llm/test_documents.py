@@ -98,6 +98,16 @@ def test_heavier_rows_are_drawn_more_often(spark):
     assert 0.75 < first.where("w = 4").count() / 1000 < 0.85  # 4 of 5 expected
 
 
+def test_keys_of_low_quality_are_spread_and_do_not_underflow(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") < 4_000, "a").otherwise("b").alias("source"), F.md5(F.col("id").cast("string")).alias("h"))
+    for quality in (1.0, 0.1, 0.01, 1e-4, 1e-9):
+        out = mixing.mix(rows, "source", F.lit(1).cast("long"), F.col("h"), F.lit(quality)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+        assert all(abs(r["taken"] - r["target"]) <= 1 for r in out) and any(0 < r["taken"] < 16_000 for r in out)
+        key = mixing.sampling_key(F.col("h"), F.lit(quality))
+        bins = rows.groupBy(mixing.key_bin(key)).count().agg(F.max("count")).first()[0]
+        assert bins <= 20 and rows.select(key).distinct().count() == 20_000
+
+
 def covered(words):
     seen = {}
     for i in range(len(words) - 4):
