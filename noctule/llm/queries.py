@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctule.llm import backoff, extract, jaccard, langid, licenses, mixing, pieces, polytope, quality, quotes
+from noctule.llm import backoff, extract, importance, jaccard, langid, licenses, lines, mixing, pieces, polytope, quality, quotes, variants
 from noctule.llm import text as T
 from noctule.llm.tables import bounded_batches
 from noctule.session import stored
@@ -175,3 +175,86 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
     model = backoff.train(docs.where(~F.col("held_out")), order=3, least=(1, 1, 1))
     scored = backoff.score(docs, model, F.col("doc_id")).withColumn("train_tokens", F.lit(model.total).cast("long"))
     return T.only(scored, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+#: CRC-32 of the bytes of x in SQL; ``crc.tab`` is the table of its 256 remainders.
+CRC_SQL = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS tab)"""
+
+
+def crc_sql(x: str) -> str:
+    byte = f"list_transform(range(octet_length(encode({x}))::BIGINT), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+VARIANTS_SQL = rf"""
+WITH RECURSIVE {CRC_SQL},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({LOWER_SQL.format('text')}, '[a-zÀ-ÿ]{{7,}}')) AS run FROM documents),
+d AS (SELECT id, run, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT run, n, {crc_sql("id || ':' || run")} AS h FROM d, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+g AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM x),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM g a JOIN g b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT g.word, v.word, v.n FROM g JOIN v ON g.rest = v.word
+      UNION SELECT v.word, g.word, g.n FROM g JOIN v ON g.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN top END AS form_n,
+             CASE WHEN top >= 10 * v.n THEN (SELECT min(near) FROM p WHERE p.word = v.word AND p.near_n = b.top) END AS form
+      FROM v LEFT JOIN b ON b.word = v.word),
+c AS (SELECT word, word AS last, 0 AS k FROM f UNION ALL SELECT c.word, f.form, k + 1 FROM c JOIN f ON f.word = c.last WHERE f.form IS NOT NULL),
+l AS (SELECT word, arg_max(last, k) AS root FROM c GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN l USING (word)
+"""
+
+
+@query("op11_spelling_variants", VARIANTS_SQL)
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    return variants.group(T.only(table(spark, root, "documents"), "doc_id", "text"))
+
+
+LINES_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents),
+k AS (SELECT *, {LOWER_SQL.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS key FROM t),
+d AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first IS NOT NULL AND first <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (first IS NULL OR first = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN d USING (key) GROUP BY r, doc_id
+"""
+
+
+@query("op12_line_dedup", LINES_SQL)
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    kept = lines.dedup(T.only(table(spark, root, "documents"), "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+IMPORTANCE_SQL = rf"""
+WITH {CRC_SQL},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER_SQL.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+f AS (SELECT r, unnest(w) AS w FROM d),
+e AS (SELECT unnest(regexp_extract_all({LOWER_SQL.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+k AS (SELECT w, {crc_sql('w')} % 10000 AS bucket FROM (SELECT w FROM f UNION SELECT w FROM e), crc),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN k USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM e JOIN k USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM f) AS s_all, (SELECT count(*) FROM e) AS t_all),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS gain
+      FROM s LEFT JOIN t USING (bucket), n),
+m AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN k USING (w) JOIN g USING (bucket) GROUP BY r),
+h AS (SELECT r, doc_id, coalesce(len(w), 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+             ('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT AS h FROM d LEFT JOIN m USING (r)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, 10 * count(*) OVER () // 100 AS draw FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= draw THEN rank END AS rank FROM z LEFT JOIN o USING (r)
+"""
+
+
+@query("op13_importance_resampling", IMPORTANCE_SQL)
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    docs = T.only(table(spark, root, "documents"), "doc_id", "text")
+    drawn = importance.resample(docs, T.only(table(spark, root, "benchmark"), "item_id", "text"))
+    return T.only(drawn, "doc_id", "n_features", "weight", "score", "rank")
