@@ -63,23 +63,25 @@ class Controller:
     lamp_on: float = 0.25
     history: int = 10
 
+    def goal(self, recent: list[float]) -> float:
+        return self.target if self.target > 0 else 0.3 + 0.3 * math.exp(-4.0 * sum(recent) / len(recent))
+
+    def moved(self, dark: bool, shutter: float, gain: float) -> tuple[int, float]:
+        """Which of (shutter, gain) moves, and how far at most: the shutter is the first to open and the last to close."""
+        spent = shutter >= self.shutter_max if dark else gain <= self.gain_min
+        return {(True, False): (0, self.shutter_max), (True, True): (1, self.gain_max),
+                (False, False): (1, self.gain_min), (False, True): (0, self.shutter_min)}[dark, spent]
+
+    def lit(self, median: float, lamp: int) -> int:
+        """The lamp keeps its state between its two thresholds."""
+        return int(median <= self.lamp_on + self.hysteresis if lamp else median < self.lamp_on)
+
     def advance(self, median: float, recent: list[float], shutter: float, gain: float,
                 lamp: int) -> tuple[list[float], float, float, int]:
         recent = [*recent, median][-self.history:]
-        target = self.target if self.target > 0 else 0.3 + 0.3 * math.exp(-4.0 * sum(recent) / len(recent))
-        scale = target / median
-        damped = 1.0 + self.response * (scale - 1.0)
-        if scale > 1.0:  # too dark: shutter first
-            if shutter < self.shutter_max:
-                shutter = min(shutter * damped, self.shutter_max)
-            else:
-                gain = min(gain * damped, self.gain_max)
-        elif gain > self.gain_min:  # too bright: gain first
-            gain = max(gain * damped, self.gain_min)
-        else:
-            shutter = max(shutter * damped, self.shutter_min)
-        if not lamp and median < self.lamp_on:
-            lamp = 1
-        elif lamp and median > self.lamp_on + self.hysteresis:
-            lamp = 0
-        return recent, shutter, gain, lamp
+        ratio = self.goal(recent) / median
+        which, bound = self.moved(ratio > 1.0, shutter, gain)
+        values = [shutter, gain]
+        step = values[which] * (1.0 + self.response * (ratio - 1.0))
+        values[which] = min(step, bound) if ratio > 1.0 else max(step, bound)
+        return recent, *values, self.lit(median, lamp)

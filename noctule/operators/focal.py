@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -189,12 +191,91 @@ def _gather(rows: DataFrame, keys: list[str], axis: str, radius: int, value: Col
     return rows.withColumn(out, padded).drop("_cells", "_before", "_after")
 
 
+#: Up to this radius a square's cells are sorted per pixel, beyond it a histogram slides along the rows.
+SORTED = 1
+
+
+def slid_median(tile: np.ndarray, there: np.ndarray, radius: int) -> np.ndarray:
+    """Upper middle of the cells present in the (2r+1)-square around each inner cell of a tile with a border of ``radius``.
+
+    All rows slide along together.  A cell is its value's rank; each row's
+    window is a histogram of ranks and one of groups of them, and a step takes
+    one column in and one out, so its cost grows with the radius only.
+    """
+    height, width = tile.shape[0] - 2 * radius, tile.shape[1] - 2 * radius
+    levels, rank = np.unique(tile[there], return_inverse=True)
+    ranks = np.zeros(tile.shape, "i8")
+    ranks[there] = rank
+    group = max(1, int(len(levels) ** 0.5))
+    fine = np.zeros((height, -(-len(levels) // group) * group), "i4")
+    coarse = np.zeros((height, fine.shape[1] // group), "i4")
+    rows = np.arange(height)[:, None] + np.arange(2 * radius + 1)
+    line = np.broadcast_to(np.arange(height)[:, None], rows.shape)
+
+    def put(column: int, sign: int) -> None:
+        seen, at = there[rows, column], ranks[rows, column]
+        np.add.at(fine, (line[seen], at[seen]), sign)
+        np.add.at(coarse, (line[seen], at[seen] // group), sign)
+
+    out = np.full((height, width), np.nan)
+    for column in range(2 * radius):
+        put(column, 1)
+    each = np.arange(height)
+    for x in range(width):
+        put(x + 2 * radius, 1)
+        upto = coarse.cumsum(1)
+        wanted = upto[:, -1:] // 2 + 1
+        block = (upto >= wanted).argmax(1)
+        before = np.where(block > 0, upto[each, block - 1], 0)[:, None]
+        inside = fine.reshape(height, -1, group)[each, block].cumsum(1)
+        found = block * group + (inside + before >= wanted).argmax(1)
+        out[:, x] = np.where(upto[:, -1] > 0, levels[np.minimum(found, len(levels) - 1)], np.nan)
+        put(x, -1)
+    return out
+
+
+def wide_median(pixels: DataFrame, keys: list[str], value: str, radius: int, blend: float = 1.0,
+                out: str = "median", tile: int = TILE) -> DataFrame:
+    """``median`` for any radius: a task holds one tile with its border, whatever the frame.
+
+    Edges are repeated at the frame's least and greatest coordinates; cells
+    missing inside a frame, and values that are NULL, do not count."""
+    ends = pixels.groupBy(*keys).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    names = [*keys, "x", "y", out]
+    types = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in [*keys, "x", "y"]] + [f"`{out}` double"])
+
+    def run(key: tuple, cells: pa.Table) -> pa.Table:
+        x, y, v = (cells.column(c).to_numpy() for c in ("x", "y", "_v"))
+        tx, ty, x0, x1, y0, y1 = (cells.column(c)[0].as_py() for c in ("_tx", "_ty", "_x0", "_x1", "_y0", "_y1"))
+        left, top = max(tx * tile, x0), max(ty * tile, y0)
+        right, low = min(tx * tile + tile - 1, x1), min(ty * tile + tile - 1, y1)
+        mine = (x >= left) & (x <= right) & (y >= top) & (y <= low)
+        if not mine.any():  # a tile beyond the frame that only got a border
+            return pa.table([*(cells.column(k).slice(0, 0) for k in [*keys, "x", "y"]), pa.array([], pa.float64())], names=names)
+        # the frame as far as the windows of this tile reach, then its edges repeated
+        a, b, c, d = max(left - radius, x0), min(right + radius, x1), max(top - radius, y0), min(low + radius, y1)
+        frame = np.full((d - c + 1, b - a + 1), np.nan)
+        frame[y - c, x - a] = v
+        border = ((c - top + radius, low + radius - d), (a - left + radius, right + radius - b))
+        whole = np.pad(frame, border, mode="edge")
+        middle = slid_median(whole, ~np.isnan(whole), radius)
+        result = v[mine] * (1.0 - blend) + middle[y[mine] - top, x[mine] - left] * blend
+        own = cells.select([*keys, "x", "y"]).filter(pa.array(mine))
+        return own.append_column(out, pa.array(result, from_pandas=True))
+
+    slim = pixels.select(*keys, "x", "y", F.col(value).cast("double").alias("_v")).join(stored(ends, "ends"), keys)
+    medians = tiled(slim, keys, radius, tile).groupBy(*keys, "_tx", "_ty").applyInArrow(run, schema)
+    return pixels.join(medians, [*keys, "x", "y"])
+
+
 def multiscale_median(pixels: DataFrame, keys: list[str], value: str, scales: int, blend: float,
                       out: str = "median", tile: int = TILE) -> DataFrame:
     """Medians of radius 1, 2, … applied one after another."""
     rows = pixels.withColumn(out, F.col(value))
     for radius in range(1, scales + 1):
-        rows = median(rows.withColumnRenamed(out, "_in"), keys, "_in", radius, blend, out, tile).drop("_in")
+        filtered = median if radius <= SORTED else wide_median
+        rows = filtered(rows.withColumnRenamed(out, "_in"), keys, "_in", radius, blend, out, tile).drop("_in")
     return rows
 
 
@@ -273,26 +354,89 @@ def thin(candidates: DataFrame, keys: list[str], distance: int = 8, limit: int |
     return kept.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
 
 
+def near_rivals(candidates: DataFrame, keys: list[str], distance: int) -> DataFrame:
+    """Pairs (better, worse) of candidates closer than ``distance``, as structs of (y, x); bounded by geometry."""
+    size = F.floor(F.col("x") / distance), F.floor(F.col("y") / distance)
+    around = F.sequence(F.lit(-1), F.lit(1))
+    here = candidates.select(*keys, F.struct("y", "x").alias("worse"), F.col("score").alias("_s"), size[0].alias("_cx"), size[1].alias("_cy"))
+    there = candidates.select(*keys, F.struct("y", "x").alias("better"), F.col("score").alias("_b"), F.explode(around).alias("_i"), size[0].alias("_px"), size[1].alias("_py"))
+    there = there.select("*", F.explode(around).alias("_j")).select(*keys, "better", "_b", (F.col("_px") + F.col("_i")).alias("_cx"), (F.col("_py") + F.col("_j")).alias("_cy"))
+    dx, dy = F.col("worse.x") - F.col("better.x"), F.col("worse.y") - F.col("better.y")
+    above = (F.col("_b") > F.col("_s")) | ((F.col("_b") == F.col("_s")) & (F.col("better") < F.col("worse")))
+    met = here.join(there, [*keys, "_cx", "_cy"]).where((dx * dx + dy * dy < distance * distance) & above)
+    return met.select(*keys, "better", "worse")
+
+
+def thin_greedy(candidates: DataFrame, keys: list[str], distance: int = 8, limit: int | None = None) -> DataFrame:
+    """Candidates ``(x, y, score)`` as accepted one by one, best first, each
+    unless one accepted before is closer than ``distance``.
+
+    In rounds: a candidate without a better undecided one near it is accepted,
+    and those near it fall.  Unlike in ``thin``, a candidate near one that has
+    fallen may stand.  Only pairs of undecided candidates are kept."""
+    best = stored(candidates.groupBy(*keys, "x", "y").agg(F.max("score").alias("score")), "candidates")
+    pairs = stored(near_rivals(best, keys, distance), "rivals")
+    fallen = None
+    while not pairs.isEmpty():
+        accepted = pairs.select(*keys, "better").join(pairs.select(*keys, F.col("worse").alias("better")), [*keys, "better"], "left_anti").distinct()
+        falls = stored(pairs.join(accepted, [*keys, "better"]).select(*keys, "worse").distinct(), "fallen")
+        fallen = falls if fallen is None else fallen.unionByName(falls)
+        pairs = pairs.join(falls, [*keys, "worse"], "left_anti").join(falls.withColumnRenamed("worse", "better"), [*keys, "better"], "left_anti")
+        pairs = stored(pairs, "rivals")
+    kept = best
+    if fallen is not None:
+        kept = best.withColumn("worse", F.struct("y", "x")).join(fallen, [*keys, "worse"], "left_anti").drop("worse")
+    if limit is None:
+        return kept
+    order = W.partitionBy(*keys).orderBy(F.col("score").desc(), "y", "x")
+    return kept.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
+
+
+#: Levels that come out of one exchange: sums of a block of 8 x 8 by cells of 2 x 2.
+DEPTH = 3
+
+
 def tile_pyramid(pixels: DataFrame, keys: list[str], values: list[str], width: int, height: int,
                  levels: int = 4) -> DataFrame:
     """2x2 mean pyramid, level 0 being the input.
 
-    One shuffle by the coarsest cell serves every level; an odd last row or
-    column is cut off at each level."""
-    block = 2 ** (levels - 1)
-    rows = pixels.select(*keys, F.floor(F.col("x") / block).alias("_bx"), F.floor(F.col("y") / block).alias("_by"),
-                         "x", "y", *values).repartition(*keys, "_bx", "_by")
-    outputs = []
-    for level in range(levels):
-        size = 2**level
-        used = rows.where((F.col("x") < (width >> level) * size) & (F.col("y") < (height >> level) * size))
-        cell = used.groupBy(*keys, "_bx", "_by", F.floor(F.col("x") / size).alias("lx"),
-                            F.floor(F.col("y") / size).alias("ly")).agg(*[F.avg(v).alias(v) for v in values])
-        outputs.append(cell.select(*keys, F.lit(level).alias("level"), F.col("lx").alias("x"),
-                                   F.col("ly").alias("y"), *values))
-    out = outputs[0]
-    for other in outputs[1:]:
-        out = out.unionByName(other)
+    One aggregate by blocks gives the sums and counts of three levels: what is
+    shuffled is a block's partial sums, never pixels.  Further levels come from
+    the sums of the third, 64 times fewer.  An odd last row or column is cut
+    off at each level."""
+    out = pixels.where((F.col("x") < width) & (F.col("y") < height)).select(
+        *keys, F.lit(0).alias("level"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), *values)
+    source = pixels.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"),
+                           *[F.struct(F.col(v).cast("double").alias("s"), F.col(v).isNotNull().cast("long").alias("n")).alias(v) for v in values])
+    for done in range(0, levels - 1, DEPTH):
+        deep = min(DEPTH, levels - 1 - done)
+        source = _blocks(source, keys, values, deep)
+        for level in range(1, deep + 1):
+            at = (F.col("x") < width >> (done + level)) & (F.col("y") < height >> (done + level))
+            cells = source.where(F.col("level") == level).where(at)
+            out = out.unionByName(cells.select(*keys, F.lit(done + level).alias("level"), "x", "y", *[F.try_divide(F.col(f"{v}.s"), F.col(f"{v}.n")).alias(v) for v in values]))
+        source = source.where(F.col("level") == deep).drop("level")
+        if done + deep < levels - 1:
+            source = stored(source, "pyramid")
     return out
 
 
+def _blocks(source: DataFrame, keys: list[str], values: list[str], deep: int) -> DataFrame:
+    """Sums and counts ``{s, n}`` of the next ``deep`` levels, by level and cell."""
+    side = 2 ** (deep - 1)
+    cell = F.floor(F.pmod("y", F.lit(2 * side)) / 2) * side + F.floor(F.pmod("x", F.lit(2 * side)) / 2)
+    sums = [F.sum(F.when(F.col("_c") == i, F.col(f"{v}.{part}"))).alias(f"_{part}{k}_{i}") for k, v in enumerate(values) for i in range(side * side) for part in "sn"]
+    block = source.select("*", F.floor(F.col("x") / (2 * side)).alias("_bx"), F.floor(F.col("y") / (2 * side)).alias("_by"), cell.alias("_c")).groupBy(*keys, "_bx", "_by").agg(*sums)
+    cells = []
+    for level in range(1, deep + 1):
+        wide = side >> (level - 1)
+        step = side // wide
+        for cy in range(wide):
+            for cx in range(wide):
+                own = [(cy * step + i) * side + cx * step + j for i in range(step) for j in range(step)]
+                total = lambda k, part: sum((F.coalesce(F.col(f"_{part}{k}_{i}"), F.lit(0)) for i in own[1:]), F.coalesce(F.col(f"_{part}{k}_{own[0]}"), F.lit(0)))  # noqa: E731, B023
+                cells.append(F.struct(F.lit(level).alias("level"), (F.col("_bx") * wide + cx).alias("x"), (F.col("_by") * wide + cy).alias("y"),
+                                      *[F.struct(total(k, "s").cast("double").alias("s"), total(k, "n").cast("long").alias("n")).alias(v) for k, v in enumerate(values)]))
+    whole = block.select(*keys, F.inline(F.array(*cells)))
+    seen = [F.col(f"{v}.n") for v in values]
+    return whole.where(F.greatest(*seen, F.lit(0)) > 0)

@@ -1,10 +1,15 @@
 """Exact order statistics per group without sorting a group in one task.
 
-Two rounds of binning find the narrow interval that holds a wanted rank; only
-the distinct values of that interval are ranked.  Every round is a partial
-aggregate, so what is shuffled is counts, and a group that holds most of the
-table is still counted by all tasks.  Three column-pruned scans replace a sort
-of all values.
+Rounds of binning narrow down the interval that holds a wanted rank.  The first
+round bins by sign and logarithm, so that values of any size are told apart;
+every later one cuts an interval into equal parts.  Bins keep the order of the
+values, so an interval is known by its least and greatest value, and rounds end
+once it holds few rows or a single value.  What is left is ranked value by value.
+
+Every round is a partial aggregate, so what is shuffled is counts, and a group
+that holds most of the table is still counted by all tasks.  No window sees
+more than a round's bins of a group.  Two or three column-pruned scans replace
+a sort of all values.
 """
 
 from __future__ import annotations
@@ -19,64 +24,73 @@ from noctule.session import stored
 
 Rank = Callable[[Column], Column]
 
+#: Bins of a later round, and of one doubling in the first, which tells apart values down to FINEST.
+BINS, PER_DOUBLING, FINEST = 4096, 64, 2.0 ** -20
+#: An interval of so many rows is ranked value by value.
+FEW = 4096
+#: An interval spans 1/64 of a value at most, and a double has 53 bits: four rounds of 4096 parts separate any two.
+ROUNDS = 6
 
-def rank_values(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Rank],
-                lo: float = 0.0, hi: float = 1.0, bins: int = 4096) -> DataFrame:
+
+def rank_values(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Rank]) -> DataFrame:
     """Per group: ``n`` and, per named rank, the value at that 1-based rank.
 
-    ``ranks`` maps a name to a function of the group size.  Values outside
-    ``lo..hi`` are ranked exactly too; they only share the end bins.  NULL and
-    NaN must be filtered out by the caller."""
-    scaled = F.least(F.greatest((F.col(value) - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)) * bins
-    coarse = F.least(F.floor(scaled), F.lit(bins - 1))
-    fine = F.floor((scaled - coarse) * bins)
-    source = rows.select(*keys, F.col(value).alias("_v"), coarse.alias("_b1"), fine.alias("_b2"))
-
-    counts = source.groupBy(*keys, "_b1").agg(F.count(F.lit(1)).alias("_n"))
-    # at most `bins` rows per group from here on
-    per_group = W.partitionBy(*keys)
-    counts = counts.select("*", F.sum("_n").over(per_group).alias("n"))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank"))
-                       for name, rank in ranks.items()])
-    counts = _locate(counts.withColumn("_q", F.explode(wanted)).select(
-        "*", F.col("_q.name").alias("_name"), F.col("_q.rank").alias("_rank")).drop("_q"),
-        [*keys, "_name"], "_b1")
-    first = stored(counts.select(*keys, "n", "_name", "_b1", "_rank"), "ranks")
-
-    inside = source.join(first, [*keys, "_b1"])
-    counts = inside.groupBy(*keys, "n", "_name", "_rank", "_b1", "_b2").agg(F.count(F.lit(1)).alias("_n"))
-    second = stored(_locate(counts, [*keys, "_name"], "_b2").select(*keys, "n", "_name", "_b1", "_b2", "_rank"), "ranks")
-
-    inside = source.join(second, [*keys, "_b1", "_b2"])
-    counts = inside.groupBy(*keys, "n", "_name", "_rank", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    found = _locate(counts, [*keys, "_name"], "_v")
-    return found.groupBy(*keys).agg(
+    ``ranks`` maps a name to a function of the group size.  Values may be of
+    any size and sign.  NULL and NaN must be filtered out by the caller."""
+    source = rows.select(*keys, F.col(value).cast("double").alias("_v"))
+    size = F.count(F.lit(1)).alias("_n")
+    ends = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+
+    doubling = F.signum("_v") * F.log2(1.0 + F.abs("_v") / FINEST)
+    counts = source.withColumn("_b", F.floor(doubling * PER_DOUBLING)).groupBy(*keys, "_b").agg(size, *ends)
+    counts = counts.select("*", F.sum("_n").over(W.partitionBy(*keys)).alias("n"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("_name"), rank(F.col("n")).cast("long").alias("_rank")) for name, rank in ranks.items()])
+    line = [*keys, "n", "_name"]
+    found = stored(_locate(counts.select("*", F.inline(wanted)), line, "_b").drop("_b"), "ranks")
+
+    open_ = (F.col("_n") > FEW) & (F.col("_lo") < F.col("_hi"))
+    for _ in range(ROUNDS):
+        if found.where(open_).isEmpty():
+            break
+        inside = _inside(source, found.where(open_), keys)
+        part = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS), F.lit(BINS - 1))
+        counts = inside.groupBy(*line, "_rank", part.alias("_b")).agg(size, *ends)
+        found = stored(_locate(counts, line, "_b").drop("_b").unionByName(found.where(~open_)), "ranks")
+
+    inside = _inside(source, found.where("_lo < _hi"), keys)
+    single = _locate(inside.groupBy(*line, "_rank", "_v").agg(size), line, "_v")
+    whole = single.select(*line, "_v").unionByName(found.where("_lo = _hi").select(*line, F.col("_lo").alias("_v")))
+    return whole.groupBy(*keys).agg(
         F.max("n").alias("n"),
         *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
 
 
-def _locate(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
+def _inside(source: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Values within the interval of each wanted rank of their group."""
+    return source.join(found.drop("_n"), keys).where("_v BETWEEN _lo AND _hi")
+
+
+def _locate(counts: DataFrame, line: list[str], order: str) -> DataFrame:
     """The counted row in which ``_rank`` falls; the rank is made relative."""
-    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy(order))
-    counts = counts.select("*", upto.alias("_upto"))
+    upto = F.sum("_n").over(W.partitionBy(*line).orderBy(order))
     before = F.col("_upto") - F.col("_n")
-    return (counts.where((F.col("_upto") >= F.col("_rank")) & (before < F.col("_rank")))
-            .withColumn("_rank", F.col("_rank") - before).drop("_upto", "_n"))
+    return (counts.select("*", upto.alias("_upto")).where((F.col("_upto") >= F.col("_rank")) & (before < F.col("_rank")))
+            .withColumn("_rank", F.col("_rank") - before).drop("_upto"))
 
 
-def median(rows: DataFrame, keys: list[str], value: str, **bounds) -> DataFrame:
+def median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``(keys, n, median)``; an even group averages its two middle values."""
     middle = rank_values(rows, keys, value, {
         "_low": lambda n: F.floor((n + 1) / 2),
         "_high": lambda n: F.floor(n / 2) + 1,
-    }, **bounds)
+    })
     return middle.select(*keys, "n", ((F.col("_low") + F.col("_high")) * 0.5).alias("median"))
 
 
-def lowest_mean(rows: DataFrame, keys: list[str], value: str, fraction: float, **bounds) -> DataFrame:
+def lowest_mean(rows: DataFrame, keys: list[str], value: str, fraction: float) -> DataFrame:
     """``(keys, n, mean)`` of the lowest ``fraction`` of values, one at least."""
     cut = rank_values(rows, keys, value, {
-        "_cut": lambda n: F.greatest(F.floor(n * fraction), F.lit(1))}, **bounds)
+        "_cut": lambda n: F.greatest(F.floor(n * fraction), F.lit(1))})
     cut = stored(cut.withColumn("_k", F.greatest(F.floor(F.col("n") * fraction), F.lit(1))), "cut")
     below = rows.join(cut, keys).groupBy(*keys, "n", "_k", "_cut").agg(
         F.sum(F.when(F.col(value) < F.col("_cut"), F.col(value)).otherwise(0.0)).alias("_s"),

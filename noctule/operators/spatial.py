@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from noctule.session import stored
 
-#: edge of the coarse cells; the sphere in degrees has at most 408 of them
-#: (longitude -180..360, latitude -90..90), three times as many with wrapped copies
-COARSE = 16
+#: A cell is four times as wide as those below it; the list of the widest has at most (ROOTS + 1) squared entries.
+FAN, ROOTS = 4, 16
+#: Cells are divided until none holds more points, DEPTH times at most (points that close are one place to a double).
+LEAF, DEPTH = 32, 24
 
 
 def _images(grid: DataFrame, wrap: bool) -> DataFrame:
@@ -24,52 +25,68 @@ def _images(grid: DataFrame, wrap: bool) -> DataFrame:
     return grid
 
 
-def nearest_point(sites: DataFrame, grid: DataFrame, cell: float = 1.0, wrap_lon: bool = False) -> DataFrame:
+def cell_sizes(points: DataFrame) -> list[float]:
+    """Widths of the cells of an index over ``points (lon, lat)``, widest first; they follow from the points alone."""
+    extent = points.agg(F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat"))).first()[0] or 0.0
+    sizes = [1.0]
+    while extent > sizes[0] * ROOTS:
+        sizes[0] *= FAN
+    while len(sizes) < DEPTH and (points.groupBy(*_cell("lon", "lat", sizes[-1])).count().agg(F.max("count")).first()[0] or 0) > LEAF:
+        sizes.append(sizes[-1] / FAN)
+    return sizes
+
+
+def _cell(lon: str, lat: str, size: float) -> list[Column]:
+    return [F.floor(F.col(lon) / size).alias("_cx"), F.floor(F.col(lat) / size).alias("_cy")]
+
+
+def _reach(c: Column, far: bool) -> Column:
+    """Squared distance from a site to the nearest place a cell's points can have, or to the farthest."""
+    total = F.lit(0.0)
+    for lo, hi, place in (("x0", "x1", F.col("lon")), ("y0", "y1", F.col("lat"))):
+        d = F.greatest(F.abs(place - c[lo]), F.abs(place - c[hi])) if far else F.greatest(c[lo] - place, place - c[hi], F.lit(0.0))
+        total = total + d * d
+    return total
+
+
+def _bounded(sites: DataFrame) -> DataFrame:
+    """One row per site and cell of its list ``_cells`` that can hold its closest point: none is nearer than another's farthest."""
+    bound = sites.withColumn("_r", F.array_min(F.transform("_cells", lambda c: _reach(c, True))))
+    kept = F.filter("_cells", lambda c: _reach(c, False) <= F.col("_r"))
+    return bound.select("site", "lon", "lat", F.explode(kept).alias("_c")).select("site", "lon", "lat", "_c._cx", "_c._cy")
+
+
+def nearest_point(sites: DataFrame, grid: DataFrame, wrap_lon: bool = False) -> DataFrame:
     """``sites (site, lon, lat)`` with the value of the closest grid point
     ``(pos, lon, lat, val)`` by plain distance in degrees.
 
-    A point within ``cell`` of a site lies in the 3x3 cells around it, so an
-    equi join on cells settles every site that has one.  The others look at
-    the coarse cells that can still hold their closest point; those cells are
-    a bounded list, kept as a scalar subquery."""
+    Points are indexed by cells of several widths, the narrowest of which hold
+    ``LEAF`` points at most, however dense or irregular the grid is.  A point
+    within the narrowest width of a site lies in the 3x3 narrowest cells around
+    it, so an equi join settles every site that has one.  The others go down
+    from the widest cells by branch and bound: of each width they keep only
+    the cells that can hold their closest point, and meet points last."""
     points = stored(_images(grid, wrap_lon), "grid")
+    sizes = cell_sizes(points)
+    leaf = sizes[-1]
     around = F.sequence(F.lit(-1), F.lit(1))
-    spread = points.select("*", F.explode(around).alias("_i")).select("*", F.explode(around).alias("_j"))
-    spread = spread.select("pos", "val", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"),
-                           (F.floor(F.col("lon") / cell) + F.col("_i")).alias("_cx"),
-                           (F.floor(F.col("lat") / cell) + F.col("_j")).alias("_cy"))
-    located = sites.select("site", "lon", "lat", F.floor(F.col("lon") / cell).alias("_cx"),
-                           F.floor(F.col("lat") / cell).alias("_cy"))
-    near = _closest(located.join(spread, ["_cx", "_cy"], "left"))
-    settled = near.where(F.col("_best._d") <= cell * cell)
-    open_sites = near.where(F.col("_best._d").isNull() | (F.col("_best._d") > cell * cell)).select("site", "lon", "lat")
-
-    coarse = points.select(F.floor(F.col("lon") / COARSE).alias("_cx"), F.floor(F.col("lat") / COARSE).alias("_cy"),
-                           "pos", "val", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
-    listed = coarse.groupBy("_cx", "_cy").agg(F.lit(1).alias("_one")).agg(
-        F.collect_list(F.struct("_cx", "_cy"))).scalar()
-
-    def bounds(c: Column, far: bool) -> Column:
-        """Squared distance from the site to the nearest or farthest point of a cell."""
-        total = F.lit(0.0)
-        for axis, place in (("_cx", F.col("lon")), ("_cy", F.col("lat"))):
-            lo, hi = c[axis] * float(COARSE), (c[axis] + 1) * float(COARSE)
-            if far:
-                d = F.greatest(F.abs(place - lo), F.abs(place - hi))
-            else:
-                d = F.greatest(lo - place, place - hi, F.lit(0.0))
-            total = total + d * d
-        return total
-
-    open_sites = open_sites.withColumn("_cells", listed)
-    reach = F.array_min(F.transform("_cells", lambda c: bounds(c, True)))
-    open_sites = open_sites.withColumn("_reach", reach)
-    open_sites = open_sites.select("site", "lon", "lat", F.explode(
-        F.filter("_cells", lambda c: bounds(c, False) <= F.col("_reach"))).alias("_c"))
-    open_sites = open_sites.select("site", "lon", "lat", "_c._cx", "_c._cy")
-    far = _closest(open_sites.join(coarse, ["_cx", "_cy"]))
-    return settled.unionByName(far).select("site", "lon", "lat", F.col("_best.val").alias("val"),
-                                           F.sqrt("_best._d").alias("distance"))
+    low = points.select("pos", "val", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), *_cell("lon", "lat", leaf))
+    spread = low.select("*", F.explode(around).alias("_i")).select("*", F.explode(around).alias("_j"))
+    spread = spread.select("pos", "val", "_lon", "_lat", (F.col("_cx") + F.col("_i")).alias("_cx"), (F.col("_cy") + F.col("_j")).alias("_cy"))
+    located = sites.select("site", "lon", "lat", *_cell("lon", "lat", leaf))
+    near = stored(_closest(located.join(spread, ["_cx", "_cy"], "left")), "near")
+    settled = F.coalesce(F.col("_best._d") <= leaf * leaf, F.lit(False))
+
+    cells = [points.groupBy(*_cell("lon", "lat", size)).agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1")) for size in sizes]
+    box = F.struct("_cx", "_cy", "x0", "x1", "y0", "y1")
+    roots = cells[0].agg(F.collect_list(box)).scalar()
+    far = _bounded(near.where(~settled).select("site", "lon", "lat").withColumn("_cells", roots))
+    for level in cells[1:]:
+        below = level.select(F.floor(F.col("_cx") / FAN).alias("_px"), F.floor(F.col("_cy") / FAN).alias("_py"), box.alias("_b"))
+        met = far.join(below, (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py")))
+        far = _bounded(met.groupBy("site", "lon", "lat").agg(F.collect_list("_b").alias("_cells")))
+    found = near.where(settled).unionByName(_closest(far.join(low, ["_cx", "_cy"])))
+    return found.select("site", "lon", "lat", F.col("_best.val").alias("val"), F.sqrt("_best._d").alias("distance"))
 
 
 def _closest(pairs: DataFrame) -> DataFrame:

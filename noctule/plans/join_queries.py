@@ -142,6 +142,29 @@ def nearest_grid(spark, root):
     return rows.select("site", "val", r6("distance"))
 
 
+#: Three grid points a document, 0.1 degree apart in a quarter of the sky: dense, with gaps, and far from most sites.
+DENSE = """dense AS (
+  SELECT doc_id * 3 + k AS pos, (doc_id * 7 + k * 1301) % 900 * 1e-1 AS lon, ((doc_id * 11 + k * 577) // 7) % 300 * 1e-1 AS lat, coalesce(n_chars, 0) AS val
+  FROM documents, range(3) r(k))"""
+
+
+def _dense(spark, root):
+    k, doc = F.col("k"), F.col("doc_id")
+    rows = b.table(spark, root, "documents").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    return rows.select((doc * 3 + k).alias("pos"), ((doc * 7 + k * 1301) % 900 * 0.1).alias("lon"),
+                       (F.floor((doc * 11 + k * 577) / 7) % 300 * 0.1).alias("lat"), F.coalesce("n_chars", F.lit(0)).alias("val"))
+
+
+@query("nearest_grid_dense", f"""
+WITH {b.GRID}, {DENSE},
+m AS (SELECT s.site, arg_min({{'val': g.val, 'd': (g.lon - s.lon) * (g.lon - s.lon) + (g.lat - s.lat) * (g.lat - s.lat)}},
+        ((g.lon - s.lon) * (g.lon - s.lon) + (g.lat - s.lat) * (g.lat - s.lat), g.pos)) AS m FROM sites s, dense g GROUP BY 1)
+SELECT site, m.val AS val, {s6('sqrt(m.d)', 'distance')} FROM m""")
+def nearest_grid_dense(spark, root):
+    rows = spatial.nearest_point(b.sites(spark, root), _dense(spark, root))
+    return rows.select("site", "val", r6("distance"))
+
+
 @query("box_stats", f"""
 WITH {b.GRID}
 SELECT site, max(val) AS max_val, {s6('avg(val)', 'avg_val')}, count(*) AS n_points

@@ -247,6 +247,24 @@ def focal_median(spark, root):
     return out.select("frame_id", "x", "y", r6("median"))
 
 
+def _median_scale(source: str, radius: int) -> str:
+    side = 2 * radius + 1
+    return f"""n{radius} AS MATERIALIZED (SELECT a.frame_id, a.x, a.y, least(greatest(a.x + k % {side} - {radius}, 0), mx) AS nx, least(greatest(a.y + k // {side} - {radius}, 0), my) AS ny
+      FROM (SELECT frame_id, x, y, unnest(range({side * side})) AS k FROM lp) a JOIN sz ON sz.frame_id = a.frame_id),
+m{radius} AS MATERIALIZED (SELECT n.frame_id, n.x, n.y, list_sort(list(v.l))[{side * side // 2 + 1}] AS m FROM n{radius} n JOIN {source} v
+      ON v.frame_id = n.frame_id AND v.x = n.nx AND v.y = n.ny GROUP BY 1, 2, 3),
+s{radius} AS MATERIALIZED (SELECT v.frame_id, v.x, v.y, v.l * 3e-1 + m.m * 7e-1 AS l FROM {source} v JOIN m{radius} m ON m.frame_id = v.frame_id AND m.x = v.x AND m.y = v.y)"""
+
+
+@query("focal_median_scales", f"""
+WITH {b.PIXELS}, {GRAY}, sz AS MATERIALIZED (SELECT frame_id, max(x) AS mx, max(y) AS my FROM lp GROUP BY 1),
+{_median_scale('lp', 1)}, {_median_scale('s1', 2)}, {_median_scale('s2', 3)}
+SELECT frame_id, x, y, {s6('l', 'median')} FROM s3""")
+def focal_median_scales(spark, root):
+    out = focal.multiscale_median(_luma_pixels(spark, root), ["frame_id"], "l", 3, 0.7, tile=8)
+    return out.select("frame_id", "x", "y", r6("median"))
+
+
 _SIZE, _SIGMA, _SCORE_LIMIT = 5, 1.0, 0.3
 
 SCORE = f"""
@@ -283,6 +301,21 @@ def thin_min_distance(spark, root):
     return focal.thin(candidates, ["frame_id"], 8, 5)
 
 
+@query("thin_greedy", f"""
+WITH RECURSIVE {b.PIXELS}, {GRAY}, {SCORE},
+cd AS (SELECT frame_id, x, y, round(score, 6) + 0e0 AS score FROM score WHERE score >= 3e-1),
+o AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, y, x) AS i FROM cd),
+t AS (SELECT frame_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(x INT, y INT)[]) AS kept, FALSE AS hit FROM o WHERE i = 1
+ UNION ALL
+ SELECT frame_id, i, CASE WHEN free THEN list_append(kept, {{'x': x, 'y': y}}) ELSE kept END, free FROM (
+  SELECT o.frame_id, o.i, t.kept, o.x, o.y, len(list_filter(t.kept, lambda k: (k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y) < 64)) = 0 AS free
+  FROM t JOIN o ON o.frame_id = t.frame_id AND o.i = t.i + 1))
+SELECT o.frame_id, o.x, o.y, o.score FROM t JOIN o ON o.frame_id = t.frame_id AND o.i = t.i WHERE hit""")
+def thin_greedy(spark, root):
+    candidates = _scores(spark, root).where(F.col("score") >= _SCORE_LIMIT).withColumn("score", r6("score"))
+    return focal.thin_greedy(candidates, ["frame_id"], 8)
+
+
 @query("tile_pyramid", f"""
 WITH {b.PIXELS}, {GRAY}
 SELECT frame_id, CAST(lv AS INT) AS level, CAST(x // (1 << lv) AS BIGINT) AS x, CAST(y // (1 << lv) AS BIGINT) AS y, {s6('avg(l)', 'l')}

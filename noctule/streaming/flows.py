@@ -85,22 +85,6 @@ def dedup(rows: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
-def completed(streamed: DataFrame, history: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """Windows as the whole history has them: a stream gives out a window once
-    the watermark has passed it and leaves rows out that come later, so windows
-    still open, and those whose ``count`` differs, come from ``history``, the
-    batch twin's table."""
-    same = streamed.select(*keys, count).distinct()
-    rest = history.join(same, [*keys, count], "left_anti")
-    return streamed.join(history.select(*keys, count), [*keys, count], "left_semi").unionByName(rest)
-
-
-def absent(streamed: DataFrame, history: DataFrame, key: list[str]) -> DataFrame:
-    """Streamed rows, one per key, and one row for keys that arrived too late for the stream."""
-    missed = history.select(*streamed.columns).join(streamed.select(*key), key, "left_anti").dropDuplicates(key)
-    return streamed.dropDuplicates(key).unionByName(missed)
-
-
 def hourly(rows: DataFrame, time: str, delay: str, keys: list[str], *aggregates) -> DataFrame:
     """Tumbling hours; an hour is emitted once the watermark has passed it and
     rows later than that are dropped (and counted by the engine)."""

@@ -1,16 +1,25 @@
 """Per-station operators whose step depends on the step before.
 
-Each keeps a few numbers of state per station.  Rows are held until ``delay``
-seconds of newer ones have arrived and then stepped through in order of time.
-A row that arrives behind what was stepped through is given out with ``late``
-set: nothing is lost, and ``settle`` replaces the stations it concerns by
-their batch twin.  So the result does not depend on how rows were split into
-micro-batches, whose size the source's ``maxFilesPerTrigger`` sets.
+Each keeps, per station, the rows of the last ``keep`` seconds by day and the
+state at the start of every one of these days.  Rows are stepped through in
+order of time.  A row that comes behind what was stepped through goes to its
+day; the station is stepped anew from that day's state to the first later day
+whose state comes out as before.  What changes by it is given out again: the
+output is a log, in which the row of the highest ``version`` holds (``current``)
+and one that is not ``given`` takes an event back.  So what a stream gives does
+not depend on how rows were split into micro-batches.
+
+A row further behind than ``keep`` is given out as ``late`` and changes
+nothing; late rows are a table of their own (``late``), and ``settle`` replays
+the stations they concern.  Rows of the newest ``delay`` seconds wait.  State
+is bounded by the rows of ``keep`` and ``delay`` seconds and one state a day.
 """
 
 from __future__ import annotations
 
-from typing import Any, Callable, Iterator
+from bisect import bisect_right
+from collections import namedtuple
+from typing import Any, Callable, Iterator, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,92 +28,206 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from noctule.functions.exposure import Controller, Limits, advance
+from noctule.operators import timeline
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY = 86400
 
 #: state tuple and row -> new state tuple and output values, or None
 Step = Callable[[tuple, Any], tuple[tuple, tuple | None]]
 
 
-class OrderedFold(StatefulProcessor):
-    """Folds a station's rows in order of ``time``, then ``event_id``."""
+FIRST = -1 << 63
 
-    def __init__(self, step: Step, state_schema: str, initial: tuple, columns: list[str], time: str = "timestamp"):
-        self.step, self.state_schema, self.initial = step, state_schema, initial
-        self.columns, self.time = columns, time
-        self.rows: T.StructType | None = None
-        self.delay = 0
+
+def plain(value: Any) -> Any:
+    """A state's value as Python has it, so that states can be compared."""
+    return value.tolist() if hasattr(value, "tolist") else list(value) if isinstance(value, tuple) else value
+
+
+class Fold(NamedTuple):
+    """What a step starts from, and the columns it gives."""
+
+    step: Step
+    state: str
+    initial: tuple
+    gives: str
+
+    def columns(self) -> list[str]:
+        return [c.split()[0] for c in self.gives.split(", ")] if self.gives else []
+
+
+class Day(NamedTuple):
+    """State before a day's first row, and its rows in order of time and event_id."""
+
+    before: tuple
+    rows: list[tuple]
+
+
+class CorrectedFold(StatefulProcessor):
+    """Folds a station's rows in order of ``timestamp``, then ``event_id``, and corrects what late rows change.
+
+    ``event_id`` tells a station's rows apart.  A step is plain Python on one
+    row: each needs the one before, so a station's chain is sequential.
+    """
+
+    def __init__(self, fold: Fold, rows: T.StructType, delay: int, keep: int):
+        self.fold, self.delay, self.keep = fold, delay, keep
+        fields = [f for f in rows.fields if f.name not in ("station", "timestamp", "event_id")]
+        self.names = ["timestamp", "event_id", *(f.name for f in fields)]
+        self.types = ["bigint", "bigint", *(f.dataType.simpleString() for f in fields)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fold = handle.getValueState("fold", f"last_time bigint, last_id bigint, newest bigint, {self.state_schema}")
-        self.held = handle.getListState("held", self.rows)
+        self.row = namedtuple("Row", self.names)
+        arrays = ", ".join(f"r{i} array<{t}>" for i, t in enumerate(self.types))
+        self.days = handle.getMapState("days", "day bigint", f"{self.fold.state}, {arrays}")
+        self.mark = handle.getValueState("mark", "newest bigint, last_time bigint, last_id bigint, version bigint")
+
+    def load(self, day: int) -> Day:
+        value = tuple(self.days.getValue((day,)))
+        width = len(value) - len(self.types)
+        return Day(tuple(map(plain, value[:width])), list(zip(*(map(plain, c) for c in value[width:]), strict=True)))
+
+    def store(self, day: int, held: Day) -> None:
+        columns = [list(c) for c in zip(*held.rows, strict=True)] or [[] for _ in self.types]
+        self.days.updateValue((day,), (*held.before, *columns))
+
+    def run(self, state: tuple, rows: list[tuple]) -> tuple[tuple, dict[tuple, tuple]]:
+        """The state behind the rows, and what was given for each."""
+        out = {}
+        for values in rows:
+            state, given = self.fold.step(state, self.row(*values))
+            if given is not None:
+                out[values[:2]] = given
+        return state, out
+
+    def horizon(self, last: tuple | None) -> tuple | None:
+        """Rows before this can change nothing any more."""
+        return last and (last[0] - self.keep, FIRST if self.keep else last[1])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.fold.get() if self.fold.exists() else None
-        last, newest, state = ((before[0], before[1]), before[2], tuple(before[3:])) if before else ((None, None), None, self.initial)
-        names = self.rows.fieldNames()
-        waiting = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=names)
-        batch = pd.concat([waiting, *(r[names] for r in rows)] if len(waiting) else [r[names] for r in rows])
-        batch = batch.sort_values([self.time, "event_id"], kind="stable")
-        newest = max(int(batch[self.time].max()), newest if newest is not None else int(batch[self.time].max()))
-        ready = (batch[self.time] <= newest - self.delay).to_numpy()
+        newest, *last, version = self.mark.get() if self.mark.exists() else (None, None, None, 0)
+        last = tuple(last) if last[0] is not None else None
+        settled, version = self.horizon(last), version + 1
+        nothing = [None] * len(self.fold.columns())
+        arrived: dict[int, list[tuple]] = {}
         out = []
-        for row in batch[ready].itertuples(index=False):
-            now = (int(getattr(row, self.time)), int(row.event_id))
-            if last[0] is not None and now < last:
-                out.append((key[0], row.event_id, now[0], *[None] * len(self.columns), True))
+        for part in rows:
+            for values in zip(*(part[n].tolist() for n in self.names), strict=True):
+                newest = values[0] if newest is None else max(newest, values[0])
+                if settled is not None and values[:2] < settled:
+                    out.append((key[0], values[1], values[0], *nothing, version, False, True))
+                else:
+                    arrived.setdefault(values[0] // DAY, []).append(values)
+        held = sorted(k[0] for k in self.days.keys())
+        changed, last = self.apply(held, arrived, last, newest - self.delay)
+        out += [(key[0], event, time, *(nothing if given is None else given), version, given is not None, False) for (time, event), given in changed.items()]
+        self.trim(sorted({*held, *arrived}), self.horizon(last))
+        self.mark.update((newest, *(last or (None, None)), version))
+        yield pd.DataFrame(out, columns=["station", "event_id", "timestamp", *self.fold.columns(), "version", "given", "late"])
+
+    def apply(self, held: list[int], arrived: dict[int, list[tuple]], last: tuple | None, edge: int) -> tuple[dict, tuple | None]:
+        """Puts new rows into their days and steps through rows up to ``edge``.
+
+        Returns what comes out differently (None takes an event back), and the
+        last row stepped through.
+        """
+        first = min([*arrived, *([last[0] // DAY] if last else held[:1])])
+        changed: dict[tuple, tuple | None] = {}
+        was_state = state = None
+        before = last
+        for day in sorted({*arrived, *(d for d in held if d >= first)}):
+            old = self.load(day) if day in held else None
+            if was_state is None:  # nothing before this day has changed
+                later = next((d for d in held if d >= day), None)
+                was_state = state = old.before if old else self.load(later).before if later is not None else self.end(held)
+            was_state = old.before if old else was_state
+            stepped = bool(old) and (not old.rows or before is not None and old.rows[-1][:2] <= before)
+            if stepped and day not in arrived and state == was_state:
+                was_state = state = None  # and nothing up to the next day that has new rows will
                 continue
-            last = now
-            state, values = self.step(state, row)
-            if values is not None:
-                out.append((key[0], row.event_id, now[0], *values, False))
-        self.fold.update((*last, newest, *state))
-        self.held.clear()
-        if not ready.all():
-            self.held.put([tuple(x.item() if hasattr(x, "item") else x for x in row) for row in batch[~ready].itertuples(index=False)])
-        yield pd.DataFrame(out, columns=["station", "event_id", self.time, *self.columns, "late"])
+            rows = sorted([*(old.rows if old else []), *arrived.get(day, [])], key=lambda r: r[:2])
+            now = [r for r in rows if r[0] <= edge or before is not None and r[:2] <= before]
+            self.store(day, Day(state, rows))
+            was_state, gave = self.run(was_state, [r for r in old.rows if before is not None and r[:2] <= before] if old else [])
+            state, gives = self.run(state, now)
+            changed |= {k: gives.get(k) for k in (gave | gives) if gave.get(k) != gives.get(k)}
+            last = max([r[:2] for r in now[-1:]] + ([last] if last else []), default=None)
+        return changed, last
+
+    def end(self, held: list[int]) -> tuple:
+        """State behind the last day there is."""
+        if not held:
+            return self.fold.initial
+        newest = self.load(held[-1])
+        return self.run(newest.before, newest.rows)[0]
+
+    def trim(self, held: list[int], settled: tuple | None) -> None:
+        """Drops rows that no row to come can be before; the state behind them stays."""
+        for day in held:
+            if settled is None or day > settled[0] // DAY:
+                break
+            now = self.load(day)
+            gone = bisect_right([r[:2] for r in now.rows], settled)
+            if gone == len(now.rows) and day != held[-1]:
+                self.days.removeKey((day,))
+            elif gone:
+                self.store(day, Day(self.run(now.before, now.rows[:gone])[0], now.rows[gone:]))
 
     def close(self) -> None:
         pass
 
 
-def _schema(extra: str) -> str:
-    return "station bigint, event_id bigint, timestamp bigint" + (", " + extra if extra else "") + ", late boolean"
+LOG = "version bigint, given boolean, late boolean"
+
 
+def _schema(fold: Fold, *more: str) -> str:
+    return ", ".join(["station bigint, event_id bigint, timestamp bigint", *([fold.gives] if fold.gives else []), *more])
 
-def _run(rows: DataFrame, processor: OrderedFold, extra: str, delay: int) -> DataFrame:
-    """A stream keeps state between batches; a table is replayed."""
+
+def _run(rows: DataFrame, fold: Fold, delay: int, keep: int) -> DataFrame:
+    """A stream gives a log of what holds; a table is replayed to what holds at the end."""
     if not rows.isStreaming:
-        return replay(rows, processor, extra)
-    processor.rows, processor.delay = rows.schema, delay
+        return replay(rows, fold)
     return rows.groupBy("station").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=_schema(extra), outputMode="Append", timeMode="None")
+        statefulProcessor=CorrectedFold(fold, rows.schema, delay, keep), outputStructType=_schema(fold, LOG), outputMode="Append", timeMode="None")
+
 
+def current(log: DataFrame) -> DataFrame:
+    """What holds after a stream's log: the newest version of every event that was not taken back."""
+    values = [c for c in log.columns if c not in ("station", "event_id", "version", "late")]
+    newest = log.where("NOT late").groupBy("station", "event_id").agg(F.max_by(F.struct(*values), "version").alias("_v"))
+    return newest.where("_v.given").select("station", "event_id", *[f"_v.{c}" for c in values if c != "given"])
 
-def settle(streamed: DataFrame, history: DataFrame, operator: Callable[[DataFrame], DataFrame], delay: int = 0) -> DataFrame:
-    """What ``operator`` gives on the whole history, from its stream as far as that goes.
 
-    ``streamed`` is the stream's output over the same rows.  Stations with late
-    rows are replayed; of the others only the rows that are still held are.
+def late(log: DataFrame) -> DataFrame:
+    """Rows that came too late to change anything."""
+    return log.where("late").select("station", "event_id", "timestamp")
+
+
+def settle(log: DataFrame, history: DataFrame, operator: Callable[[DataFrame], DataFrame], delay: int = 0) -> DataFrame:
+    """Repair after rows came later than ``keep``: ``current`` with the stations of late rows replayed from ``history``.
+
+    With a ``delay`` the rows still held are taken from a replay too, which
+    then needs every station.
     """
-    late = streamed.where("late").select("station").distinct()
-    replayed = operator(history)
-    whole = streamed.where("NOT late").join(late, "station", "left_anti").unionByName(replayed.join(late, "station", "left_semi"))
+    stations = late(log).select("station").distinct()
+    mended = operator(history.join(stations, "station", "left_semi"))
+    whole = current(log).join(stations, "station", "left_anti").unionByName(mended)
     if delay:
         newest = history.groupBy("station").agg((F.max("timestamp") - delay).alias("_from"))
-        held = replayed.join(late, "station", "left_anti").join(newest, "station").where("timestamp > _from").drop("_from")
+        held = operator(history.join(stations, "station", "left_anti")).join(newest, "station").where("timestamp > _from").drop("_from")
         whole = whole.unionByName(held)
-    return whole.drop("late")
+    return whole
 
 
-def replay(rows: DataFrame, fold: OrderedFold, extra: str) -> DataFrame:
+def replay(rows: DataFrame, fold: Fold) -> DataFrame:
     """Batch twin of the stateful operators, for history.
 
     Rows stream through sorted partitions in Arrow batches; a task holds one
     batch and one state, however long a station's chain is.  The chain itself
     is sequential: every step needs the one before."""
-    names = ["station", "event_id", fold.time, *fold.columns, "late"]
-    step, initial, time = fold.step, fold.initial, fold.time
+    step, initial, names = fold.step, fold.initial, ["station", "event_id", "timestamp", *fold.columns()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         station, state = None, initial
@@ -115,15 +238,15 @@ def replay(rows: DataFrame, fold: OrderedFold, extra: str) -> DataFrame:
                     station, state = row.station, initial
                 state, values = step(state, row)
                 if values is not None:
-                    out.append((station, row.event_id, getattr(row, time), *values, False))
+                    out.append((station, row.event_id, row.timestamp, *values))
             yield pd.DataFrame(out, columns=names)
 
-    ordered = rows.repartition("station").sortWithinPartitions("station", time, "event_id")
-    return ordered.mapInPandas(run, _schema(extra))
+    ordered = rows.repartition("station").sortWithinPartitions("station", "timestamp", "event_id")
+    return ordered.mapInPandas(run, _schema(fold))
 
 
 def exposure_control(rows: DataFrame, limits: Limits, start: tuple[float, float],
-                     targets: tuple[float, float], delay: int = 0) -> DataFrame:
+                     targets: tuple[float, float], delay: int = 0, keep: int = 0) -> DataFrame:
     """Exposure and gain after each observation; the output of a step is the
     input of the next.  ``targets`` are the day and night brightness.  Rows
     carry ``brightness`` and ``night_mode``."""
@@ -132,11 +255,10 @@ def exposure_control(rows: DataFrame, limits: Limits, start: tuple[float, float]
         state = advance(row.brightness, state[0], state[1], targets[int(row.night_mode)], limits)
         return state, state
 
-    fold = OrderedFold(step, "exposure double, gain double", start, ["exposure", "gain"])
-    return _run(rows, fold, "exposure double, gain double", delay)
+    return _run(rows, Fold(step, "exposure double, gain double", start, "exposure double, gain double"), delay, keep)
 
 
-def damped_control(rows: DataFrame, controller: Controller, start: tuple[float, float], delay: int = 0) -> DataFrame:
+def damped_control(rows: DataFrame, controller: Controller, start: tuple[float, float], delay: int = 0, keep: int = 0) -> DataFrame:
     """Shutter, gain and lamp of the damped controller.  Medians outside
     0..1 leave everything as it is."""
 
@@ -146,22 +268,34 @@ def damped_control(rows: DataFrame, controller: Controller, start: tuple[float,
             recent, shutter, gain, lamp = controller.advance(float(row.brightness), recent, shutter, gain, lamp)
         return (recent, shutter, gain, lamp), (shutter, gain, lamp)
 
-    fold = OrderedFold(step, "recent array<double>, shutter double, gain double, lamp int", ([], *start, 0),
-                       ["shutter", "gain", "lamp"])
-    return _run(rows, fold, "shutter double, gain double, lamp int", delay)
+    fold = Fold(step, "recent array<double>, shutter double, gain double, lamp int", ([], *start, 0), "shutter double, gain double, lamp int")
+    return _run(rows, fold, delay, keep)
 
 
-def night_ends(rows: DataFrame, delay: int = 0) -> DataFrame:
+def night_ends(rows: DataFrame, delay: int = 0, keep: int = 0) -> DataFrame:
     """An event for each observation by day that follows one by night."""
+    if not rows.isStreaming:
+        ends = timeline.state_changes(rows, ["station"], "timestamp", "night_mode", ["event_id"], before=1, after=0)
+        return ends.select("station", "event_id", "timestamp")
 
     def step(state, row):
         night = int(row.night_mode)
         return (night,), () if state[0] == 1 and night == 0 else None
 
-    return _run(rows, OrderedFold(step, "night int", (0,), []), "", delay)
+    return _run(rows, Fold(step, "night int", (0,), ""), delay, keep)
+
+
+def ended_nights(rows: DataFrame, delay: int = 0, keep: int = 0, turn: int = timeline.NOON) -> DataFrame:
+    """``night_ends`` with the number of the night that has ended, as ``timeline.night_series`` counts them."""
+
+    def step(state, row):
+        at = int(row.timestamp) if row.night_mode else None
+        return (at,), ((state[0] - turn) // DAY,) if at is None and state[0] is not None else None
+
+    return _run(rows, Fold(step, "at bigint", (None,), "night bigint"), delay, keep)
 
 
-def throttle(rows: DataFrame, interval: int, delay: int = 0) -> DataFrame:
+def throttle(rows: DataFrame, interval: int, delay: int = 0, keep: int = 0) -> DataFrame:
     """Observations more than ``interval`` seconds after the last one let through."""
 
     def step(state, row):
@@ -169,4 +303,20 @@ def throttle(rows: DataFrame, interval: int, delay: int = 0) -> DataFrame:
             return (int(row.timestamp),), ()
         return state, None
 
-    return _run(rows, OrderedFold(step, "accepted bigint", (None,), []), "", delay)
+    return _run(rows, Fold(step, "accepted bigint", (None,), ""), delay, keep)
+
+
+def runs(rows: DataFrame, gap: int, delay: int = 0, keep: int = 0) -> DataFrame:
+    """For each observation the start of its run and its number in it; a pause of ``gap`` seconds ends a run."""
+
+    def step(state, row):
+        first, last, n = state
+        first, n = (int(row.timestamp), 1) if last is None or row.timestamp - last >= gap else (first, n + 1)
+        return (first, int(row.timestamp), n), (first, n)
+
+    return _run(rows, Fold(step, "first bigint, last bigint, n bigint", (None, None, 0), "first bigint, n bigint"), delay, keep)
+
+
+def sessions(told: DataFrame, gap: int) -> DataFrame:
+    """Runs of captures from the rows of ``runs``: what lies between two runs is an outage."""
+    return told.groupBy("station", "first").agg((F.max("timestamp") + gap).alias("until"), F.max("n").alias("captures"))

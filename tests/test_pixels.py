@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -337,3 +339,129 @@ def test_brackets_beyond_the_depth_are_refused_or_merged(spark):
     assert wide["raw_w_6"] == pytest.approx(0.7)
     with pytest.raises(Exception, match="more than 5 exposures"):
         bracket.side_by_side(rows).collect()
+
+
+@pytest.mark.parametrize("radius, tile", [(2, 8), (5, 256), (24, 16), (9, 7)])
+def test_wide_medians_equal_sorting(spark, radius, tile):
+    rng = np.random.default_rng(radius)
+    frame = rng.integers(0, 40, (19, 23)) / 8.0
+    rows = [(1, x, y, float(frame[y, x])) for y in range(19) for x in range(23)] + [(2, 100, -7, 3.5)]
+    out = focal.wide_median(spark.createDataFrame(rows, "frame_id int, x int, y int, v double"), ["frame_id"], "v", radius, tile=tile).collect()
+    padded = np.pad(frame, radius, mode="edge")
+    want = {(1, x, y): np.sort(padded[y:y + 2 * radius + 1, x:x + 2 * radius + 1], None)[(2 * radius + 1) ** 2 // 2] for y in range(19) for x in range(23)}
+    assert {(r.frame_id, r.x, r.y): r["median"] for r in out} == want | {(2, 100, -7): 3.5}
+
+
+def test_wide_medians_leave_gaps_out(spark):
+    rows = [(1, x, y, None if (x, y) == (2, 2) else float(10 * y + x)) for y in range(5) for x in range(5) if (x, y) != (1, 1)]
+    out = {(r.x, r.y): r["median"] for r in focal.wide_median(spark.createDataFrame(rows, "frame_id int, x int, y int, v double"), ["frame_id"], "v", 2, tile=4).collect()}
+    assert len(out) == 24 and out[2, 2] is None
+    cells = sorted(10 * min(max(y, 0), 4) + min(max(x, 0), 4) for y in range(1, 6) for x in range(1, 6)
+                   if (min(x, 4), min(y, 4)) not in ((1, 1), (2, 2)))
+    assert out[3, 3] == cells[len(cells) // 2]
+
+
+def test_slid_medians_take_time_that_grows_with_the_radius():
+    frame = np.random.default_rng(0).random((128 + 96, 128 + 96))
+    took = {}
+    for radius in (6, 12, 24, 48):
+        part = frame[:128 + 2 * radius, :128 + 2 * radius]
+        laps = []
+        for _ in range(3):
+            begin = time.process_time()
+            got = focal.slid_median(part, np.ones(part.shape, bool), radius)
+            laps.append(time.process_time() - begin)
+        took[radius] = min(laps)
+        assert got[5, 7] == np.sort(part[5:6 + 2 * radius, 7:8 + 2 * radius], None)[(2 * radius + 1) ** 2 // 2]
+    assert took[48] < 6 * took[12], took  # sorting would take sixteen times as long
+
+
+def greedy(points, distance):
+    kept = []
+    for x, y, s in sorted(points, key=lambda p: (-p[2], p[1], p[0])):
+        if all((x - a) ** 2 + (y - b) ** 2 >= distance ** 2 for a, b, _ in kept):
+            kept.append((x, y, s))
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("levels", [1, 5, 1000])
+def test_greedy_thinning_equals_one_by_one(spark, levels):
+    rng = np.random.default_rng(levels)
+    points = {(int(x), int(y)): float(rng.integers(levels)) for x, y in rng.integers(0, 60, (300, 2))}
+    points = [(x, y, s) for (x, y), s in points.items()]
+    rows = [(1, *p) for p in points] + [(2, *p) for p in points[:3]] + [(1, *points[0][:2], -5.0)]
+    table = spark.createDataFrame(rows, "frame_id int, x int, y int, score double")
+    out = focal.thin_greedy(table, ["frame_id"], 8).collect()
+    assert sorted((r.x, r.y, r.score) for r in out if r.frame_id == 1) == greedy(points, 8)
+    assert sorted((r.x, r.y, r.score) for r in out if r.frame_id == 2) == greedy(points[:3], 8)
+    top = sorted(greedy(points, 8), key=lambda p: (-p[2], p[1], p[0]))[:2]
+    assert {(r.x, r.y) for r in focal.thin_greedy(table.where("frame_id = 1"), ["frame_id"], 8, 2).collect()} == {p[:2] for p in top}
+    assert focal.thin_greedy(table.where("false"), ["frame_id"]).count() == 0
+
+
+@pytest.mark.parametrize("levels", [1, 2, 4, 6])
+def test_a_pyramid_is_one_cascade(spark, levels):
+    rng = np.random.default_rng(3)
+    frame = rng.random((43, 37))
+    rows = [(1, x, y, float(frame[y, x]), None if x == 3 else 1.0) for y in range(43) for x in range(37)]
+    out = focal.tile_pyramid(spark.createDataFrame(rows, "f int, x int, y int, v double, w double"), ["f"], ["v", "w"], 37, 43, levels)
+    got = {(r.level, r.x, r.y): r.v for r in out.collect()}
+    want = {(k, x, y): frame[y << k:(y + 1) << k, x << k:(x + 1) << k].mean() for k in range(levels) for y in range(43 >> k) for x in range(37 >> k)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_pyramid_shuffles_sums_of_blocks_once(spark):
+    rows = spark.range(64 * 64).select(F.lit(1).alias("f"), (F.col("id") % 64).alias("x"), F.floor(F.col("id") / 64).alias("y"), F.lit(0.5).alias("v"))
+    plan = focal.tile_pyramid(rows, ["f"], ["v"], 64, 64)._jdf.queryExecution().executedPlan().toString()
+    assert all("_bx" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    assert "partial_sum" in plan and plan.count("Exchange hashpartitioning(f") <= 3  # the same one for each level, reused
+
+
+# --- ranks and grids at volume -------------------------------------------------
+
+def test_ranks_of_any_size_with_a_hot_group(spark):
+    rng = np.random.default_rng(7)
+    parts = {1: rng.random(30_000) * 1e6, 2: np.exp(rng.normal(0, 12, 9_000)) * rng.choice([-1, 1], 9_000), 3: np.full(20_000, 123456.789),
+             4: 1e6 + rng.random(20_000) * 1e-6, 5: np.r_[np.zeros(8_000), 1e-300, -1e-300, 5e5], 6: np.array([-2.0, -1.0])}
+    data = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in parts.items()])
+    out = ranks.rank_values(spark.createDataFrame(data), ["k"], "v", {"a": lambda n: F.lit(1), "m": lambda n: F.floor((n + 1) / 2), "z": lambda n: n}).collect()
+    assert {r.k: (r.n, r.a, r.m, r.z) for r in out} == {k: (len(v), *(np.sort(v)[i] for i in (0, (len(v) + 1) // 2 - 1, len(v) - 1))) for k, v in parts.items()}
+
+
+def test_no_window_of_ranks_sees_more_than_a_rounds_bins(spark, monkeypatch):
+    seen = []
+    locate = ranks._locate
+
+    def watched(counts, line, order):
+        seen.append(counts.groupBy(*line).count().agg(F.max("count")).first()[0])
+        return locate(counts, line, order)
+
+    monkeypatch.setattr(ranks, "_locate", watched)
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame(pd.DataFrame({"k": 1, "v": rng.random(60_000) * 1e6}))
+    ranks.median(rows, ["k"], "v").collect()
+    assert max(seen) <= ranks.BINS
+
+
+@pytest.mark.parametrize("step, wrap", [(0.1, False), (0.1, True), (None, False)])
+def test_nearest_point_on_dense_and_irregular_grids(spark, monkeypatch, step, wrap):
+    rng = np.random.default_rng(11)
+    if step:  # 90 x 40 degrees without a quarter of the points
+        points = [(10 + step * i, step * j, int(i + j)) for i in range(300) for j in range(100) if rng.random() < 0.75]
+    else:  # a cluster, lone points and one place far off
+        points = [(float(a), float(b), i) for i, (a, b) in enumerate(np.r_[rng.normal(20, 0.001, (2000, 2)), rng.random((40, 2)) * 90, [[179.0, -80.0]]])]
+    sites = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.r_[rng.random((60, 2)) * [360, 180] - [0, 90], [[20.0, 20.0], [-700.0, 500.0], [14.95, 3.33]]])]
+    pairs = []
+    closest = spatial._closest
+
+    def watched(rows):
+        pairs.append(rows.groupBy("site").count().agg(F.max("count")).first()[0] or 0)
+        return closest(rows)
+
+    monkeypatch.setattr(spatial, "_closest", watched)
+    out = {r.site: r.distance for r in spatial.nearest_point(spark.createDataFrame(sites, "site int, lon double, lat double"), grid_table(spark, points), wrap_lon=wrap).collect()}
+    places = np.array([p[:2] for p in points])
+    if wrap:
+        places = np.concatenate([places + [t, 0] for t in (0, 360, -360)])
+    assert out == {s: pytest.approx(np.hypot(places[:, 0] - x, places[:, 1] - y).min()) for s, x, y in sites}
+    assert max(pairs) <= 9 * spatial.LEAF  # whatever the number of points

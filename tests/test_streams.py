@@ -1,10 +1,11 @@
+import datetime as dt
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from noctule.functions.exposure import Controller, Limits, advance, step
-from noctule.streaming import flows, state
+from noctule.streaming import flows, sinks, state, timers
 
 ROWS = "station long, event_id long, timestamp long, brightness double, night_mode int"
 LIMITS = Limits(max_exposure=20.0)
@@ -149,3 +150,192 @@ def test_step_as_columns_equals_the_function(spark):
     exposure, gain = step(F.col("b"), F.col("e"), F.col("g"), F.lit(0.15), LIMITS)
     for r in table.select("*", exposure.alias("e2"), gain.alias("g2")).collect():
         assert (r.e2, r.g2) == pytest.approx(advance(r.b, r.e, r.g, 0.15, LIMITS))
+
+
+@pytest.fixture(scope="module")
+def scattered(spark, tmp_path_factory):
+    """Six files of rows over eight days, in an order that has nothing to do with time."""
+    rows = [(i % 2, i, 86400 * 400 + 5000 * i + 13 * (i % 7), ((i * 29) % 97) / 100.0, int(i % 11 < 5)) for i in range(140)]
+    folder = str(tmp_path_factory.mktemp("scattered"))
+    batches = [[r for r in rows if r[1] * 5 % 6 == k] for k in range(6)]
+    drop_files(spark, folder, batches)
+    return rows, batches, lambda: spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def test_late_rows_correct_what_was_given(spark, scattered):
+    rows, _, stream = scattered
+    log = flows.run(state.exposure_control(stream(), LIMITS, (1.0, 100.0), (0.3, 0.15), keep=30 * 86400), "corrected")
+    assert log.count() > len(rows) and not log.where("late").count()
+    got = {r.event_id: (r.exposure, r.gain) for r in state.current(log).collect()}
+    assert got == exposures(rows)
+    ends = flows.run(state.night_ends(stream(), keep=30 * 86400), "corrected-ends")
+    assert ends.where("NOT given").count()  # events that a late row took back
+    assert {r.event_id for r in state.current(ends).collect()} == {r.event_id for r in state.night_ends(spark.createDataFrame(rows, ROWS)).collect()}
+
+
+@pytest.mark.parametrize("keep, delay", [(86400, 0), (2 * 86400, 0), (86400, 40000), (0, 100000), (12345, 0)])
+def test_rows_beyond_keep_are_late_and_change_nothing(scattered, keep, delay):
+    rows, batches, stream = scattered
+    log = flows.run(state.exposure_control(stream(), LIMITS, (1.0, 100.0), (0.3, 0.15), delay, keep), "short")
+    newest, last, late, kept = {}, {}, set(), []
+    for batch in batches:
+        for r in sorted(batch, key=lambda r: r[2]):
+            behind = last.get(r[0])
+            if behind is not None and (r[2] < behind - keep):
+                late.add(r[1])
+            else:
+                kept.append(r)
+        for s in {r[0] for r in batch}:
+            newest[s] = max([newest.get(s, 0), *(r[2] for r in batch if r[0] == s)])
+            last[s] = max([r[2] for r in kept if r[0] == s and r[2] <= newest[s] - delay], default=None)
+    assert {r.event_id for r in state.late(log).collect()} == late
+    want = {e: v for e, v in exposures(kept).items() if next(r[2] <= newest[r[0]] - delay for r in kept if r[1] == e)}
+    assert {r.event_id: (r.exposure, r.gain) for r in state.current(log).collect()} == want
+
+
+def test_state_is_bounded_by_what_is_kept():
+    """The processor alone, on a dictionary in the place of the state store."""
+    import pandas as pd
+
+    class Values(dict):
+        exists = lambda self: bool(self)
+        get = lambda self: dict.__getitem__(self, 0)
+        update = lambda self, v: self.__setitem__(0, v)
+        getValue = lambda self, k: self[k]
+        updateValue = lambda self, k, v: self.__setitem__(k, v)
+        removeKey = lambda self, k: self.pop(k)
+
+    class Handle:
+        def getMapState(self, *_):
+            return Values()
+
+        def getValueState(self, *_):
+            return Values()
+
+    from pyspark.sql import types as T
+
+    schema = T._parse_datatype_string("station long, event_id long, timestamp long")
+    fold = state.Fold(lambda s, r: ((s[0] + 1,), (s[0] + 1,)), "n bigint", (0,), "n bigint")
+    one = state.CorrectedFold(fold, schema, 0, 3 * 86400)
+    one.init(Handle())
+    for day in range(60):
+        frame = pd.DataFrame({"timestamp": [day * 86400 + 600 * i for i in range(100)], "event_id": [100 * day + i for i in range(100)]})
+        given = pd.concat(one.handleInputRows((1,), iter([frame]), None))
+        assert len(one.days) <= 5 and sum(len(v[1]) for v in one.days.values()) <= 600
+    assert given["n"].max() == 6000
+    late = pd.DataFrame({"timestamp": [5], "event_id": [-1]})
+    assert pd.concat(one.handleInputRows((1,), iter([late]), None))["late"].tolist() == [True]
+
+
+def test_an_empty_stream_gives_nothing(spark, tmp_path):
+    spark.createDataFrame([], ROWS).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ROWS).parquet(str(tmp_path / "in"))
+    assert state.current(flows.run(state.throttle(stream, 10), "none")).count() == 0
+    flows.run(stream, "none", batch=sinks.insert_sink(str(tmp_path / "t"), ["station", "timestamp"], F.col("event_id")))
+    assert sinks.inserted(spark, str(tmp_path / "t"), stream.schema).count() == 0
+    totals = sinks.Totals(str(tmp_path / "totals"), ["station"], {"n": "sum"}, spark.createDataFrame([], "station long, n long").schema)
+    assert totals.read(spark).count() == 0
+
+
+KEYED = "station long, timestamp long, event_id long"
+
+
+def test_a_repeated_batch_inserts_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    sink = sinks.insert_sink(root, ["station", "timestamp"], F.col("event_id"))
+    batch = lambda *rows: spark.createDataFrame(rows, KEYED)
+    read = lambda: sorted(tuple(r) for r in sinks.inserted(spark, root, batch((1, 1, 1)).schema).select("station", "timestamp", "event_id").collect())
+    sink(batch((1, 10, 5), (1, 10, 4), (1, 90000, 6)), 0)
+    sink(batch((1, 10, 1), (2, 10, 7)), 1)
+    want = [(1, 10, 4), (1, 90000, 6), (2, 10, 7)]
+    assert read() == want
+    sink(batch((1, 10, 1), (2, 10, 7)), 1)
+    sink(batch((3, 3, 3)), 0)
+    assert read() == want
+
+
+def test_a_batch_killed_between_write_and_log_is_repeated_whole(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    sink = sinks.insert_sink(root, ["station", "timestamp"], F.col("event_id"))
+    batch = lambda *rows: spark.createDataFrame(rows, KEYED)
+    read = lambda: sorted(tuple(r) for r in sinks.inserted(spark, root, batch((1, 1, 1)).schema).select("station", "timestamp", "event_id").collect())
+    sink(batch((1, 10, 4)), 0)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks.BatchLog, "enter", killed)
+        with pytest.raises(KeyboardInterrupt):
+            sink(batch((1, 10, 1), (2, 20, 7)), 1)
+    assert read() == [(1, 10, 4)]  # what was cut off is not seen
+    sink(batch((1, 10, 1), (2, 20, 7)), 1)
+    assert read() == [(1, 10, 4), (2, 20, 7)]
+
+
+def test_inserts_read_the_days_they_touch(spark, tmp_path):
+    root = str(tmp_path)
+    sink = sinks.insert_sink(root, ["station", "timestamp"], F.col("event_id"))
+    for k in range(4):
+        sink(spark.createDataFrame([(1, 86400 * k + 5, k)], KEYED), k)
+    rows = sinks.inserted(spark, root, spark.createDataFrame([], KEYED).schema).where(F.col("day").isin([dt.date(1970, 1, 2)]))
+    assert rows.count() == 1
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("PartitionFilters: ["):].split("PushedFilters")[0]
+    assert "day#" in scan and "1970-01-02" in scan and "batch#" in scan
+
+
+def test_totals_are_read_from_a_bounded_number_of_folders(spark, tmp_path):
+    schema = spark.createDataFrame([], "k long, n long, low long, high long").schema
+    totals = sinks.Totals(str(tmp_path), ["k"], {"n": "sum", "low": "min", "high": "max"}, schema, every=3)
+    sink = totals.sink(lambda rows: rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    seen = []
+    for i in range(10):
+        rows = [(j % 2, 7 * i + j) for j in range(5)]
+        seen += rows
+        sink(spark.createDataFrame(rows, "k long, v long"), i)
+        sink(spark.createDataFrame(rows, "k long, v long"), i)  # again: nothing changes
+        assert len(totals.folders(i)) <= 3
+        want = {(k, sum(r[0] == k for r in seen), min(r[1] for r in seen if r[0] == k), max(r[1] for r in seen if r[0] == k)) for k in (0, 1)}
+        assert {tuple(r) for r in totals.read(spark).collect()} == want
+
+
+def test_silence_gives_a_row_and_failures_are_counted(spark, tmp_path):
+    """Station 1 falls silent for good; only others move the watermark on."""
+    schema = "station long, event_id long, timestamp long, failed boolean"
+    batches = [[(1, 1, 1000, False), (2, 2, 1500, True), (1, 3, 1010, True)], [(2, 4, 1490, True), (1, 5, 1005, True), (2, 6, 1600, True)],
+               [(2, 7, 5000, False), (2, 8, 4900, None)], [(2, 9, 9000, False)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part-{i}")
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out = flows.run(timers.watch(stream.withColumn("ts", F.timestamp_seconds("timestamp")), 2000, 3, "600 seconds"), "watch")
+    got = {tuple(r) for r in out.collect()}
+    assert got == {(1, "timeout", 1010, 3010, 3, 2, 2, 1), (2, "timeout", 1600, 3600, 3, 3, 3, 1), (2, "failures", 1600, 1600, 3, 3, 3, 0), (2, "timeout", 5000, 7000, 5, 4, 0, 2)}
+
+
+def test_a_night_is_stacked_once(spark, tmp_path):
+    frames = spark.createDataFrame([("1/0", 1, 0, i, 0, 0, 0, 10 * i) for i in range(4)] + [("1/1", 1, 1, 9, 0, 0, 0, 7)],
+                                   "series string, station long, night long, seq int, x int, y int, c int, v int")
+    calls = []
+
+    def read():
+        calls.append(1)
+        return frames
+
+    sink = sinks.night_sink(str(tmp_path), read)
+    events = lambda *nights: spark.createDataFrame([(1, n, True, False) for n in nights], "station long, night long, given boolean, late boolean")
+    sink(events(0), 0)
+    sink(events(0), 0)
+    assert len(calls) == 1
+    sink(events(0, 1), 1)
+    sink(events(), 2)
+    assert sorted((r.series, r.n_frames, r.v) for r in sinks.stacks(spark, str(tmp_path)).collect()) == [("1/0", 4, 15), ("1/1", 1, 7)]
+
+
+@pytest.mark.parametrize("median, shutter, gain, lamp, want", [
+    (0.2, 10.0, 2.0, 0, (15.0, 2.0, 1)), (0.2, 30.0, 2.0, 1, (30.0, 3.0, 1)), (0.2, 25.0, 2.0, 1, (30.0, 2.0, 1)), (0.2, 30.0, 15.0, 0, (30.0, 16.0, 1)),
+    (0.8, 10.0, 2.0, 1, (10.0, 1.5, 0)), (0.8, 10.0, 1.0, 0, (7.5, 1.0, 0)), (0.8, 10.0, 1.1, 0, (10.0, 1.0, 0)), (0.28, 30.0, 1.0, 1, (30.0, 1.0 + 0.5 * (0.4 / 0.28 - 1), 1))])
+def test_controller_moves_one_quantity_to_its_bound(median, shutter, gain, lamp, want):
+    _, *got = Controller(target=0.4).advance(median, [], shutter, gain, lamp)
+    assert got == pytest.approx(list(want))
