@@ -176,7 +176,8 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", shortest: int
     dirty = looked.where(F.size("suspects") > 0)
     said = dirty.select("row", "id", F.explode("suspects").alias("digest"))
     places = said.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("unnamed"))
-    repeated = places.where("first <> last OR unnamed AND first IS NOT NULL").select("digest", "first")
+    # written, so that the join reads plain shuffles, of which a hot digest's can be split
+    repeated = settled(places.where("first <> last OR unnamed AND first IS NOT NULL").select("digest", "first"), "line-repeats")
     drops = said.join(repeated, "digest").where("id IS NULL OR id <> first").groupBy("row").agg(F.collect_list("digest").alias("drops"))
     cut = dirty.join(drops, "row", "left").withColumn("cut", F.when(F.col("drops").isNotNull(), without(F.col("text").cast("binary"), F.coalesce("drops", F.array().cast("array<binary>")))))
     mended = cut.select("id", F.when(F.col("drops").isNotNull(), F.col("cut.text")).otherwise(F.col("text")).alias("text"), "n_lines", F.coalesce("cut.n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
