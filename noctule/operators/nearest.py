@@ -1,16 +1,16 @@
-"""Nearest-in-time join in both directions.
+"""Nearest-in-time join in both directions, for any number of right sides at once.
 
-Right rows become one per (by, time).  Each bucket of time also receives the
-last right row before it and the first after it, taken from a summary with a
-row per bucket, so the windows that look back and ahead stay inside a bucket
-however long the timeline or hot the key is.
+All instants of the left and of every right side become one table with a row
+per (by, time).  Buckets of time carry in the last right row before them and
+the first after them; both come from a summary of buckets in two levels, so no
+window spans a timeline, with or without ``by``, however long or hot it is.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,69 +41,75 @@ def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
     return nearest_all(left, left_time, [lookup], by, bucket_seconds)
 
 
+#: Buckets of a group of the summary.  Groups are carried within an era, which holds every time there is.
+GROUP, ERA = 1024, 1 << 50
+
+
 def nearest_all(left: DataFrame, left_time: str, lookups: list[Lookup], by: list[str] | None = None,
                 bucket_seconds: int = 86400) -> DataFrame:
-    """Several nearest joins at once.
-
-    The distinct left times are collected once and every lookup answers for
-    them; the answers are put side by side before the left table, the big one,
-    is joined to them a single time."""
+    """Several nearest joins at once: the timeline is laid out once, and the
+    left table, the big one, is joined to the answers a single time."""
     by = by or []
-    # distinct left times: a hot instant is looked up once
-    times = left.select(*by, F.col(left_time).alias("_t")).where("_t is not null").groupBy(*by, "_t").agg(
-        F.lit(1).alias("_left"))
-    times = times.select(*by, "_t", F.floor(F.col("_t") / bucket_seconds).alias("_bucket"))
-    answers = None
-    for lookup in lookups:
-        found = _answer(times, lookup, by, bucket_seconds)
-        answers = found if answers is None else answers.join(found, [*by, "_t"], "full_outer")
+    each = range(len(lookups))
+    line = left.select(*by, F.col(left_time).cast("long").alias("_t"), F.lit(1).alias("_left"))
+    for i, lookup in enumerate(lookups):
+        rights = lookup.right.select(*by, F.col(lookup.time).cast("long").alias("_t"), F.struct(*lookup.payload).alias(f"_p{i}"), F.struct(*lookup.position).alias(f"_q{i}"))
+        line = line.unionByName(rights, allowMissingColumns=True)
+    # a hot instant is one row; of rights of equal time the first in document order wins
+    instants = line.where("_t is not null").groupBy(*by, "_t").agg(F.max("_left").alias("_left"), *[F.min_by(f"_p{i}", f"_q{i}").alias(f"_p{i}") for i in each])
+    instants = stored(instants.withColumn("_bucket", F.floor(F.col("_t") / bucket_seconds)), "instants")
+    here = lambda i: F.when(F.col(f"_p{i}").isNotNull(), F.struct("_t", F.col(f"_p{i}").alias("_p")))
+    at = lambda i: F.when(F.col(f"_p{i}").isNotNull(), F.col("_t"))
+
+    buckets = instants.groupBy(*by, "_bucket").agg(F.max("_left").alias("_used"), *[c for i in each for c in (
+        F.min_by(here(i), at(i)).alias(f"_head{i}"), F.max_by(here(i), at(i)).alias(f"_tail{i}"))])
+    buckets = stored(buckets.withColumn("_group", F.floor(F.col("_bucket") / GROUP)), "buckets")
+    carried = _carried(buckets, by, bucket_seconds, each)
+
+    met = instants.join(carried, [*by, "_bucket"])
+    back, ahead = (W.partitionBy(*by, "_bucket").orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc("_t"), F.desc("_t")))
+    answers = met.select(*by, "_t", "_left", *[c for i in each for c in (
+        F.coalesce(F.last(here(i), ignorenulls=True).over(back), f"_before{i}").alias(f"_before{i}"),
+        F.coalesce(F.last(here(i), ignorenulls=True).over(ahead), f"_after{i}").alias(f"_after{i}"))]).where("_left = 1")
     names = {c: f"_by_{i}" for i, c in enumerate(by)} | {"_t": "_lt"}
-    answers = answers.withColumnsRenamed(names)
+    answers = answers.select(*by, "_t", *[c for i, lookup in enumerate(lookups) for c in _chosen(i, lookup)]).withColumnsRenamed(names)
     on = [F.col(left_time) == F.col("_lt")] + [F.col(c) == F.col(names[c]) for c in by]
     return left.join(answers, on, "left").drop(*names.values())
 
 
-def _answer(times: DataFrame, lookup: Lookup, by: list[str], bucket_seconds: int) -> DataFrame:
-    """``(by, _t, matched time, payload)`` for the times that have a match."""
-    # first in document order wins among equal times
-    rights = lookup.right.groupBy(*by, F.col(lookup.time).alias("_t")).agg(
-        F.min_by(F.struct(*lookup.payload), F.struct(*lookup.position)).alias("_p"))
-    rights = rights.select(*by, F.floor(F.col("_t") / bucket_seconds).alias("_bucket"), "_t", "_p")
-
-    edges = rights.groupBy(*by, "_bucket").agg(F.min_by(F.struct("_t", "_p"), "_t").alias("_head"),
-                                               F.max_by(F.struct("_t", "_p"), "_t").alias("_tail"))
-    buckets = times.groupBy(*by, "_bucket").agg(F.lit(1).alias("_used"))
-    edges = buckets.join(edges, [*by, "_bucket"], "full_outer")
-
-    # one row per bucket: the summary of a century of days is 36,500 rows per key
-    def passed(order):  # everything up to the row before; a frame that only grows costs one step per row
-        return W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-
-    edges = edges.select(
-        *by, "_bucket", "_used", F.last("_tail", ignorenulls=True).over(passed(F.asc("_bucket"))).alias("_before"),
-        F.last("_head", ignorenulls=True).over(passed(F.desc("_bucket"))).alias("_after"))
-    carried = edges.where("_used = 1").select(*by, "_bucket", F.explode(F.array("_before", "_after")).alias("_e"))
-    carried = carried.where("_e is not null").select(*by, "_bucket", "_e._t", "_e._p")
-
-    timeline = times.select(*by, "_bucket", "_t", F.lit(1).alias("_side"), F.lit(None).cast(
-        rights.schema["_p"].dataType).alias("_p")).unionByName(
-        rights.unionByName(carried).withColumn("_side", F.lit(0)))
-    right_row = F.when(F.col("_side") == 0, F.struct("_t", "_p"))
-
-    def seen(order):
-        return W.partitionBy(*by, "_bucket").orderBy(order, "_side").rowsBetween(W.unboundedPreceding, 0)
-
-    timeline = timeline.select("*", F.last(right_row, ignorenulls=True).over(seen(F.asc("_t"))).alias("_before"),
-                               F.last(right_row, ignorenulls=True).over(seen(F.desc("_t"))).alias("_after"))
-    found = timeline.where("_side = 1")
-    closer = F.col("_after._t") - F.col("_t") < F.col("_t") - F.col("_before._t")
-    choice = F.when(F.col("_before").isNull() | closer, F.col("_after")).otherwise(F.col("_before"))
-    found = found.select(*by, "_t", choice.alias("_c"))
-    close = F.col("_c").isNotNull()
+def _carried(buckets: DataFrame, by: list[str], bucket_seconds: int, each: range) -> DataFrame:
+    """For each bucket with left rows the last right before it and the first after it, by lookup.
+
+    They are sought among the buckets of its group and, where there is none,
+    in what the groups before and after it end with.  Frames only grow, which
+    costs one step per row; a group has ``GROUP`` rows at most, a century of
+    days 36 groups."""
+    era = F.floor((F.col("_group") * (GROUP * bucket_seconds) + ERA // 2) / ERA)
+
+    def passed(keys: list[str], order: Column) -> WindowSpec:
+        return W.partitionBy(*by, *keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+
+    def seek(keys: list[str], order: str) -> list[Column]:
+        return [c for i in each for c in (F.last(f"_tail{i}", ignorenulls=True).over(passed(keys, F.asc(order))).alias(f"_before{i}"),
+                                          F.last(f"_head{i}", ignorenulls=True).over(passed(keys, F.desc(order))).alias(f"_after{i}"))]
+
+    place = lambda c: F.when(F.col(c).isNotNull(), F.col("_bucket"))
+    groups = buckets.groupBy(*by, "_group").agg(*[c for i in each for c in (
+        F.min_by(f"_head{i}", place(f"_head{i}")).alias(f"_head{i}"), F.max_by(f"_tail{i}", place(f"_tail{i}")).alias(f"_tail{i}"))])
+    groups = groups.withColumn("_era", era).select(*by, "_group", *seek(["_era"], "_group"))
+    groups = groups.withColumnsRenamed({f"_{side}{i}": f"_far_{side}{i}" for i in each for side in ("before", "after")})
+    near = buckets.select(*by, "_group", "_bucket", "_used", *seek(["_group"], "_bucket")).where("_used = 1")
+    return near.join(groups, [*by, "_group"]).select(*by, "_bucket", *[F.coalesce(f"_{side}{i}", f"_far_{side}{i}").alias(f"_{side}{i}") for i in each for side in ("before", "after")])
+
+
+def _chosen(i: int, lookup: Lookup) -> list[Column]:
+    """Time and payload of the nearer of the two rights around a left time."""
+    before, after = F.col(f"_before{i}"), F.col(f"_after{i}")
+    closer = after["_t"] - F.col("_t") < F.col("_t") - before["_t"]
+    choice = F.when(before.isNull() | closer, after).otherwise(before)
     if lookup.tolerance is not None:
-        close = F.abs(F.col("_c._t") - F.col("_t")) < lookup.tolerance
-    return found.where(close).select(
-        *by, "_t", F.col("_c._t").alias(lookup.matched_time), "_c._p.*")
+        choice = F.when(F.abs(choice["_t"] - F.col("_t")) < lookup.tolerance, choice)
+    return [choice["_t"].alias(lookup.matched_time), *[choice["_p"][c].alias(c) for c in lookup.payload]]
 
 
 def reject_invalid(rows: DataFrame, payload: list[str], floors: dict[str, float],

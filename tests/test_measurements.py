@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from noctule import schemas
@@ -220,3 +221,34 @@ def test_history_ignores_what_is_no_number(spark):
     for value in ("nan", "inf", "x", None, float("nan")):
         assert measurements.history(rows, 0, 9, sqm_min=value).count() == 2
     assert measurements.history(rows, 0, 9, sqm_min="10").count() == 1
+
+
+def test_no_timeline_in_one_task(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    plans, stored = [], nearest.stored
+    keep = lambda frame, *name: plans.append(frame._jdf.queryExecution().executedPlan().toString()) or stored(frame, *name)
+    monkeypatch.setattr(nearest, "stored", keep)
+    for name in ("nearest_kp", "enriched_observations"):
+        plans.clear()
+        frame = entry.queries()[name](spark, "/root/testdata/sf0.001")
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        whole = "\n".join(plans)
+        assert "SinglePartition" not in whole
+        # four of them on summaries with a row per bucket or per group of buckets
+        assert whole.count("Exchange hashpartitioning") <= 10, (name, whole)
+
+
+@pytest.mark.parametrize("by", [None, ["s"]])
+def test_nearest_carries_over_empty_groups(spark, by):
+    """Rights lie thousands of buckets from the lefts, before 1970 and after."""
+    import random
+
+    rng = random.Random(5)
+    left = [(i, i % 2, rng.randrange(-10**8, 10**8)) for i in range(300)]
+    right = [(i, i % 2, t) for i, t in enumerate([-99_000_000, -98_999_999, -5, 7, 40_000_000, 40_000_000, 99_999_999] + [rng.randrange(-10**8, 10**8) for _ in range(5)])]
+    a, b = spark.createDataFrame(left, "id int, s int, t long"), spark.createDataFrame(right, "v int, s int, t long")
+    out = {r.id: (r.v, r.matched_time) for r in nearest.nearest(a, b, "t", "t", ["v"], ["v"], by, bucket_seconds=1000).collect()}
+    for i, s, t in left:
+        own = [(abs(u - t), u, v) for v, z, u in right if by is None or z == s]
+        assert out[i] == min(own)[:0:-1]
