@@ -200,3 +200,20 @@ def merge(pixels: DataFrame, frames: DataFrame, settings: Settings = Settings(),
         *[F.sum(F.when(used, F.col(f"lin_{c}") * F.col("cw"))).alias(c) for c in "rgb"])
     return _match_luma(out.select(*SITE, "y_fused", *[
         F.when(F.col("_t") > P.EPS, F.try_divide(F.col(c), F.col("_t"))).alias(c) for c in "rgb"]))
+
+
+def night_median(pixels: DataFrame, frames: DataFrame, value: str, scale: int, amount: float, depth: int = DEPTH) -> DataFrame:
+    """Noise reduction before a merge: medians of radius 1 to ``scale * (k + 1)`` on exposure k.
+
+    Only by night, with gain above 1 and exposure above a second, and never on
+    the longest exposure; other exposures stay.  ``frames`` has exposure, gain
+    and night_mode by (bracket, k)."""
+    noisy = (F.col("night_mode") == 1) & (F.col("exposure") > 1.0) & (F.col("gain") > 1.0) & (F.col("k") > 0)
+    marked = frames.select("bracket", "k", F.coalesce(noisy, F.lit(False)).alias("_noisy"))
+    rows = pixels.join(stored(marked, "noisy"), ["bracket", "k"], "left").withColumn("_noisy", F.coalesce("_noisy", F.lit(False)))
+    out = rows.where(~F.col("_noisy") | (F.col("k") >= depth)).drop("_noisy")
+    for k in range(1, depth):
+        part = rows.where(F.col("_noisy") & (F.col("k") == k)).drop("_noisy")
+        filtered = focal.multiscale_median(part, ["bracket", "k"], value, scale * (k + 1), amount, "_median")
+        out = out.unionByName(filtered.drop(value).withColumnRenamed("_median", value))
+    return out

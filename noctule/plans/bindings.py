@@ -197,7 +197,7 @@ frames8 AS (
 
 
 def bracket_pixels(spark: SparkSession, root: str) -> DataFrame:
-    """4 x 4 brackets of three exposures, the shorter ones darker."""
+    """4 x 4 brackets of three exposures, the shorter ones darker, some pixels transparent."""
     e = table(spark, root, "embeddings").select(
         "vec_id", F.floor(F.col("vec_id") / 3).alias("bracket"), (F.col("vec_id") % 3).cast("int").alias("k"),
         "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
@@ -206,7 +206,8 @@ def bracket_pixels(spark: SparkSession, root: str) -> DataFrame:
     return e.select(
         "bracket", "k", (F.col("p") % 4).cast("int").alias("x"), F.floor(F.col("p") / 4).cast("int").alias("y"),
         *[F.when(black, 0.0).otherwise(P.clamp(_level(F.col("p") + 16 * i) * gain)).alias(c)
-          for i, c in enumerate("rgb")])
+          for i, c in enumerate("rgb")],
+        P.clamp(F.get("embedding", F.col("p") + 48).cast("double") * 4.0 + 0.5).alias("a"))
 
 
 BRACKET = """
@@ -221,7 +222,8 @@ bpixels AS (
          CASE WHEN (p + vec_id) % 29 = 0 THEN 0e0 ELSE
            least(greatest(least(greatest(CAST(embedding[p + 17] AS DOUBLE) + 5e-1, 0e0), 1e0) * f, 0e0), 1e0) END AS g,
          CASE WHEN (p + vec_id) % 29 = 0 THEN 0e0 ELSE
-           least(greatest(least(greatest(CAST(embedding[p + 33] AS DOUBLE) + 5e-1, 0e0), 1e0) * f, 0e0), 1e0) END AS b
+           least(greatest(least(greatest(CAST(embedding[p + 33] AS DOUBLE) + 5e-1, 0e0), 1e0) * f, 0e0), 1e0) END AS b,
+         least(greatest(CAST(embedding[p + 49] AS DOUBLE) * 4e0 + 5e-1, 0e0), 1e0) AS a
   FROM bpixels0)
 """
 
@@ -259,15 +261,16 @@ sites AS (
 
 
 def archive(spark: SparkSession, root: str) -> DataFrame:
-    """Pages as media files; every seventh has no date in its name."""
+    """Pages as media files of five days; every seventh has no date in its name."""
     p = F.col("page_id")
-    stamp = F.concat(F.lit("20240101"), F.lpad((p % 24).cast("string"), 2, "0"),
+    day = F.concat(F.lit("2024010"), (p % 5 + 1).cast("string"))
+    stamp = F.concat(day, F.lpad((p % 24).cast("string"), 2, "0"),
                      F.lpad((p % 60).cast("string"), 2, "0"), F.lit("00"))
     kind = F.when(p % 3 == 0, "image").otherwise("video")
     suffix = F.when(p % 3 == 0, ".jpg").otherwise(".mp4")
     name = F.concat(kind, F.lit("-"), F.when(p % 7 == 0, "x").otherwise(stamp), suffix)
     return table(spark, root, "pages").select(
-        "page_id", F.concat(F.lit("20240101/"), name).alias("path"), name.alias("name"),
+        "page_id", F.concat(day, F.lit("/"), name).alias("path"), name.alias("name"),
         F.length("html").cast("long").alias("length"), kind.alias("kind"))
 
 
@@ -275,12 +278,12 @@ ARCHIVE = """
 archive0 AS (
   SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'image' ELSE 'video' END AS kind,
          CASE WHEN page_id % 3 = 0 THEN '.jpg' ELSE '.mp4' END AS suffix,
-         CASE WHEN page_id % 7 = 0 THEN 'x' ELSE '20240101' || lpad(CAST(page_id % 24 AS VARCHAR), 2, '0')
+         CASE WHEN page_id % 7 = 0 THEN 'x' ELSE '2024010' || (page_id % 5 + 1) || lpad(CAST(page_id % 24 AS VARCHAR), 2, '0')
               || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') || '00' END AS stamp,
          CAST(length(html) AS BIGINT) AS length
   FROM pages),
 archive AS (
-  SELECT page_id, '20240101/' || kind || '-' || stamp || suffix AS path, kind || '-' || stamp || suffix AS name,
+  SELECT page_id, '2024010' || (page_id % 5 + 1) || '/' || kind || '-' || stamp || suffix AS path, kind || '-' || stamp || suffix AS name,
          length, kind FROM archive0)
 """
 

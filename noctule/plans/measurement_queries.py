@@ -161,18 +161,18 @@ def read_header_rows(spark, root):
 @query("read_hourly_arrays", f"""
 SELECT vec_id, CAST(i AS INT) AS pos, CAST({START} + i * 3600 AS BIGINT) AS timestamp,
        {s6('CAST(embedding[i + 1] AS DOUBLE) * 4e1', 'temperature')},
-       CASE WHEN i < 20 THEN round(CAST(embedding[i + 21] AS DOUBLE) * 1e2, 6) + 0e0 END AS humidity,
+       CASE WHEN i < 60 THEN round(CAST(embedding[i + 5] AS DOUBLE) * 1e2, 6) + 0e0 END AS humidity,
        CAST(NULL AS DOUBLE) AS visibility
-FROM embeddings, range(24) t(i)""")
+FROM embeddings, range(64) t(i)""")
 def read_hourly_arrays(spark, root):
     e = b.table(spark, root, "embeddings")
-    hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.date_format(
+    hours = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.date_format(
         F.timestamp_seconds(F.lit(START) + i * 3600), "yyyy-MM-dd'T'HH:mm"))
     # the humidity array is four hours short, others are missing
     docs = e.select("vec_id", F.to_json(F.struct(F.struct(
         hours.alias("time"),
-        F.transform(F.slice("embedding", 1, 24), lambda v: v.cast("double") * 40.0).alias("temperature_2m"),
-        F.transform(F.slice("embedding", 21, 20), lambda v: v.cast("double") * 100.0).alias("relative_humidity_2m"),
+        F.transform("embedding", lambda v: v.cast("double") * 40.0).alias("temperature_2m"),
+        F.transform(F.slice("embedding", 5, 60), lambda v: v.cast("double") * 100.0).alias("relative_humidity_2m"),
     ).alias("hourly"))).alias("doc"))
     rows = feeds.read_hourly(docs, ["vec_id"])
     return rows.select("vec_id", "pos", "timestamp", r6("temperature"), r6("humidity"), "visibility")
@@ -215,7 +215,7 @@ def detection_summary(spark, root):
 
 def _score_docs(spark, root):
     e = b.table(spark, root, "embeddings")
-    scores = F.transform(F.slice("embedding", 1, 10), lambda v: F.round(v.cast("double"), 1))
+    scores = F.transform("embedding", lambda v: F.round(v.cast("double"), 1))
     image = F.concat(F.lit("frame-"), F.col("vec_id").cast("string"))
     return e.select(F.to_json(F.struct(image.alias("image"), scores.alias("result"))).alias("doc"))
 
@@ -224,7 +224,7 @@ SCORES = """
 scores AS (
   SELECT 'frame-' || vec_id AS image, CAST(i AS INT) AS class_idx,
          round(CAST(embedding[i + 1] AS DOUBLE), 1) + 0e0 AS score
-  FROM embeddings, range(10) t(i))
+  FROM embeddings, range(64) t(i))
 """
 
 
@@ -355,7 +355,7 @@ def params_by_mode(spark, root):
 
 @query("archive_listing", f"""
 WITH {b.ARCHIVE}
-SELECT path, length, '20240101' AS day_text, nullif(regexp_extract(path, 'video-([0-9]{{14}})\\.mp4', 1), '') AS stamp,
+SELECT path, length, left(path, 8) AS day_text, nullif(regexp_extract(path, 'video-([0-9]{{14}})\\.mp4', 1), '') AS stamp,
        CAST(epoch(try_strptime(nullif(regexp_extract(path, 'video-([0-9]{{14}})\\.mp4', 1), ''), '%Y%m%d%H%M%S')) AS BIGINT) AS taken
 FROM archive WHERE path LIKE '%.mp4' ORDER BY path""")
 def archive_listing(spark, root):
@@ -388,6 +388,14 @@ def archive_usage(spark, root):
     return archive.usage(b.archive(spark, root), ["kind"]).withColumn("share", r6("share"))
 
 
+@query("archive_usage_by_day", f"""
+WITH {b.ARCHIVE}, u AS (SELECT left(path, 8) AS day_text, kind, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes FROM archive GROUP BY ALL)
+SELECT day_text, kind, files, bytes, {s6('CAST(bytes AS DOUBLE) / (SELECT sum(bytes) FROM u)', 'share')} FROM u""")
+def archive_usage_by_day(spark, root):
+    files = b.archive(spark, root).withColumn("day_text", archive.path_day(F.col("path")))
+    return archive.usage(files, ["day_text", "kind"]).withColumn("share", r6("share"))
+
+
 @query("keep_if_missing", f"""
 WITH {b.ARCHIVE},
 v AS (SELECT path, CAST(epoch(try_strptime(nullif(regexp_extract(path, 'video-([0-9]{{14}})\\.mp4', 1), ''), '%Y%m%d%H%M%S')) AS BIGINT) AS taken

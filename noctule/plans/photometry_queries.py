@@ -230,8 +230,7 @@ _AMBIENCE_ROWS = ", ".join(
     f"('{scene}', {', '.join(f'{int(round(v * 100))}e-2' for v in values)})" for scene, values in ph.AMBIENCE.items())
 
 
-@query("ambience_scales", f"""
-WITH {b.PIXELS}, {FEATURES},
+_AMBIENT = f"""{b.PIXELS}, {FEATURES},
 p AS (SELECT * FROM (VALUES {_AMBIENCE_ROWS}) t(scene, pct, lclip, sclip, sig, mix)),
 used AS (
   SELECT px.frame_id, r, g, b, l, sig, mix FROM px JOIN scenes USING (frame_id) JOIN p USING (scene)
@@ -246,7 +245,11 @@ sums AS (
     avg(b) FILTER (sd <= 0 OR abs(l - m) <= sig * sd) AS bb
   FROM used JOIN band USING (frame_id) GROUP BY 1, 2, 3),
 amb AS (SELECT frame_id, n, n_band, mix, CASE WHEN n_band < 50 THEN ar ELSE br END AS r, CASE WHEN n_band < 50 THEN ag ELSE bg END AS g,
-  CASE WHEN n_band < 50 THEN ab ELSE bb END AS b FROM sums)
+  CASE WHEN n_band < 50 THEN ab ELSE bb END AS b FROM sums)"""
+
+
+@query("ambience_scales", f"""
+WITH {_AMBIENT}
 SELECT frame_id, n, n_band, {', '.join(s6(f'1 + (least(greatest({LUMA} / {c}, 25e-2), 4e0) - 1) * mix', f'scale_{c}') for c in 'rgb')}, 1 AS applied FROM amb""")
 def ambience_scales(spark, root):
     rows = b.pixels(spark, root)
@@ -254,6 +257,19 @@ def ambience_scales(spark, root):
     return scales.select("frame_id", "n", "n_band", *[r6(f"scale_{c}") for c in "rgb"], "applied")
 
 
+_GAINS = ", ".join(f"1 + (least(greatest({LUMA} / {c}, 25e-2), 4e0) - 1) * mix AS s{c}" for c in "rgb")
+
+
+@query("ambience", f"""
+WITH {_AMBIENT}, gains AS (SELECT frame_id, {_GAINS} FROM amb)
+SELECT p.frame_id, p.x, p.y, {', '.join(s6(f"CASE WHEN q.frame_id IS NULL OR abs(sr - 1) < 1e-3 AND abs(sg - 1) < 1e-3 AND abs(sb - 1) < 1e-3 THEN p.{c} ELSE least(greatest(p.{c} * s{c}, 0e0), 1e0) END", c) for c in 'rgb')}
+FROM pixels p LEFT JOIN gains q ON q.frame_id = p.frame_id""")
+def ambience(spark, root):
+    rows = b.pixels(spark, root)
+    out = ph.ambience(rows, ph.ambience_scales(rows, ph.scene_class(ph.scene_features(rows)), W, H))
+    return out.select("frame_id", "x", "y", *[r6(c) for c in "rgb"])
+
+
 # --- levels -----------------------------------------------------------------
 
 def _black_sql():

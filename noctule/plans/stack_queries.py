@@ -8,7 +8,7 @@ from noctule.functions import pixel as P
 from noctule.operators import bracket, focal, photometry, stack, timeline
 from noctule.plans import bindings as b
 from noctule.plans.photometry_queries import LUMA, _median_sql
-from noctule.plans.registry import query, r6, s6
+from noctule.plans.registry import ORACLE, query, r6, s6
 
 W, H = b.FRAME_WIDTH, b.FRAME_HEIGHT
 
@@ -53,6 +53,28 @@ for _mode in _STACKS:
     _register(_mode)
 
 
+@query("stack_motion_segmented", _STACKS["motion"])
+def stack_motion_segmented(spark, root):
+    return stack.stack(b.frames8(spark, root), "motion", 40.0, segment=7)
+
+
+_STEPS = (75, 90, 100, 120)
+
+
+@query("stack_motion_thresholds", f"""
+WITH {b.FRAMES8}, run AS (SELECT *, min(v) OVER (PARTITION BY series, x, y, c ORDER BY seq) AS bg FROM frames8),
+acc AS (SELECT CAST(t AS INT) AS threshold, series, x, y, c, count(*) AS n_frames, sum(CASE WHEN abs(v - bg) >= t THEN CAST(abs(v - bg) AS DOUBLE) ELSE 0e0 END) AS a
+        FROM run, unnest([{', '.join(map(str, _STEPS))}]) s(t) GROUP BY ALL)
+SELECT threshold, series, x, y, c, n_frames,
+  {_byte('CASE WHEN max(a) OVER p > 0 THEN a * (255e0 / max(a) OVER p) ELSE 0e0 END')} FROM acc WINDOW p AS (PARTITION BY threshold, series)""")
+def stack_motion_thresholds(spark, root):
+    out = None
+    for step in _STEPS:
+        one = stack.stack(b.frames8(spark, root), "motion", float(step)).withColumn("threshold", F.lit(step))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("running_stack", f"""
 WITH {b.FRAMES8}, w AS (SELECT series, x, y, c, seq, CAST(sum(v) OVER p AS DOUBLE) / count(*) OVER p AS s FROM frames8
   WINDOW p AS (PARTITION BY series, x, y, c ORDER BY seq))
@@ -61,6 +83,11 @@ def running_stack(spark, root):
     return stack.running_stack(b.frames8(spark, root), "avg")
 
 
+@query("running_stack_segmented", ORACLE["running_stack"])
+def running_stack_segmented(spark, root):
+    return stack.running_stack(b.frames8(spark, root), "avg", segment=7)
+
+
 # --- brackets ---------------------------------------------------------------
 
 def _bracket_frames(pixels):
@@ -72,10 +99,14 @@ def _bracket_frames(pixels):
                           "median_r", "median_g", "median_b")
 
 
-def _weights_sql(contrast):
-    """Weights in SQL, from scratch on the bracket pixels."""
-    ladder = ("CASE WHEN bright < 1e-1 THEN 2e-1 WHEN bright < 15e-2 THEN 3e-1 WHEN bright < 25e-2 THEN 4e-1 "
-              "WHEN bright < 35e-2 THEN 5e-1 ELSE 55e-2 END")
+def _weights_sql(contrast, y_max="1e0"):
+    """Weights in SQL, from scratch on the bracket pixels; without ``y_max`` it is found by bracket."""
+    ladder = ("CASE WHEN y_max >= 1 THEN CASE WHEN bright < 1e-1 THEN 2e-1 WHEN bright < 15e-2 THEN 3e-1 WHEN bright < 25e-2 THEN 4e-1 "
+              "WHEN bright < 35e-2 THEN 5e-1 ELSE 55e-2 END ELSE CASE WHEN bright < 7e-2 THEN 15e-2 WHEN bright < 1e-1 THEN 2e-1 "
+              "WHEN bright < 15e-2 THEN 25e-2 WHEN bright < 25e-2 THEN 3e-1 ELSE 4e-1 END END")
+    top = "CASE WHEN max(l) FILTER (greatest(r, g, b) < 99998e-5 * 95e-2) > 0 THEN max(l) FILTER (greatest(r, g, b) < 99998e-5 * 95e-2) ELSE max(l) END"
+    found = f"""SELECT bracket, CASE WHEN top > 0 THEN CASE WHEN top * 11e-1 < 5e-1 THEN 1e0 WHEN top * 11e-1 > 5e0 THEN 3e0 ELSE top * 11e-1 END ELSE 1e0 END AS y_max
+      FROM (SELECT bracket, {top} AS top FROM ly WHERE NOT masked GROUP BY 1)""" if y_max is None else f"SELECT DISTINCT bracket, {y_max} AS y_max FROM ly"
     return f"""
 bframes AS (SELECT bracket * 3 + k AS frame_id, x, y, r, g, b FROM bpixels),
 {_median_sql('bframes')},
@@ -85,14 +116,15 @@ gn AS (SELECT f.bracket, f.k, z.exposure / f.exposure AS gain, z.median_r / f.me
 br AS (SELECT bracket, avg(2126e-4 * median_r + 7152e-4 * median_g + 722e-4 * median_b) AS bright,
          bool_and(median_r > 0 AND median_g > 0 AND median_b > 0) AS ok FROM fr GROUP BY 1),
 li AS (SELECT p.bracket, p.k, x, y, p.r, p.g, p.b, gain, mg, mg0, bright, p.r * gain * gr AS lr, p.g * gain * gg AS lg, p.b * gain * gb AS lb,
-         (p.r <= 1e-6 AND p.g <= 1e-6 AND p.b <= 1e-6) AS masked
+         (p.r <= 1e-6 AND p.g <= 1e-6 AND p.b <= 1e-6 OR p.a <= 1e-6) AS masked
        FROM bpixels p JOIN gn USING (bracket, k) JOIN br USING (bracket) WHERE ok),
 ly AS (SELECT *, CASE WHEN masked THEN 0e0 ELSE 2126e-4 * lr + 7152e-4 * lg + 722e-4 * lb END AS l FROM li),
 dv AS (SELECT a.bracket, a.k, a.x, a.y, CASE WHEN any_value(a.masked) THEN 0e0 ELSE abs(any_value(a.l) - avg(n.l)) END AS d
        FROM ly a LEFT JOIN ly n ON n.bracket = a.bracket AND n.k = a.k AND abs(n.x - a.x) <= 1 AND abs(n.y - a.y) <= 1 AND NOT n.masked GROUP BY 1, 2, 3, 4),
 cn AS (SELECT bracket, k, x, y, d / greatest(max(d) OVER (PARTITION BY bracket, k), 1e-12) AS cw FROM dv),
-t AS (SELECT ly.*, cw, {ladder} AS center, least((2126e-4 * r + 7152e-4 * g + 722e-4 * b) * gain, 1e0) AS yn,
-        greatest(r, g, b) * gain AS peak, greatest(r, g, b) AS src FROM ly JOIN cn USING (bracket, k, x, y)),
+ym AS ({found}),
+t AS (SELECT *, {ladder} AS center, least((2126e-4 * r + 7152e-4 * g + 722e-4 * b) * gain / y_max, 1e0) AS yn,
+        greatest(r, g, b) * gain AS peak, greatest(r, g, b) AS src FROM (SELECT ly.*, cw, coalesce(y_max, 1e0) AS y_max FROM ly JOIN cn USING (bracket, k, x, y) LEFT JOIN ym USING (bracket))),
 u AS (SELECT *, least(greatest(1 - (src - 99998e-5 * 95e-2) / (99998e-5 - 99998e-5 * 95e-2), 0e0), 1e0) AS ct,
         CASE WHEN k = 1 THEN (l - mg0 * 35e-2) / (mg0 * 35e-2 * 12e-1 - mg0 * 35e-2)
              WHEN k = 2 THEN (l - greatest(mg * 4, 4e-1) * 6e-1) / (greatest(mg * 4, 4e-1) - greatest(mg * 4, 4e-1) * 6e-1) END AS mt FROM t),
@@ -135,21 +167,45 @@ def weight_stats(spark, root):
     return out.select("bracket", "k", *[r6(c) for c in ("min_w", "max_w", "sum_w", "avg_w")])
 
 
-def _merged(spark, root, mode):
+def _merged(spark, root, mode, settings=bracket.Settings()):
     rows = b.bracket_pixels(spark, root)
-    out = bracket.merge(rows, _bracket_frames(rows), mode=mode)
+    out = bracket.merge(rows, _bracket_frames(rows), settings, mode)
     return out.select("bracket", "x", "y", *[r6(c) for c in "rgb"])
 
 
-@query("bracket_merge", f"""
-WITH {b.BRACKET}, {_weights_sql('0e0')},
+def _mean_sql(weights="cw"):
+    """Colour as the mean under the weights ``cwt`` of a table."""
+    return f"""
 m AS (SELECT bracket, x, y, sum(w * l) AS yf, sum(cwt) FILTER (NOT masked AND cwt > 0) AS t, {', '.join(
-    f'sum(l{c} * cwt) FILTER (NOT masked AND cwt > 0) AS {c}' for c in 'rgb')} FROM cw GROUP BY 1, 2, 3),
-col AS (SELECT bracket, x, y, yf, {', '.join(f'CASE WHEN t > 1e-6 THEN {c} / t END AS {c}' for c in 'rgb')} FROM m), {_MATCH}""")
+    f'sum(l{c} * cwt) FILTER (NOT masked AND cwt > 0) AS {c}' for c in 'rgb')} FROM {weights} GROUP BY 1, 2, 3),
+col AS (SELECT bracket, x, y, yf, {', '.join(f'CASE WHEN t > 1e-6 THEN {c} / t END AS {c}' for c in 'rgb')} FROM m), {_MATCH}"""
+
+
+@query("bracket_merge", f"""
+WITH {b.BRACKET}, {_weights_sql('0e0')}, {_mean_sql()}""")
 def bracket_merge(spark, root):
     return _merged(spark, root, 1)
 
 
+@query("bracket_merge_contrast", f"WITH {b.BRACKET}, {_weights_sql('6e-1')}, {_mean_sql()}")
+def bracket_merge_contrast(spark, root):
+    return _merged(spark, root, 1, bracket.Settings(contrast=0.6))
+
+
+@query("bracket_merge_found_range", f"WITH {b.BRACKET}, {_weights_sql('0e0', None)}, {_mean_sql()}")
+def bracket_merge_found_range(spark, root):
+    return _merged(spark, root, 1, bracket.Settings(y_max=0.0))
+
+
+@query("bracket_merge_smooth", f"""
+WITH {b.BRACKET}, {_weights_sql('0e0')},
+near AS (SELECT a.bracket, a.k, a.x, a.y, avg(n.cwt) AS cwt FROM cw a JOIN cw n
+         ON n.bracket = a.bracket AND n.k = a.k AND abs(n.x - a.x) <= 1 AND abs(n.y - a.y) <= 1 GROUP BY 1, 2, 3, 4),
+sm AS (SELECT cw.* EXCLUDE (cwt), near.cwt FROM cw JOIN near USING (bracket, k, x, y)), {_mean_sql('sm')}""")
+def bracket_merge_smooth(spark, root):
+    return _merged(spark, root, 2)
+
+
 @query("bracket_best", f"""
 WITH {b.BRACKET}, {_weights_sql('0e0')},
 m AS (SELECT *, sum(w * l) OVER (PARTITION BY bracket, x, y) AS yf,
@@ -247,10 +303,10 @@ def focal_median(spark, root):
     return out.select("frame_id", "x", "y", r6("median"))
 
 
-def _median_scale(source: str, radius: int) -> str:
+def _median_scale(source: str, radius: int, base: str = "lp") -> str:
     side = 2 * radius + 1
     return f"""n{radius} AS MATERIALIZED (SELECT a.frame_id, a.x, a.y, least(greatest(a.x + k % {side} - {radius}, 0), mx) AS nx, least(greatest(a.y + k // {side} - {radius}, 0), my) AS ny
-      FROM (SELECT frame_id, x, y, unnest(range({side * side})) AS k FROM lp) a JOIN sz ON sz.frame_id = a.frame_id),
+      FROM (SELECT frame_id, x, y, unnest(range({side * side})) AS k FROM {base}) a JOIN sz ON sz.frame_id = a.frame_id),
 m{radius} AS MATERIALIZED (SELECT n.frame_id, n.x, n.y, list_sort(list(v.l))[{side * side // 2 + 1}] AS m FROM n{radius} n JOIN {source} v
       ON v.frame_id = n.frame_id AND v.x = n.nx AND v.y = n.ny GROUP BY 1, 2, 3),
 s{radius} AS MATERIALIZED (SELECT v.frame_id, v.x, v.y, v.l * 3e-1 + m.m * 7e-1 AS l FROM {source} v JOIN m{radius} m ON m.frame_id = v.frame_id AND m.x = v.x AND m.y = v.y)"""
@@ -265,6 +321,21 @@ def focal_median_scales(spark, root):
     return out.select("frame_id", "x", "y", r6("median"))
 
 
+@query("bracket_night_median", f"""
+WITH {b.BRACKET}, lp AS MATERIALIZED (SELECT bracket * 3 + k AS frame_id, x, y, g AS l FROM bpixels), sz AS MATERIALIZED (SELECT frame_id, max(x) AS mx, max(y) AS my FROM lp GROUP BY 1),
+{_median_scale('lp', 1)}, {_median_scale('s1', 2)}, {_median_scale('s2', 3)}
+SELECT lp.frame_id // 3 AS bracket, CAST(lp.frame_id % 3 AS INT) AS k, lp.x, lp.y,
+       round(CASE WHEN (lp.frame_id // 3) % 3 = 0 OR lp.frame_id % 3 = 0 OR (lp.frame_id // 3) % 4 = 0 AND lp.frame_id % 3 = 2 THEN lp.l WHEN lp.frame_id % 3 = 1 THEN s2.l ELSE s3.l END, 6) + 0e0 AS g
+FROM lp JOIN s2 USING (frame_id, x, y) JOIN s3 USING (frame_id, x, y)""")
+def bracket_night_median(spark, root):
+    rows = b.bracket_pixels(spark, root)
+    # by night two brackets of three; of every fourth bracket the last exposure is a second long
+    exposure = F.when(F.col("bracket") % 4 == 0, 4.0).otherwise(8.0) / F.pow(F.lit(2.0), "k")
+    frames = rows.select("bracket", "k").distinct().withColumns({"exposure": exposure, "gain": F.lit(20.0), "night_mode": (F.col("bracket") % 3 != 0).cast("int")})
+    out = bracket.night_median(rows.select("bracket", "k", "x", "y", "g"), frames, "g", 1, 0.7)
+    return out.select("bracket", "k", "x", "y", r6("g"))
+
+
 _SIZE, _SIGMA, _SCORE_LIMIT = 5, 1.0, 0.3
 
 SCORE = f"""

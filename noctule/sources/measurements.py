@@ -64,13 +64,14 @@ def insert(spark: SparkSession, rows: DataFrame, root: str, kind: str,
            arrival: Column | None = None) -> None:
     """Append the rows that are new to the stored table.
 
-    Only the span of days the rows fall on is listed, and of it only their own
-    days are kept; an anti join prunes nothing by itself."""
+    Of a long history only the rows' own days are listed, and of these only
+    the row groups between the rows' first and last time are read: files are
+    sorted by time.  An anti join prunes nothing by itself."""
     days = rows.select(text.epoch_to_day(F.col("timestamp")).alias("day")).distinct()
-    first, last = days.agg(F.min("day"), F.max("day")).first()
+    first, last, begin, end = rows.agg(F.min(text.epoch_to_day(F.col("timestamp"))), F.max(text.epoch_to_day(F.col("timestamp"))), F.min("timestamp"), F.max("timestamp")).first()
     try:
         existing = spark.read.schema(schemas.MEASUREMENTS[kind]).parquet(f"{root}/{kind}")
-        existing = existing.where(F.col("day").between(F.lit(first), F.lit(last))).join(days, "day", "left_semi").select(*KEY)
+        existing = existing.where(F.col("day").between(F.lit(first), F.lit(last)) & F.col("timestamp").between(begin, end)).join(days, "day", "left_semi").select(*KEY)
     except AnalysisException as error:  # the first write finds no folder yet
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

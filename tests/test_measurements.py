@@ -252,3 +252,13 @@ def test_nearest_carries_over_empty_groups(spark, by):
     for i, s, t in left:
         own = [(abs(u - t), u, v) for v, z, u in right if by is None or z == s]
         assert out[i] == min(own)[:0:-1]
+
+
+def test_inserts_read_what_lies_between_their_rows(spark, tmp_path, monkeypatch):
+    root, day, plans = str(tmp_path), 86400, []
+    measurements.insert(spark, image_rows(spark, *[(1, 60 * i) for i in range(3000)]), root, "image")
+    insert = measurements.insert_if_absent
+    monkeypatch.setattr(measurements, "insert_if_absent", lambda existing, *rest: plans.append(existing._jdf.queryExecution().executedPlan().toString()) or insert(existing, *rest))
+    measurements.insert(spark, image_rows(spark, (1, day + 59), (1, day + 60), (1, day + 121)), root, "image")
+    assert f"GreaterThanOrEqual(timestamp,{day + 59})" in plans[0] and f"LessThanOrEqual(timestamp,{day + 121})" in plans[0] and "1970-01-02" in plans[0]
+    assert spark.read.parquet(f"{root}/image").count() == 3002
