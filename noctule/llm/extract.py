@@ -5,7 +5,7 @@ runs below it.  Every run gives its block points for length and commas, less
 where it is links; they go to the enclosing container, half to the next one
 and less further up.  The container with most points, discounted by its share
 of link text, is the article, together with siblings that score near it or
-read as prose.  Menus, page headers and footers, sidebars, notices, adverts,
+read as prose, and the heading before it.  Menus, page headers and footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are never part of it.  Names alone
 do not drop what holds the page's articles or most of its text.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as K
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/](?![a-zA-Z])[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</(?![a-zA-Z])[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +45,7 @@ COMMENTS = frozenset("comment comments commentlist disqus respond replies".split
 MODIFIERS, STATES = frozenset("has have with without no not".split()), frozenset("open closed enabled disabled on off".split())
 #: Elements that names cannot drop.
 KEPT = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PAGE_HEADER = frozenset(("header", "topbar"))
 POINTS_AT, PROSE = 25, 80
 
@@ -260,9 +261,29 @@ def article(source: str, by_name: bool) -> str:
             prose = page.tags[i] == "p" and (density(i) < 0.25 if len(text) > PROSE else text.endswith(".") and density(i) == 0)
             if prose or value.get(i, 0.0) >= near > 0:
                 runs.update(range(page.first[i], page.last[i]))
+    if parent >= 0:  # headings between siblings that are kept
+        span = range(min(runs, default=0), max(runs, default=-1))
+        runs.update(i for i in span if page.parents[page.blocks[i]] == parent and page.tags[page.blocks[i]] in HEADINGS and 2 * page.links[i] < len(page.texts[i]))
+    runs.update(titles(page, runs))
     return " ".join(page.texts[i] for i in sorted(runs))
 
 
+def titles(page: Page, runs: set[int]) -> list[int]:
+    """Runs of the headings an article without an h1 of its own begins with: those right before it, and the last h1 before it."""
+    plain = lambda i: 2 * page.links[i] < len(page.texts[i])
+    tag = lambda i: page.tags[page.blocks[i]]
+    if any(tag(i) == "h1" and plain(i) for i in runs):
+        return []
+    out, at = [], min(runs, default=0) - 1
+    while at >= 0 and tag(at) in HEADINGS and plain(at) and not (out and tag(out[-1]) == "h1" and page.blocks[at] != page.blocks[out[-1]]):
+        out.append(at)
+        at -= 1
+    if not any(tag(i) == "h1" for i in out):
+        last = next((i for i in range(at, -1, -1) if tag(i) == "h1" and plain(i)), None)
+        out += [i for i in range(at + 1) if last is not None and page.blocks[i] == page.blocks[last]]
+    return out
+
+
 def main_text(source: str | None) -> str:
     """The article; if names of classes leave nothing, they are not heeded."""
     return (article(source, True) or article(source, False)) if source else ""
