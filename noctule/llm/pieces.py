@@ -19,6 +19,8 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,16 @@ class Vocabulary:
     prefix: bool
     squeeze: bool
 
+    @cached_property
+    def walk(self) -> dict[int, tuple[int, int]]:
+        """The trie as (node, character) to the next node and its piece, for one character at a time."""
+        used = self.keys != FREE
+        nodes = self.nodes[used]
+        return dict(zip(self.keys[used].tolist(), zip(nodes.tolist(), self.terminal[nodes].tolist())))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "walk"}
+
 
 def hashed(keys: np.ndarray, size: int) -> np.ndarray:
     k = keys.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
@@ -154,10 +166,9 @@ def step(vocabulary: Vocabulary, node: np.ndarray, code: np.ndarray) -> np.ndarr
     return out
 
 
-def edges(vocabulary: Vocabulary, codes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, start, id) of all pieces in the text; none goes beyond its lane's end."""
-    start = np.arange(len(codes))
-    node = np.zeros(len(codes), "i4")
+def edges(vocabulary: Vocabulary, codes: np.ndarray, ends: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, start, id) of all pieces that begin at these places; none goes beyond its lane's end."""
+    node = np.zeros(len(start), "i4")
     for length in range(1, vocabulary.longest + 1):
         inside = start + length <= ends[start]
         start, node = start[inside], node[inside]
@@ -175,36 +186,41 @@ class Stream:
 
     ``window`` holds the scores of the last positions, as many as the longest
     piece is long: no path that is still alive can have left them.  Back
-    pointers are kept from the committed boundary on; ``settle`` commits what
-    the paths to all positions of the window share, and forgets it.
+    pointers are kept from the committed boundary on; ``settle`` commits up to
+    the last boundary that the paths to all positions still alive share, and
+    forgets it.  It is tried when what is open has doubled, so that paths that
+    never meet cost no more than those that do.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+        self.v, self.walk, self.score = vocabulary, vocabulary.walk, vocabulary.score.tolist()
         self.window: dict[int, float] = {0: 0.0}
         self.back: dict[int, tuple[int, int]] = {}
         self.open: list[tuple[int, int]] = []
         self.at = self.committed = 0
+        self.next = LANE
 
     def push(self, code: int) -> list[tuple[int, int]]:
         """Take a character; returns the (start, id) that are settled by it."""
-        v, begin, now = self.v, self.at, self.at + 1
-        walks, self.open = [*self.open, (begin, 0)], []
-        best, back, single = -np.inf, None, False
-        for start, node in walks:
-            node = int(step(v, np.array([node], "i4"), np.array([code], "i8"))[0])
-            if node:
-                self.open.append((start, node))
-                piece = int(v.terminal[node])
+        v, walk, window, begin, now = self.v, self.walk, self.window, self.at, self.at + 1
+        self.open.append((begin, 0))
+        still, best, back, single = [], -np.inf, None, False
+        for start, node in self.open:
+            reached = walk.get(node << 21 | code)
+            if reached:
+                node, piece = reached
+                still.append((start, node))
                 if piece >= 0:
                     single |= start == begin
-                    if self.window[start] + v.score[piece] > best:
-                        best, back = self.window[start] + v.score[piece], (start, piece)
-        if not single and self.window[begin] + v.unknown_score > best:
-            best, back = self.window[begin] + v.unknown_score, (begin, -1)
-        self.window[now], self.back[now], self.at = best, back, now
-        self.window.pop(now - v.longest, None)
-        return self.settle() if now % LANE == 0 else []
+                    value = window[start] + self.score[piece]
+                    if value > best:
+                        best, back = value, (start, piece)
+        if not single and window[begin] + v.unknown_score > best:
+            best, back = window[begin] + v.unknown_score, (begin, -1)
+        self.open = still
+        window[now], self.back[now], self.at = best, back, now
+        window.pop(now - v.longest, None)
+        return self.settle() if now - self.committed >= self.next else []
 
     def path(self, end: int) -> list[tuple[int, int]]:
         out = []
@@ -214,19 +230,24 @@ class Stream:
         return out[::-1]
 
     def settle(self) -> list[tuple[int, int]]:
+        """Follow the path that reaches furthest back by one piece at a time until one boundary is left."""
         live = {self.at, *(start for start, _ in self.open)}
-        paths = [self.path(end) for end in live]
-        shared = 0
-        while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
-            shared += 1
-        return self.commit(paths[0], shared, min(live))
-
-    def commit(self, path: list[tuple[int, int]], shared: int, least: int) -> list[tuple[int, int]]:
-        if shared:
-            self.committed = path[shared][0] if shared < len(path) else least
-            for end in [e for e in self.back if e <= self.committed]:
-                del self.back[end]
-        return path[:shared]
+        heap = [-x for x in live]
+        heapify(heap)
+        while len(live) > 1:
+            end = -heappop(heap)
+            live.remove(end)
+            before = self.back[end][0]
+            if before not in live:
+                live.add(before)
+                heappush(heap, -before)
+        shared = live.pop()
+        done = self.path(shared)
+        for end in range(self.committed + 1, shared + 1):
+            del self.back[end]
+        self.committed = shared
+        self.next = max(LANE, 2 * (self.at - shared))
+        return done
 
     def finish(self) -> list[tuple[int, int]]:
         return self.path(self.at)
@@ -260,9 +281,7 @@ def segment(vocabulary: Vocabulary, codes: np.ndarray, breaks: np.ndarray) -> tu
             if bounds[o] < bounds[o + 1]:
                 by_step[o].append((length, start[bounds[o]:bounds[o + 1]], piece[bounds[o]:bounds[o + 1]]))
 
-    for length, start, piece in edges(vocabulary, codes, ends):
-        keep = short[start]
-        start, piece = start[keep], piece[keep]
+    for length, start, piece in edges(vocabulary, codes, ends, np.flatnonzero(short)):
         if length == 1:
             bare[start] = False
         sort_in(length, start, piece)
@@ -285,8 +304,8 @@ def segment(vocabulary: Vocabulary, codes: np.ndarray, breaks: np.ndarray) -> tu
         at, floor = start[start > floor], floor[start > floor]
     for a, s in zip(first[long], size[long]):
         stream = Stream(vocabulary)
-        for i in range(s):
-            for start, piece in stream.push(int(codes[a + i])):
+        for code in codes[a:a + s].tolist():
+            for start, piece in stream.push(code):
                 mark[a + start], ids[a + start] = True, piece
         for start, piece in stream.finish():
             mark[a + start], ids[a + start] = True, piece
@@ -305,34 +324,79 @@ def prepare(vocabulary: Vocabulary, text: str) -> str:
     return text
 
 
+def coded(text: str) -> np.ndarray:
+    """Characters of a prepared text, blanks as marks."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype("i8")
+    codes[codes == ord(MARK)] = OWN_MARK
+    codes[codes == 32] = ord(MARK)
+    return codes
+
+
+def spelled(vocabulary: Vocabulary, codes: np.ndarray, found: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with characters without a piece as bytes, and where each comes from."""
+    if not (ids < 0).any():
+        return found, ids
+    width, out = np.ones(len(ids), "i8"), []
+    for k in np.flatnonzero(ids < 0):
+        code = codes[found[k]]
+        raw = chr(min(code, 0x10FFFF)).encode() if code != OWN_MARK else MARK.encode()
+        out.append(vocabulary.byte_ids[list(raw)])
+        width[k] = len(raw)
+    wide = np.repeat(ids, width)
+    wide[np.repeat(ids < 0, width)] = np.concatenate(out)
+    return np.repeat(found, width), wide
+
+
+def long_text(vocabulary: Vocabulary, text: str) -> Iterator[np.ndarray]:
+    """Ids of a text longer than a block, block by block: a block ends where a lane does.
+
+    A lane that fills a block goes through one ``Stream`` until it ends.
+    """
+    none, at, stream = np.array([0]), 0, None
+    while at < len(text):
+        codes = coded(text[at:at + BLOCK + 1])
+        last = at + BLOCK >= len(text)
+        first = lanes(vocabulary, codes, none)[1:]  # where lanes begin, behind the first
+        if stream is None and (last or len(first)):
+            size = len(codes) if last else int(first[-1])
+            yield spelled(vocabulary, codes[:size], *segment(vocabulary, codes[:size], none))[1]
+        else:
+            stream = stream or (Stream(vocabulary), at)
+            whole, begin = stream
+            size = int(first[0]) if len(first) else len(codes) if last else BLOCK
+            done = [x for code in codes[:size].tolist() for x in whole.push(code)]
+            if len(first) or last:
+                done += whole.finish()
+                stream = None
+            if done:
+                start, ids = (np.array(x) for x in zip(*done, strict=True))
+                low = begin + int(start[0])
+                yield spelled(vocabulary, coded(text[low:begin + int(start[-1]) + 1]), start - start[0], ids)[1]
+        at += size
+
+
 def encode(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and how many each text has."""
     ready = [prepare(vocabulary, t) if t else "" for t in texts]
     counts, parts = np.zeros(len(texts), "i8"), []
     at = 0
     while at < len(ready):
+        if len(ready[at]) > BLOCK:
+            for ids in long_text(vocabulary, ready[at]):
+                counts[at] += len(ids)
+                parts.append(ids.astype("i4"))
+            at += 1
+            continue
         stop, size = at, 0
-        while stop < len(ready) and (stop == at or size + len(ready[stop]) <= BLOCK):
+        while stop < len(ready) and size + len(ready[stop]) <= BLOCK:
             size += len(ready[stop])
             stop += 1
         lengths = np.array([len(t) for t in ready[at:stop]])
-        codes = np.frombuffer("".join(ready[at:stop]).encode("utf-32-le", "surrogatepass"), "<u4").astype("i8")
+        codes = coded("".join(ready[at:stop]))
         if len(codes):
-            codes[codes == ord(MARK)] = OWN_MARK
-            codes[codes == 32] = ord(MARK)
             breaks = np.cumsum(lengths) - lengths
-            found, ids = segment(vocabulary, codes, breaks[lengths > 0])
-            owner = np.repeat(np.arange(at, stop), lengths)[found]
-            if (ids < 0).any():
-                found_codes, width, out = codes[found], np.ones(len(ids), "i8"), []
-                for k in np.flatnonzero(ids < 0):
-                    raw = chr(min(found_codes[k], 0x10FFFF)).encode() if found_codes[k] != OWN_MARK else MARK.encode()
-                    out.append(vocabulary.byte_ids[list(raw)])
-                    width[k] = len(raw)
-                wide = np.repeat(ids, width)
-                wide[np.repeat(ids < 0, width)] = np.concatenate(out)
-                ids, owner = wide, np.repeat(owner, width)
-            counts += np.bincount(owner, minlength=len(texts))
+            found, ids = spelled(vocabulary, codes, *segment(vocabulary, codes, breaks[lengths > 0]))
+            counts += np.bincount(np.repeat(np.arange(at, stop), lengths)[found], minlength=len(texts))
             parts.append(ids.astype("i4"))
         at = stop
     return np.concatenate(parts) if parts else np.array([], "i4"), counts
@@ -349,7 +413,8 @@ def add_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Data
 
     NULL texts have NULL ids and round_trip, empty texts no ids.  Repeated
     rows are encoded alike, columns of the added names are replaced.  A worker
-    holds the texts of one Arrow batch and the lattice of one block.
+    holds the texts and ids of one Arrow batch and the lattice of one block;
+    a text longer than a block is cut where a lane ends.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kept = docs.drop("ids", "round_trip")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -248,3 +249,33 @@ def test_exact_round_trip(spark, vocabulary):
     out = pieces.add_text(coded.withColumnRenamed("text", "was"), vocabulary).collect()
     assert all(r["text"] == r["was"] and (r["round_trip"] is None) == (r["was"] is None) and r["round_trip"] is not False for r in out)
     assert len(out) == len(rows) and pieces.add_ids(spark.createDataFrame([], "text string"), vocabulary).collect() == []
+
+
+@pytest.mark.parametrize("block, lane", [(64, 8), (17, 64), (200, 16), (1, 4)])
+def test_long_texts_are_cut_into_blocks(vocabulary, monkeypatch, block, lane):
+    rng = random.Random(block)
+    texts = ["".join(rng.choice("ab =-é▁\n x中") for _ in range(rng.randrange(900))) for _ in range(25)] + ["=" * 700 + "a b" * 200, "", None, "-" * 1000, "e" * 64, "▁" * 70]
+    want = pieces.encode(vocabulary, texts)
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    monkeypatch.setattr(pieces, "LANE", lane)
+    got = pieces.encode(vocabulary, texts)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+@pytest.mark.parametrize("char", ["-", "=", "a", " ", "é"])
+def test_a_run_of_one_character_takes_time_in_proportion(vocabulary, char):
+    took = {}
+    for n in (20_000, 200_000):
+        begin = time.process_time()
+        ids, _ = pieces.encode(vocabulary, ["x" + char * n + "x"])
+        took[n] = time.process_time() - begin
+        assert pieces.decode(vocabulary, ids.tolist()).count(char) == n or char == " "
+    assert took[200_000] < 30 * took[20_000] + 1 and took[200_000] < 10
+
+
+def test_a_stream_keeps_a_window_and_what_is_open(vocabulary):
+    stream = pieces.Stream(vocabulary)
+    rng = random.Random(2)
+    for k in range(20_000):
+        stream.push(ord(rng.choice("thean")))
+        assert len(stream.window) <= vocabulary.longest + 1 and len(stream.back) <= 4 * pieces.LANE
