@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from noctule.llm import langid, quality
 from noctule.session import stored
@@ -50,3 +52,30 @@ def test_stages(spark):
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.read.parquet(f"{ROOT}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_take_what_comes(spark):
+    """Nulls, empty and long texts, repeated rows, and columns named like those that stages add."""
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").limit(120)
+    schema = docs.schema
+    text = docs.where("lang = 'en'").first()["text"]
+    odd = [(None, text, None, None, None), (9001, None, "en", "s", None), (9002, "", "en", "s", 0), (9003, " \n ", None, "s", 3), (9004, "123 456 " * 20, "en", None, 1),
+           (9005, text, "en", "s", 1), (9005, text, "en", "s", 1), (9006, (text + " ") * 400, "en", "s", 1)]
+    names = ["score", "lang_pred", "kept", "n_words", "size", "target", "taken", "_key", "_source", "_of", "fp", "id", "ids", "a.b", "row"]
+    mixed = docs.unionByName(spark.createDataFrame(odd, schema))
+    for i, name in enumerate(names):
+        mixed = mixed.withColumn(name, F.concat(F.lit(f"{i} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stored(stage(spark, mixed, ROOT))
+        rows = out.collect()
+        assert rows
+        if number == len(corpus_pipeline.STAGES) - 1:
+            assert len(rows) == mixed.count()
+            break
+        assert out.columns == mixed.columns and out.schema.fieldNames() == mixed.schema.fieldNames()
+        assert all(r[name] == f"{i} {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for i, name in enumerate(names))
+        if number == 0:
+            assert not {9001, 9002, 9003, 9004} & {r["doc_id"] for r in rows} and {9005, 9006} <= {r["doc_id"] for r in rows}
+        if number == 2:
+            assert sum(r["doc_id"] == 9005 for r in rows) <= 1
+        mixed = out
