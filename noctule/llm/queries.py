@@ -116,24 +116,29 @@ def license_sql() -> str:
     """The scan in SQL: sentences by a map, rules by replacing what they consume."""
     known = ", ".join(f"'{s}': '{name}'" for name, s in licenses.SENTENCES.items())
     plain = r"trim(regexp_replace(lower(s), '[^\p{L}\p{N}]+', ' ', 'g'))"
-    for pattern, put in ((r"^copyright .*all rights reserved$", "copyright all rights reserved"), (r"^copyright .*$", "copyright")):
-        plain = f"CASE WHEN regexp_matches({plain}, '{pattern}') AND {plain} <> 'copyright all rights reserved' THEN '{put}' ELSE {plain} END"
-    cut = r"list_filter(string_split(regexp_replace({}, '([.!?;:])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(lower(s), '{}'))"
+    for pattern, put in (licenses.GRANT, licenses.WAIVER):
+        plain = f"regexp_replace({plain}, '{pattern}', '{put}')"
+    # copyright lines, of which those with all rights reserved are not reduced further
+    plain = f"regexp_replace(regexp_replace({plain}, '^copyright .*all rights reserved$', 'COPYRIGHT'), '^copyright .*$', 'copyright')"
+    plain = f"replace({plain}, 'COPYRIGHT', 'copyright all rights reserved')"
+    cut = rf"list_filter(string_split(regexp_replace(regexp_replace({{}}, '{licenses.TAG}', '\1', 'g'), '([.!?;:])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(lower(s), '{{}}'))"
     joined = r"replace(replace(regexp_replace(text, '\n\s*\n', chr(1), 'g'), chr(10), ' '), chr(1), chr(10))"
     ids = lambda text: f"list_filter(list_transform({cut.format(text, licenses.ANCHOR)}, lambda s: known[{plain}]), lambda x: x IS NOT NULL)"
-    left, names = "'|' || array_to_string(ids, '||') || '|'", []
-    for name, rule in licenses.RULES:
-        own = "|" + "||".join(rule) + "|"
-        names.append(f"CASE WHEN contains({left}, '{own}') THEN '{name}' END")
-        left = f"replace({left}, '{own}', '|.|')"
+    claims = lambda c: f"(len(list_filter({c}, lambda x: x NOT IN ('Notice', 'Reserved', 'AllRights'))), len({c}))"
+    left = "'|' || array_to_string(ids, '||') || '|'"
+    rules = "[" + ", ".join(f"{{'own': '|{'||'.join(rule)}|', 'name': '{name}'}}" for name, rule in licenses.RULES) + "]"
     return f"""
-WITH k AS (SELECT MAP {{{known}}} AS known),
+WITH RECURSIVE k AS (SELECT MAP {{{known}}} AS known, {rules} AS rules),
 p AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{licenses.ANCHOR}') THEN {ids('text')} END AS a,
              CASE WHEN regexp_matches(lower(text), '{licenses.ANCHOR}') THEN {ids(joined)} END AS b FROM documents, k),
-i AS (SELECT doc_id, coalesce(CASE WHEN len(b) > len(a) THEN b ELSE a END, []) AS ids FROM p),
-n AS (SELECT doc_id, ids, CASE WHEN len(ids) > 0 THEN list_filter([{', '.join(names)}], lambda x: x IS NOT NULL) ELSE [] END AS names,
-             CASE WHEN len(ids) > 0 THEN len(list_filter(string_split({left}, '|'), lambda x: x NOT IN ('', '.', 'Notice'))) ELSE 0 END AS n_unmatched FROM i)
-SELECT doc_id, coalesce(array_to_string(list_filter(names, lambda x, i: i = 1 OR x <> names[i - 1]), '|'), '') AS licenses, len(ids) AS n_known, n_unmatched FROM n
+i AS (SELECT row_number() OVER () AS row, doc_id, coalesce(CASE WHEN {claims('b')} > {claims('a')} THEN b ELSE a END, []) AS ids FROM p),
+e AS (SELECT row, doc_id, ids, 0 AS step, {left} AS rest, CAST([] AS VARCHAR[]) AS names FROM i WHERE len(ids) > 0
+      UNION ALL
+      SELECT row, doc_id, ids, step + 1, replace(rest, rules[step + 1].own, '|.|'), CASE WHEN contains(rest, rules[step + 1].own) THEN list_append(names, rules[step + 1].name) ELSE names END
+      FROM e, k WHERE step < len(rules)),
+d AS (SELECT row, names, len(list_filter(string_split(rest, '|'), lambda x: x NOT IN ('', '.', 'Notice'))) AS n_unmatched FROM e WHERE step = {len(licenses.RULES)})
+SELECT doc_id, coalesce(array_to_string(list_filter(names, lambda x, n: n = 1 OR NOT list_contains(names[:n - 1], x)), '|'), '') AS licenses, len(ids) AS n_known, coalesce(n_unmatched, 0) AS n_unmatched
+FROM i LEFT JOIN d USING (row)
 """
 
 

@@ -258,6 +258,17 @@ NOTICES = [
     (GNU.format("program", ";", "", ";", "2"), "GPL-2.0-or-later"), (GNU.format("program", ":", "", ",", "3"), "GPL-3.0-or-later"), (GNU.format("program", ";", "", ";", "3"), "GPL-3.0-or-later"),
     (GNU.format("program", ";", "", ",", "2"), "GPL-2.0-or-later"), (GNU.format("library", ";", "Lesser ", ";", "2.1"), "LGPL-2.1-or-later"), (GNU.format("library", ":", "Lesser ", ",", "2.1"), "LGPL-2.1-or-later"),
     (GNU.format("program", ";", "", ";", "2").split("\n\nThis program is dist")[0], "GPL-2.0-or-later"), (MPL.replace("2.0", "1.1"), ""),
+    *((GNU.format(what, ";", title, ",", version).replace(f"Foundation, either version {version} of the License, or\n(at your option) any later version.", "Foundation.").replace(
+        "Public License as published", f"Public License version {version} as published"), name)
+      for what, title, version, name in (("program", "", "2", "GPL-2.0"), ("program", "", "3", "GPL-3.0"), ("library", "Lesser ", "2.1", "LGPL-2.1"), ("program", "Lesser ", "3", "LGPL-3.0"), ("program", "Affero ", "3", "AGPL-3.0"))),
+    (GNU.format("program", ":", "Affero ", ",", "3"), "AGPL-3.0-or-later"), (GNU.format("library", ";", "Lesser ", ",", "3"), "LGPL-3.0-or-later"),
+    ("Copyright 2020 X\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.", "0BSD"),
+    ("Copyright (c) 2020 X\n\nThis software is provided 'as-is', without any express or implied warranty.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", "Zlib"),
+    ("Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the \"Software\") to use, reproduce, display, distribute,\n"
+     "execute, and transmit the Software, and to prepare derivative works of the\nSoftware, and to permit third-parties to whom the Software is furnished to\ndo so, all subject to the following:", "BSL-1.0"),
+    ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("To the extent possible under law, Some One has waived all copyright and related or neighboring rights to This Work.", "CC0-1.0"),
     ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
     ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
 ]
@@ -281,3 +292,31 @@ def test_every_rule_on_its_notice(spark):
 def test_a_wrapped_grant_below_a_notice_in_two_lines(spark):
     text = "Copyright 2020 X\nAll rights reserved.\n\nThis work is licensed under a Creative Commons\nAttribution 4.0 International License."
     assert licenses.scan(spark.createDataFrame([(text,)], "text string")).first()["licenses"] == "CC-BY-4.0|Proprietary"
+    link = duckdb.connect()
+    link.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    link.execute("INSERT INTO documents VALUES (1, ?)", [text])
+    assert link.execute(license_sql()).fetchall()[0][1] == "CC-BY-4.0|Proprietary"
+
+
+PROBES = [
+    ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("# SPDX-License-Identifier:MIT\nimport x", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0"), ("// spdx-license-identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"),
+    ("SPDX-License-Identifier: 0BSD", "0BSD"), ("SPDX-License-Identifier: LicenseRef-Own", ""), ("MIT License", "MIT"), ("MIT License\n\nCopyright (c) 2020 X\n\n" + MIT.split("\n\n", 1)[-1], "MIT"),
+    ("This file is released under the MIT license.", "MIT"), ("All source code of this project is licensed under the terms of the BSD 3-Clause License.", "BSD-3-Clause"), ("It is distributed under the GPLv2.", "GPL-2.0"),
+    ("The library is available under the Mozilla Public License 2.0.", "MPL-2.0"), ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", "Apache-2.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy", "GPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "LGPL-2.1"), ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "LGPL-3.0"), ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"),
+    ("Released under the license.", ""), ("The MIT people are licensed drivers.", ""), ("This software is provided by us.", "")]
+
+
+def test_tags_headings_and_short_grants(spark):
+    rows = list(enumerate(t for t, _ in PROBES)) + [(100, None), (101, "Licensed under CC BY 4.0. " + "words " * 200_000 + "\nMIT License"), (102, "MIT License"), (102, "MIT License")]
+    table = spark.createDataFrame(rows, "i int, text string")
+    for name in ("_pair", "_ids", "_eaten", "row", "licenses"):
+        table = table.withColumn(name, F.lit("own"))
+    out = licenses.scan(table).orderBy("i").collect()
+    assert [r["licenses"] for r in out] == [name for _, name in PROBES] + ["", "MIT|CC-BY-4.0", "MIT", "MIT"] and {r["_ids"] for r in out} == {r["row"] for r in out} == {"own"}
+    assert len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES)
+    link = duckdb.connect()
+    link.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    link.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(link.execute(license_sql()).fetchall()) == sorted((r["i"], r["licenses"], r["n_known"], r["n_unmatched"]) for r in out)
