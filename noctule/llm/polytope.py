@@ -2,8 +2,11 @@
 
 Three sign flips, each followed by a fast Hadamard transform, turn a unit
 vector pseudo-randomly; its bucket is the signed axis it comes nearest to.
-Every vector lies in one bucket per table, a query looks into the buckets of
-its ``probes`` nearest axes, and candidates are ranked by their exact cosine.
+Every vector lies in one bucket per table, a query looks into its ``probes``
+nearest buckets, and candidates are ranked by their exact cosine.  A bucket of a
+table is told by as many hashes as the number of vectors needs for buckets of
+about ``BUCKET`` rows, so buckets do not grow with the table; tables and probes
+grow with the hashes to hold the recall.
 
 Vectors and queries of a bucket meet in blocks of bounded size on both sides,
 so a bucket with a third of all rows is many tasks, no task holds more than a
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from noctule.session import stored
 
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
+#: Rows that a bucket is meant to hold; beyond these on average another hash tells buckets apart.
+BUCKET = 8192
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -63,7 +68,27 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
         .where(F.col("id").isNotNull() & (F.col("d") > 0) & ~bad & (size > 0) & (size < float("inf")))
 
 
-def hashed(rows: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
+def buckets(near: list[np.ndarray], probes: int) -> np.ndarray:
+    """The ``probes`` nearest buckets of each row from its closeness to the axes of each hash, the nearest first.
+
+    A bucket is a tuple of axes, as one number; its distance is what its axes fall short of the nearest ones, squared.
+    """
+    width = near[0].shape[1]
+    if probes == 1:
+        return sum(x.argmax(1).astype("i8") * width ** k for k, x in enumerate(near))[:, None]
+    most = min(probes, width)
+    loss, code = np.zeros((len(near[0]), 1)), np.zeros((len(near[0]), 1), "i8")
+    for k, x in enumerate(near):
+        axes = np.argsort(-x, axis=1, kind="stable")[:, :most]
+        close = np.take_along_axis(x, axes, 1)
+        loss = (loss[:, :, None] + ((close[:, :1] - close) ** 2)[:, None, :]).reshape(len(x), -1)
+        code = (code[:, :, None] + (axes.astype("i8") * width ** k)[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(loss, axis=1, kind="stable")[:, :probes]
+        loss, code = np.take_along_axis(loss, best, 1), np.take_along_axis(code, best, 1)
+    return code
+
+
+def hashed(rows: DataFrame, tables: int, probes: int, seed: int, hashes: int = 1) -> DataFrame:
     """One row per table and probe: (t, axis, id, v, d), probes in order of closeness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,16 +99,23 @@ def hashed(rows: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
                 x = matrix(part.column("v"), d)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 for t in range(tables):
-                    near = signed_axes(x, t, seed)
-                    most = min(probes, near.shape[1])
-                    best = near.argmax(1)[:, None] if most == 1 else np.argsort(-near, axis=1, kind="stable")[:, :most]
-                    rows = part.take(pa.array(np.repeat(np.arange(len(x)), most)))
+                    best = buckets([signed_axes(x, t * hashes + k, seed) for k in range(hashes)], probes)
+                    rows = part.take(pa.array(np.repeat(np.arange(len(x)), best.shape[1])))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), t, "i4")), pa.array(best.ravel().astype("i4")), rows.column("id"), rows.column("v"), rows.column("d")],
+                        [pa.array(np.full(len(rows), t, "i4")), pa.array(best.ravel()), rows.column("id"), rows.column("v"), rows.column("d")],
                         names=["t", "axis", "id", "v", "d"])
 
     kind = dict(rows.dtypes)["v"]
-    return rows.mapInArrow(run, f"t int, axis int, id long, v {kind}, d int")
+    return rows.mapInArrow(run, f"t int, axis long, id long, v {kind}, d int")
+
+
+def needed_hashes(base: DataFrame) -> int:
+    """Hashes by which a bucket holds about BUCKET rows at most, all vectors as long as the longest."""
+    n, d = base.agg(F.count(F.lit(1)), F.max("d")).first()
+    hashes, width = 1, 2 * max(2, 1 << ((d or 1) - 1).bit_length())
+    while n > BUCKET * width ** hashes:
+        hashes += 1
+    return hashes
 
 
 def best_of_block(k: int):
@@ -132,16 +164,20 @@ def meet(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5,
-           tables: int = 12, probes: int = 8, seed: int = 7) -> DataFrame:
+           tables: int = 12, probes: int = 8, seed: int = 7, hashes: int | None = None) -> DataFrame:
     """The k nearest rows of ``vectors`` found for every row of ``queries``, by cosine.
 
     Returns query_id, rank (from 1), vec_id, score; nearest first, ties to the
     smaller vec_id.  A row never answers a query of its own key.  Rows that
     repeat a key count once, with their best score.  More tables and probes
-    raise the recall.  Empty tables give no rows.
+    raise the recall; both are doubled with every hash beyond the first, of
+    which there are as many as the number of vectors needs.  Empty tables give
+    no rows.
     """
     base, asked = usable(vectors, key, vector), usable(queries, key, vector)
-    pairs = meet(hashed(asked, tables, probes, seed), hashed(base, tables, 1, seed), k)
+    hashes = hashes or needed_hashes(base)
+    more = 2 ** (hashes - 1)
+    pairs = meet(hashed(asked, tables * more, probes * more, seed, hashes), hashed(base, tables * more, 1, seed, hashes), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def ranked(pairs: DataFrame) -> DataFrame:
@@ -152,6 +188,6 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
     short = stored(asked.join(full, "id", "left_anti"), "ann-short")
     if not short.isEmpty():
-        whole = lambda rows: rows.select(F.lit(-1).alias("t"), F.lit(-1).alias("axis"), "id", "v", "d")
+        whole = lambda rows: rows.select(F.lit(-1).alias("t"), F.lit(-1).cast("long").alias("axis"), "id", "v", "d")
         found = ranked(found.drop("rank").unionByName(meet(whole(short), whole(base), k)))
     return found.select("query_id", "rank", "vec_id", "score")

@@ -203,6 +203,49 @@ def test_few_bad_and_equal_vectors(spark, monkeypatch):
     assert polytope.search(data.limit(0), data.limit(0)).collect() == []
 
 
+def test_more_hashes_on_clustered_vectors(spark):
+    """A second hash leaves fewer candidates; twice the tables and probes hold the recall."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 32))
+    data = centres[rng.integers(0, 60, 4000)] + 0.45 * rng.normal(size=(4000, 32))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id long, embedding array<double>")
+    queries = table.where("vec_id % 50 = 0")
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    seen = {}
+    for hashes in (1, 2):
+        got = {}
+        for r in polytope.search(table, queries, hashes=hashes).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = 0
+        for q in range(0, 4000, 50):
+            near = unit @ unit[q]
+            near[q] = -2
+            hits += len(got[q] & set(np.argsort(-near)[:5].tolist()))
+        more = 2 ** (hashes - 1)
+        base, asked = (polytope.usable(t, "vec_id", "embedding") for t in (table, queries))
+        a, b = polytope.hashed(asked, 12 * more, 8 * more, 7, hashes), polytope.hashed(base, 12 * more, 1, 7, hashes)
+        met = a.select("t", "axis", F.col("id").alias("q")).join(b.select("t", "axis", "id"), ["t", "axis"]).select("q", "id").distinct().count()
+        seen[hashes] = (hits / 400, met / 80 / 4000)
+    assert seen[1][0] >= 0.9 and seen[2][0] >= 0.9 and seen[2][1] < 0.5 * seen[1][1], seen
+
+
+def test_hashes_follow_from_the_number_of_vectors(spark, monkeypatch):
+    base = polytope.usable(spark.range(300).select(F.col("id").alias("k"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("v")), "k", "v")
+    assert polytope.needed_hashes(base) == 1 and polytope.needed_hashes(base.limit(0)) == 1
+    monkeypatch.setattr(polytope, "BUCKET", 30)
+    assert polytope.needed_hashes(base) == 2
+
+
+def test_probes_are_the_nearest_buckets():
+    rng = np.random.default_rng(1)
+    near = [np.stack([x, -x], 2).reshape(5, 16) for x in rng.normal(size=(2, 5, 8))]
+    got = polytope.buckets(near, 6)
+    for row in range(5):
+        loss = {a + 16 * b: (near[0][row].max() - near[0][row][a]) ** 2 + (near[1][row].max() - near[1][row][b]) ** 2 for a in range(16) for b in range(16)}
+        assert got[row].tolist() == sorted(loss, key=lambda c: (loss[c], c))[:6] or [loss[c] for c in got[row]] == pytest.approx(sorted(loss.values())[:6])
+    assert polytope.buckets(near, 1)[:, 0].tolist() == [int(a.argmax() + 16 * b.argmax()) for a, b in zip(*near)]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.load(PIECES)
