@@ -53,10 +53,10 @@ def collapsed(raw: bytes) -> bytes:
     return b" " + b" ".join(raw.translate(PLAIN).split()) + b" "
 
 
-def crcs(text: bytes, scan: regex.Pattern, buckets: int) -> list[int]:
+def crcs(text: bytes, scan: regex.Pattern, buckets: int, unit: np.dtype) -> np.ndarray:
     """Bucket of every match, repeats included."""
     crc = zlib.crc32
-    return [crc(m[1]) % buckets for m in scan.finditer(text, overlapped=True)]
+    return np.fromiter((crc(m[1]) % buckets for m in scan.finditer(text, overlapped=True)), unit)
 
 
 def features(docs: DataFrame, text: str, widths: tuple[int, int], buckets: int) -> DataFrame:
@@ -69,7 +69,7 @@ def features(docs: DataFrame, text: str, widths: tuple[int, int], buckets: int)
         found, n, words = [], [], []
         for raw in texts:
             flat = collapsed(raw.as_py()) if raw.is_valid else b"  "
-            got = np.concatenate([np.array(crcs(flat, s, buckets), unit) for s in scans])
+            got = np.concatenate([crcs(flat, s, buckets, unit) for s in scans])
             found.append(got.tobytes())
             n.append(len(got))
             words.append(0 if flat == b"  " else flat.count(b" ") - 1)
