@@ -10,7 +10,7 @@ from noctule.session import stored
 #: A cell is four times as wide as those below it; the list of the widest has at most (ROOTS + 1) squared entries.
 FAN, ROOTS = 4, 16
 #: Cells are divided until none holds more points, DEPTH times at most (points that close are one place to a double).
-LEAF, DEPTH = 32, 24
+LEAF, DEPTH, AT_ONCE = 32, 24, 5
 
 
 def _images(grid: DataFrame, wrap: bool) -> DataFrame:
@@ -31,8 +31,18 @@ def cell_sizes(points: DataFrame) -> list[float]:
     sizes = [1.0]
     while extent > sizes[0] * ROOTS:
         sizes[0] *= FAN
-    while len(sizes) < DEPTH and (points.groupBy(*_cell("lon", "lat", sizes[-1])).count().agg(F.max("count")).first()[0] or 0) > LEAF:
-        sizes.append(sizes[-1] / FAN)
+    most = LEAF + 1
+    while len(sizes) < DEPTH and most > LEAF:
+        # a few widths at a time: one pass tells how far to go
+        tried = [sizes[-1] / FAN ** k for k in range(AT_ONCE)]
+        each = points.select("lon", "lat", F.explode(F.array(*map(F.lit, tried))).alias("_w"))
+        full = each.groupBy("_w", F.floor(F.col("lon") / F.col("_w")), F.floor(F.col("lat") / F.col("_w"))).count().groupBy("_w").agg(F.max("count").alias("most"))
+        found = {r["_w"]: r["most"] for r in full.toLocalIterator()}
+        enough = next((k for k, w in enumerate(tried) if found.get(w, 0) <= LEAF), AT_ONCE - 1)
+        most = found.get(tried[enough], 0)
+        sizes += tried[1:enough + 1]
+        if enough == 0:
+            break
     return sizes
 
 
